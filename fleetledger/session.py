@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "fleetledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,6 +46,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_when_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
+
+    For sides whose size Spark overestimates, such as an inventory of large
+    files.  Counting stops at the bound; a larger side is joined by a shuffle.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def _checkpoint_base(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
