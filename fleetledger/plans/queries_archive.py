@@ -1 +1,141 @@
-QUERIES = {}
+"""Registered queries on log segments.
+
+A segment is a day of one user's events; its last event is its change time.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetledger.operators import archive as A
+from fleetledger.plans.tables import seconds, table
+from fleetledger.session import shared_folder
+from fleetledger.sources.event_text import read_events
+from fleetledger.sources.segments import segments
+from fleetledger.streaming.heartbeats import heartbeat_gaps
+from fleetledger.streaming.ingest import ingest_stream
+
+NOW = "2024-01-31 00:00:00"
+
+
+def _inventory(spark, folder) -> DataFrame:
+    user, day = F.col("user_id"), F.dayofyear("ts")
+    prefix = F.when(user % 11 == 0, F.lit("other.")).otherwise(F.lit("bin."))
+    return (
+        table(spark, folder, "events", "user_id", "ts")
+        .groupBy("user_id", day.alias("day"))
+        .agg(F.max("ts").alias("mtime"), F.count(F.lit(1)).alias("bytes"))
+        .select(
+            F.concat(F.lit("u"), user).alias("source"),
+            F.concat(prefix, F.lpad(F.col("day").cast("string"), 6, "0"), F.when(F.col("day") % 4 == 0, F.lit(".xz")).otherwise(F.lit(""))).alias("name"),
+            F.col("day").cast("long").alias("seq"), "mtime", "bytes",
+        )
+    )
+
+
+def archive_retain(spark, folder) -> DataFrame:
+    return A.retain(_inventory(spark, folder), 10, NOW, "bin.").select("source", "name", seconds("mtime").alias("mtime"))
+
+
+def archive_expired(spark, folder) -> DataFrame:
+    return A.expired(_inventory(spark, folder), 10, NOW, "bin.").select("source", "name", seconds("mtime").alias("mtime"))
+
+
+def archive_compact(spark, folder) -> DataFrame:
+    return A.finished(_inventory(spark, folder), "bin.").select("source", "name", "bytes")
+
+
+def archive_resume(spark, folder) -> DataFrame:
+    reported = table(spark, folder, "customer", "c_custkey").select(
+        F.concat(F.lit("u"), F.col("c_custkey")).alias("source"), F.lit("bin.000001").alias("name")
+    )
+    return A.last_segment(_inventory(spark, folder), reported)
+
+
+def _write_segments(spark, folder) -> str:
+    """Events as event text, a folder per day: ``file=bin.000012``."""
+    path = shared_folder(spark, "segments")
+    stamp = F.date_format("ts", "yyMMdd H:mm:ss")
+    body = F.concat(
+        F.lit("# at "), F.col("event_id") + 4, F.lit("\n#"), stamp, F.lit(" server id 1  end_log_pos "), F.col("event_id") + 5,
+        F.lit(" CRC32 0x1f \tQuery\n-- "), F.col("event_type"), F.lit(" "), F.col("props"),
+    )
+    name = F.concat(F.lit("bin."), F.lpad(F.dayofyear("ts").cast("string"), 6, "0"))
+    table(spark, folder, "events", "event_id", "ts", "event_type", "props").select(name.alias("file"), body.alias("value")).write.partitionBy("file").text(path)
+    return path
+
+
+def archive_segments(spark, folder) -> DataFrame:
+    listed = segments(spark, _write_segments(spark, folder), "part-", recursive=True)
+    return listed.where("bytes > 0").select(F.regexp_replace("source", "^file=", "").alias("segment")).distinct()
+
+
+def archive_stream(spark, folder) -> DataFrame:
+    source, out, mark = _write_segments(spark, folder), shared_folder(spark, "ingested"), shared_folder(spark, "mark")
+    ingest_stream(spark, source, out, mark).awaitTermination()
+    return spark.read.parquet(out).groupBy("file").agg(F.count(F.lit(1)).alias("n_events"), F.sum("pos").alias("pos_sum"))
+
+
+def archive_rewrite(spark, folder) -> DataFrame:
+    events = read_events(spark, _write_segments(spark, folder)).withColumn("source", F.lit("main"))
+    inventory = events.select("source", F.col("file").alias("name"), F.col("file_no").alias("seq")).distinct()
+    target = shared_folder(spark, "archive")
+    A.compact(events, inventory, target, "bin.")
+    return spark.read.parquet(target).groupBy("file").agg(F.count(F.lit(1)).alias("n_events"), F.sum("pos").alias("pos_sum"))
+
+
+def heartbeat_stream(spark, folder) -> DataFrame:
+    """Sessions that a stream reports: those whose silence ended before the watermark."""
+    source, out, mark = (shared_folder(spark, p) for p in ("beats", "sessions", "mark"))
+    table(spark, folder, "events", "user_id", "event_type", "ts").write.parquet(source)
+    beats = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    sessions = heartbeat_gaps(beats, 21600, ("user_id", "event_type"))
+    writer = sessions.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("user_id", "event_type", seconds("started").alias("started"), seconds("last_beat").alias("last_beat"), "beats")
+
+
+_CTE = """
+WITH inventory AS (
+  SELECT 'u' || user_id AS source,
+         (CASE WHEN user_id % 11 = 0 THEN 'other.' ELSE 'bin.' END) || lpad(dayofyear(ts)::VARCHAR, 6, '0')
+           || (CASE WHEN dayofyear(ts) % 4 = 0 THEN '.xz' ELSE '' END) AS name,
+         dayofyear(ts) AS seq, max(ts) AS mtime, count(*) AS bytes
+  FROM events GROUP BY user_id, dayofyear(ts)),
+aged AS (SELECT *, floor(date_diff('microsecond', mtime, TIMESTAMP '2024-01-31') / 86400000000.0) > 10 AND name LIKE 'bin.%' AS gone FROM inventory),
+days AS (
+  SELECT 'bin.' || lpad(dayofyear(ts)::VARCHAR, 6, '0') AS file, count(*) AS n_events, sum(event_id + 4)::BIGINT AS pos_sum
+  FROM events GROUP BY 1)
+"""
+
+QUERIES = {
+    "archive_segments": (archive_segments, _CTE + "SELECT file AS segment FROM days"),
+    "archive_retain": (archive_retain, _CTE + "SELECT source, name, epoch_us(mtime) // 1000000 AS mtime FROM aged WHERE NOT gone"),
+    "archive_expired": (archive_expired, _CTE + "SELECT source, name, epoch_us(mtime) // 1000000 AS mtime FROM aged WHERE gone"),
+    "archive_compact": (
+        archive_compact,
+        _CTE
+        + """SELECT source, name, bytes FROM inventory WHERE name LIKE 'bin.%' AND name NOT LIKE '%.xz'
+             QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq DESC, name DESC) > 1""",
+    ),
+    "archive_resume": (
+        archive_resume,
+        _CTE
+        + """, newest AS (SELECT source, name FROM inventory QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq DESC, name DESC) = 1)
+             SELECT coalesce(n.source, 'u' || c_custkey) AS source, coalesce(n.name, 'bin.000001') AS name
+             FROM newest n FULL JOIN customer ON n.source = 'u' || c_custkey""",
+    ),
+    "archive_stream": (archive_stream, _CTE + "SELECT * FROM days"),
+    "archive_rewrite": (archive_rewrite, _CTE + "SELECT * FROM days WHERE file < (SELECT max(file) FROM days)"),
+    "links_gaps_stream": (
+        heartbeat_stream,
+        """
+        WITH e AS (SELECT user_id, event_type, event_id, epoch_us(ts) // 1000000 AS s FROM events),
+        steps AS (SELECT *, lag(s) OVER (PARTITION BY user_id, event_type ORDER BY s, event_id) AS before FROM e),
+        parts AS (SELECT *, sum(CASE WHEN s - before > 21600 THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY user_id, event_type ORDER BY s, event_id) AS part FROM steps)
+        SELECT user_id, event_type, min(s) AS started, max(s) AS last_beat, count(*) AS beats FROM parts
+        GROUP BY user_id, event_type, part HAVING max(s) + 21600 <= (SELECT max(s) - 600 FROM e)""",
+    ),
+}
