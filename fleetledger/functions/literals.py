@@ -6,52 +6,60 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Possessive groups: no backtracking and no recursion on long strings.
-_QUOTED = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
+_QUOTED = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 _NUMBER = r"[-+]?[0-9][0-9]*+(?:\.[0-9]*+)?(?:[eE][-+]?[0-9]++)?"
 _TEMPORAL = r"-?[0-9]++[-:][0-9]++[-:][0-9]++(?:[ T][0-9]++:[0-9]++:[0-9]++)?(?:\.[0-9]++)?"
-_ACCEPTED = rf"^(?s:{_QUOTED}|{_NUMBER}|{_TEMPORAL}|b'[01]*+'|NULL)$"
+# A place where a backslash starts an escape.
+_UNESCAPED = r"((?<!\\)(?:\\\\)*+)"
+LITERAL = rf"(?:{_QUOTED}|{_NUMBER}|{_TEMPORAL}|b'[01]*+'|NULL)"
+# What may follow a literal on its line: the unsigned reading of a number, and a type comment.
+TRAILER = r"(?m) *(?: \([0-9]+\)(?: /\*[^*\n]*\*/)?| /\*[^*\n]*\*/) *$"
 
 
-def clean_literal(text: Column) -> Column:
-    """Literal without the trailing type comment and without the unsigned reading in parentheses."""
-    bare = F.when(
-        F.rtrim(text).endswith("*/"), F.regexp_replace(text, r"\s*/\*[^*]*\*/\s*$", "")
-    ).otherwise(F.rtrim(text))
-    return F.when(
-        bare.endswith(")") & ~bare.startswith("'"), F.regexp_replace(bare, r"\s*\([0-9]+\)$", "")
-    ).otherwise(bare)
+def clean_literals(lines: Column) -> Column:
+    """Text of one literal per line without type comments and unsigned readings.
+
+    Works on all lines at once; a quoted string ends its line with a quote, so
+    nothing inside it can match.
+    """
+    return F.regexp_replace(lines, TRAILER, "")
 
 
 def is_literal(literal: Column) -> Column:
     """Whether the whole text is one well-formed literal."""
-    return literal.rlike(_ACCEPTED)
+    return literal.rlike(rf"^{LITERAL}$")
 
 
 def literal_value(literal: Column) -> Column:
     """Text value of a literal; NULL for the NULL literal."""
     inner = F.substring(literal, F.lit(2), F.length(literal) - 2)
-    text = F.when(inner.contains("\\"), _unescape(inner)).otherwise(inner)
+    text = F.when(literal.contains("\\"), _unescape(inner)).otherwise(inner)
     bits = F.conv(F.regexp_extract(literal, "^b'([01]*)'$", 1), 2, 10)
     return (
-        F.when(literal == "NULL", F.lit(None).cast("string"))
-        .when(literal.startswith("'"), text)
+        F.when(literal.startswith("'"), text)
+        .when(literal == "NULL", F.lit(None).cast("string"))
         .when(literal.startswith("b'"), bits)
         .otherwise(literal)
     )
 
 
-def sql_literal(literal: Column) -> Column:
-    """The literal as it may stand in a statement.
+def sql_literals(lines: Column) -> Column:
+    """Literals, one per line, as they may stand in a statement.
 
-    Strings are quoted again because ``\\xNN`` escapes mean nothing in a statement,
-    and bare dates and times are quoted.
+    ``\\xNN`` escapes mean nothing in a statement: the usual one (a quote) is rewritten
+    on all lines at once, any other one has its line decoded and quoted again.
+    Bare dates and times are quoted.
     """
-    value = literal_value(literal)
-    return (
-        F.when(literal.startswith("'") & literal.contains("\\"), quote(value))
-        .when(literal.rlike(rf"^{_TEMPORAL}$"), F.concat(F.lit("'"), literal, F.lit("'")))
-        .otherwise(literal)
-    )
+    dated = F.regexp_replace(lines, rf"(?m)^({_TEMPORAL})$", "'$1'")
+    usual = F.regexp_replace(dated, rf"{_UNESCAPED}\\x27", r"$1\\'")
+
+    def again(literal: Column) -> Column:
+        inner = F.substring(literal, F.lit(2), F.length(literal) - 2)
+        rare = literal.contains("\\x") & literal.rlike(rf"{_UNESCAPED}\\x[0-9a-fA-F]{{2}}")
+        return F.when(rare, quote(_unescape(inner))).otherwise(literal)
+
+    decoded = F.array_join(F.transform(F.split(usual, "\n"), again), "\n")
+    return F.when(lines.contains("\\x"), decoded).otherwise(dated)
 
 
 def quote(value: Column) -> Column:
@@ -74,10 +82,11 @@ def quote_name(name: Column) -> Column:
 def _unescape(inner: Column) -> Column:
     """Undo ``\\\\``, ``\\xNN`` and ``\\c`` escapes.
 
-    The text is first cut at escaped backslashes, so a backslash inside a piece
-    always starts an escape.
+    Text with escaped backslashes is first cut at them, so that a backslash inside
+    a piece always starts an escape.
     """
-    return F.array_join(F.transform(F.split(inner, r"\\\\"), _unescape_piece), "\\")
+    pieces = F.array_join(F.transform(F.split(inner, r"\\\\"), _unescape_piece), "\\")
+    return F.when(inner.contains("\\\\"), pieces).otherwise(_unescape_piece(inner))
 
 
 def _unescape_piece(piece: Column) -> Column:
@@ -85,11 +94,11 @@ def _unescape_piece(piece: Column) -> Column:
         code = F.decode(F.unhex(F.substring(part, 1, 2)), "UTF-8")
         return F.when(index == 0, part).otherwise(F.concat(code, F.substring(part, 3, 1 << 30)))
 
-    coded = F.array_join(F.transform(F.split(piece, r"\\x(?=[0-9a-fA-F]{2})"), after_mark), "")
-    return F.regexp_replace(_named_escapes(coded), r"\\(.)", "$1")
+    marked = F.array_join(F.transform(F.split(piece, r"\\x(?=[0-9a-fA-F]{2})"), after_mark), "")
+    return _named_escapes(F.when(piece.contains("\\x"), marked).otherwise(piece))
 
 
 def _named_escapes(text: Column) -> Column:
     for written, plain in [("\\n", "\n"), ("\\r", "\r"), ("\\0", "\0"), ("\\t", "\t"), ("\\Z", "\x1a")]:
         text = F.replace(text, F.lit(written), F.lit(plain))
-    return text
+    return F.regexp_replace(text, r"\\(.)", "$1")

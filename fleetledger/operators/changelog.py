@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetledger.functions.literals import (
-    clean_literal,
-    is_literal,
+    LITERAL,
+    clean_literals,
     literal_value,
     quote_name,
-    sql_literal,
+    sql_literals,
     unquote_name,
 )
 
@@ -24,7 +24,10 @@ STATEMENT = r"\n### (?=INSERT INTO|UPDATE |DELETE FROM)"
 TARGET = r"^(?:INSERT INTO|UPDATE|DELETE FROM) (?:`((?:[^`]|``)+)`\.)?`((?:[^`]|``)+)`"
 BEFORE_MARK = "\n### WHERE\n"
 AFTER_MARK = "\n### SET\n"
-VALUE_MARK = "###   @"
+VALUE_LINE = r"(?m)^###   @([0-9]+)=(.*)$"
+VALID_LINE = rf"(?m)^###   @[0-9]+={LITERAL}$"
+
+TEXT = "TEXT"
 
 # Pass-through text of an event stands before or after all its row statements.
 LEADING = -1
@@ -66,23 +69,44 @@ def broken_events(events: DataFrame) -> DataFrame:
     return events.where((F.col("pos") > 0) & ~_header_line().rlike(HEADER))
 
 
-def row_statements(events: DataFrame) -> DataFrame:
-    """One row per row statement: ``file, file_no, pos, row_no, op, db, table, block``."""
-    blocks = F.slice(F.split("record", STATEMENT), F.lit(2), F.lit(2147483647))
+def row_statements(events: DataFrame, include_text: bool = False) -> DataFrame:
+    """One row per row statement: ``file, file_no, pos, row_no, op, db, table, block``.
+
+    With ``include_text`` the pass-through text of an event comes along as rows of
+    operation ``TEXT``, so that a script needs to read the events only once.
+    """
+    blocks = F.slice(F.split("record", STATEMENT), 2, 1 << 30)
     block = F.col("block")
-    return (
-        events.where(F.col("record").contains("\n### "))
-        .select("file", "file_no", "pos", F.posexplode(blocks).alias("row_no", "block"))
-        .select(
-            "file",
-            "file_no",
-            "pos",
-            "row_no",
-            F.substring_index(block, " ", 1).alias("op"),
-            unquote_name(F.regexp_extract(block, TARGET, 1)).alias("db"),
-            unquote_name(F.regexp_extract(block, TARGET, 2)).alias("table"),
-            "block",
+    if include_text:
+        lead, tail = _plain_text()
+        pieces = F.concat(
+            F.transform(blocks, lambda b, i: F.struct(i.alias("row_no"), b.alias("block"))),
+            F.filter(
+                F.array(
+                    F.struct(F.lit(LEADING).alias("row_no"), lead.alias("block")),
+                    F.struct(F.lit(TRAILING).alias("row_no"), tail.alias("block")),
+                ),
+                lambda p: p["block"] != "",
+            ),
+        )
+        cut = events.select("file", "file_no", "pos", F.explode(pieces).alias("p")).select(
+            "file", "file_no", "pos", "p.row_no", "p.block"
+        )
+        is_text = ~F.col("row_no").between(0, TRAILING - 1)
+    else:
+        cut = events.where(F.col("record").contains("\n### ")).select(
+            "file", "file_no", "pos", F.posexplode(blocks).alias("row_no", "block")
         )
+        is_text = F.lit(False)
+    return cut.select(
+        "file",
+        "file_no",
+        "pos",
+        "row_no",
+        F.when(is_text, F.lit(TEXT)).otherwise(F.substring_index(block, " ", 1)).alias("op"),
+        F.when(~is_text, unquote_name(F.regexp_extract(block, TARGET, 1))).alias("db"),
+        F.when(~is_text, unquote_name(F.regexp_extract(block, TARGET, 2))).alias("table"),
+        "block",
     )
 
 
@@ -90,65 +114,84 @@ def exclude_schemas(changes: DataFrame, schemas: list[str] | DataFrame) -> DataF
     """Leave out changes of the given databases: a list of names, or a table with a ``db`` column."""
     if isinstance(schemas, DataFrame):
         return changes.join(schemas.select("db").distinct(), "db", "left_anti").select(*changes.columns)
-    return changes.where(~F.col("db").isin(*schemas)) if schemas else changes
+    return changes.where(F.col("db").isNull() | ~F.col("db").isin(*schemas)) if schemas else changes
 
 
 def row_images(statements: DataFrame) -> DataFrame:
-    """Replace ``block`` by ``before`` and ``after``: arrays of (ordinal, literal)."""
-    before_set = F.split_part("block", F.lit(AFTER_MARK), F.lit(1))
-    return statements.withColumns(
+    """Replace ``block`` by ``before`` and ``after``, arrays of (ordinal, literal), ``well_formed`` and ``text``.
+
+    Each image is cleaned, checked and cut by a few expressions over its whole text.
+    """
+    block = F.when(F.col("op") != TEXT, F.col("block")).otherwise(F.lit(""))
+    before_set = F.split_part(block, F.lit(AFTER_MARK), F.lit(1))
+    parts = statements.withColumns(
         {
-            "before": _image(F.split_part(before_set, F.lit(BEFORE_MARK), F.lit(2))),
-            "after": _image(F.split_part("block", F.lit(AFTER_MARK), F.lit(2))),
+            "_before": clean_literals(F.split_part(before_set, F.lit(BEFORE_MARK), F.lit(2))),
+            "_after": clean_literals(F.split_part(block, F.lit(AFTER_MARK), F.lit(2))),
         }
-    ).drop("block")
-
+    )
+    good = F.regexp_count("_before", F.lit(VALID_LINE)) + F.regexp_count("_after", F.lit(VALID_LINE))
+    return (
+        parts.withColumns({"before": _image("_before"), "after": _image("_after")})
+        .withColumn("well_formed", good == F.size("before") + F.size("after"))
+        .withColumn("text", F.when(F.col("op") == TEXT, F.col("block")))
+        .drop("block", "_before", "_after")
+    )
 
-def _image(part: Column) -> Column:
-    lines = F.filter(F.split(part, "\n"), lambda line: line.startswith(VALUE_MARK))
 
-    def entry(line: Column) -> Column:
-        item = F.substring(line, len(VALUE_MARK) + 1, 1 << 30)
-        ordinal = F.substring_index(item, "=", 1)
-        return F.struct(
-            ordinal.cast("int").alias("ordinal"),
-            clean_literal(F.substring(item, F.length(ordinal) + 2, F.length(item))).alias("literal"),
-        )
-
-    return F.transform(lines, entry)
+def _image(part: str) -> Column:
+    return F.arrays_zip(
+        F.regexp_extract_all(part, F.lit(VALUE_LINE), 1).cast("array<int>").alias("ordinal"),
+        F.regexp_extract_all(part, F.lit(VALUE_LINE), 2).alias("literal"),
+    )
 
 
 def resolve_columns(images: DataFrame, catalog: DataFrame) -> DataFrame:
     """Add column names to both images, and ``rejected``: why a change cannot be used, else NULL.
 
-    The names of one table travel as one map, so this is one join on the table
+    The names of one table travel as one array, so this is one join on the table
     and neither image is taken apart.  Whether that join broadcasts is left to
     the measured size of the catalog.
     """
-    names = catalog.groupBy("db", "table").agg(
-        F.map_from_entries(F.collect_list(F.struct("ordinal", "column"))).alias("_names")
+    names = (
+        catalog.groupBy("db", "table")
+        .agg(F.map_from_entries(F.collect_list(F.struct("ordinal", "column"))).alias("_map"), F.max("ordinal").alias("_last"))
+        .select(
+            "db",
+            "table",
+            F.sequence(F.lit(1), "_last").alias("_ordinals"),
+            F.transform(F.sequence(F.lit(1), "_last"), lambda i: F.col("_map")[i]).alias("_names"),
+        )
+        .withColumn("_gaps", F.exists("_names", lambda n: n.isNull()))
     )
 
-    def named(image: Column) -> Column:
-        return F.transform(
-            image,
-            lambda x: F.struct(
-                x["ordinal"].alias("ordinal"), F.col("_names")[x["ordinal"]].alias("column"), x["literal"].alias("literal")
-            ),
+    def complete(image: str) -> Column:
+        """The image has all columns of the table, so their names apply as they stand."""
+        return F.coalesce(~F.col("_gaps") & (F.col(image)["ordinal"] == F.col("_ordinals")), F.lit(False))
+
+    def named(image: str) -> Column:
+        picked = F.transform(F.col(image)["ordinal"], lambda n: F.get("_names", n - 1))
+        names = F.when(complete(image), F.col("_names")).otherwise(picked)
+        return F.arrays_zip(
+            F.col(image)["ordinal"].alias("ordinal"), names.alias("column"), F.col(image)["literal"].alias("literal")
         )
 
-    everything = F.concat("before", "after")
+    def unnamed(image: str) -> Column:
+        return ~F.col(f"_all_{image}") & F.exists(F.col(image)["column"], lambda n: n.isNull())
+
     rejected = (
-        F.when(F.exists(everything, lambda x: x["column"].isNull()), F.lit("unknown column"))
-        .when(F.exists(everything, lambda x: ~is_literal(x["literal"])), F.lit("malformed value"))
+        F.when(F.col("op") == TEXT, F.lit(None).cast("string"))
+        .when(unnamed("before") | unnamed("after"), F.lit("unknown column"))
+        .when(~F.col("well_formed"), F.lit("malformed value"))
         .when((F.col("op") != "INSERT") & (F.size("before") == 0), F.lit("missing image"))
         .when((F.col("op") != "DELETE") & (F.size("after") == 0), F.lit("missing image"))
     )
     return (
         images.join(names, ["db", "table"], "left")
-        .withColumns({"before": named(F.col("before")), "after": named(F.col("after"))})
+        .withColumns({"_all_before": complete("before"), "_all_after": complete("after")})
+        .withColumns({"before": named("before"), "after": named("after")})
         .withColumn("rejected", rejected)
-        .select("file", "file_no", "pos", "row_no", "op", "db", "table", "before", "after", "rejected")
+        .select("file", "file_no", "pos", "row_no", "op", "db", "table", "before", "after", "rejected", "text")
     )
 
 
@@ -166,9 +209,9 @@ def to_sql(resolved: DataFrame) -> DataFrame:
     table = F.concat_ws(".", F.when(F.col("db") != "", quote_name(F.col("db"))), quote_name(F.col("table")))
 
     def listed(image: str, mark: str, between: str) -> Column:
-        ordered = F.array_sort(F.col(image))
+        literals = F.split(sql_literals(F.array_join(F.col(image)["literal"], "\n")), "\n")
         return F.array_join(
-            F.transform(ordered, lambda x: F.concat(quote_name(x["column"]), F.lit(mark), sql_literal(x["literal"]))),
+            F.zip_with(F.col(image)["column"], literals, lambda name, value: F.concat(quote_name(name), F.lit(mark), value)),
             between,
         )
 
@@ -178,23 +221,30 @@ def to_sql(resolved: DataFrame) -> DataFrame:
         F.when(F.col("op") == "INSERT", F.concat(F.lit("INSERT INTO "), table, F.lit(" SET "), sets))
         .when(F.col("op") == "UPDATE", F.concat(F.lit("UPDATE "), table, F.lit(" SET "), sets, F.lit(" WHERE "), wheres))
         .when(F.col("op") == "DELETE", F.concat(F.lit("DELETE FROM "), table, F.lit(" WHERE "), wheres))
+        .otherwise(F.col("text"))
     )
     return resolved.where(F.col("rejected").isNull()).select("file", "file_no", "pos", "row_no", sql.alias("sql"))
 
 
-def pass_through(events: DataFrame) -> DataFrame:
-    """Lines that are not comments (definitions, BEGIN/COMMIT, delimiters), in statement form."""
+def _plain_text() -> tuple[Column, Column]:
+    """Lines of a record that are not comments: before its row statements, and after them."""
     rows = F.instr("record", "\n### ")
     lead = F.when(rows > 0, F.substring("record", F.lit(1), rows - 1)).otherwise(F.col("record"))
     tail = F.when(rows > 0, F.substring("record", rows + 1, F.length("record"))).otherwise(F.lit(""))
+    body = F.when(F.col("pos") > 0, F.regexp_replace(lead, r"^[0-9]+(?:\n|$)", "")).otherwise(lead)
 
     def plain(text: Column) -> Column:
-        return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.startswith("#") & (line != "")), "\n")
+        kept = F.regexp_replace(text, r"(?m)^#[^\n]*(?:\n|$)", "")
+        return F.regexp_replace(kept, r"\n+$|(?<=\n)\n+|^\n+", "")
 
-    body = F.when(F.col("pos") > 0, F.regexp_replace(lead, r"^[0-9]+(?:\n|$)", "")).otherwise(lead)
+    return plain(body), plain(tail)
+
+
+def pass_through(events: DataFrame) -> DataFrame:
+    """Lines that are not comments (definitions, BEGIN/COMMIT, delimiters), in statement form."""
+    lead, tail = _plain_text()
     parts = F.array(
-        F.struct(F.lit(LEADING).alias("row_no"), plain(body).alias("sql")),
-        F.struct(F.lit(TRAILING).alias("row_no"), plain(tail).alias("sql")),
+        F.struct(F.lit(LEADING).alias("row_no"), lead.alias("sql")), F.struct(F.lit(TRAILING).alias("row_no"), tail.alias("sql"))
     )
     return (
         events.select("file", "file_no", "pos", F.explode(parts).alias("p"))
@@ -203,10 +253,10 @@ def pass_through(events: DataFrame) -> DataFrame:
     )
 
 
-def statements(events: DataFrame, resolved: DataFrame, include_ddl: bool = True) -> DataFrame:
-    """Row statements and, if wanted, pass-through text, ready to be sorted into a script."""
-    rows = to_sql(resolved)
-    return rows.unionByName(pass_through(events)) if include_ddl else rows
+def statements(events: DataFrame, catalog: DataFrame, exclude=(), include_ddl: bool = True) -> DataFrame:
+    """Row statements and, if wanted, pass-through text, from one pass over the events."""
+    changes = exclude_schemas(row_statements(events, include_text=include_ddl), exclude)
+    return to_sql(resolve_columns(row_images(changes), catalog))
 
 
 def write_script(script: DataFrame, path: str, include_ddl: bool = True) -> None:

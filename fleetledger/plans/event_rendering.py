@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetledger.plans.tables import table
-from fleetledger.session import shared_folder
+from fleetledger.session import shared_folder, spread
 from fleetledger.sources.event_text import EVENT_MARK, events_from
 
 COLUMNS = ("id", "customer", "state", "cents", "note", "placed")
@@ -40,7 +40,7 @@ def _image(mark: str, state: Column) -> Column:
 def order_events(spark, folder: str) -> DataFrame:
     """``file`` and ``value``: the text of each event without its event mark."""
     key, status = F.col("o_orderkey"), F.col("o_orderstatus")
-    base = table(spark, folder, "orders").select(
+    base = spread(table(spark, folder, "orders")).select(
         "*",
         F.timestamp_seconds(F.unix_timestamp("o_orderdate") + 7305 * 86400).alias("placed"),
         (key % ORDERS_PER_SEGMENT * 10 + 4).alias("at"),

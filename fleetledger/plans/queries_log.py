@@ -79,7 +79,7 @@ def log_rejects(spark, folder) -> DataFrame:
 
 def log_sql(spark, folder) -> DataFrame:
     events = read_events(spark, write_order_log(spark, folder))
-    script = C.statements(events, C.exclude_schemas(_resolved(spark, folder, events), EXCLUDED))
+    script = C.statements(events, _catalog(spark, folder), EXCLUDED)
     return script.select("file_no", "pos", F.col("row_no").cast("long").alias("row_no"), "sql")
 
 

@@ -12,7 +12,7 @@ NUMBERED_NAME = r"\.([0-9]+)(?:\.[A-Za-z0-9]+)?$"
 
 def segment_number(name: Column) -> Column:
     """Numeric suffix of a segment name such as ``bin.000012`` or ``bin.000012.zst``."""
-    return F.try_to_number(F.nullif(F.regexp_extract(name, NUMBERED_NAME, 1), F.lit("")), F.lit("999999999999999999")).cast("long")
+    return F.regexp_extract(name, NUMBERED_NAME, 1).try_cast("long")
 
 
 def read_events(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetledger.functions.literals import clean_literal, is_literal, literal_value, sql_literal
+from fleetledger.functions.literals import clean_literals, is_literal, literal_value, sql_literals
 from fleetledger.operators import changelog as C
 from fleetledger.sources.ddl_text import read_ddl, schema_catalog
 from fleetledger.sources.event_text import read_events
@@ -142,13 +142,17 @@ def test_exclusion_by_table(spark, log):
 
 
 def test_pass_through_and_script(spark, log, tmp_path):
-    script = C.statements(log[0], resolved(log))
+    script = C.statements(*log)
     C.write_script(script, str(tmp_path / "out"))
     parts = sorted((tmp_path / "out").glob("part-*"))
     text = "".join(p.read_text() for p in parts)
     assert text.startswith("/*!50530 SET @@SESSION.PSEUDO_SLAVE_MODE=1*/;\nDELIMITER /*!*/;\nUPDATE ")
     assert text.index("CREATE TABLE x") < text.index("DELETE FROM `shop`.`wide`") < text.index("COMMIT/*!*/;")
-    assert C.statements(log[0], resolved(log), include_ddl=False).count() == 5
+    assert C.statements(*log, include_ddl=False).count() == 5
+    once = C.to_sql(resolved(log)).unionByName(C.pass_through(log[0]))
+    assert once.exceptAll(script).count() == 0 and script.exceptAll(once).count() == 0
+    assert C.statements(*log, exclude=["work"]).exceptAll(script).count() == 0
+    assert C.statements(*log, exclude=["work"]).count() == script.count() - 1
 
 
 @pytest.mark.parametrize(
@@ -159,6 +163,8 @@ def test_pass_through_and_script(spark, log, tmp_path):
         ("''", "''", "", "''"),
         (r"'a\\' /* X */", r"'a\\'", "a\\", r"'a\\'"),
         (r"'a\x0ab\\n'", r"'a\x0ab\\n'", "a\nb\\n", r"'a\nb\\n'"),
+        (r"'\\x27 \\\x27 \x41'", r"'\\x27 \\\x27 \x41'", "\\x27 \\' A", r"'\\x27 \\\' A'"),
+        (r"'\\x27 \\\x27'", r"'\\x27 \\\x27'", "\\x27 \\'", r"'\\x27 \\\''"),
         ("b'0101'", "b'0101'", "5", "b'0101'"),
         ("-1 (18446744073709551615)", "-1", "-1", "-1"),
         ("12.50", "12.50", "12.50", "12.50"),
@@ -168,8 +174,8 @@ def test_pass_through_and_script(spark, log, tmp_path):
     ],
 )
 def test_literals(spark, raw, clean, value, sql):
-    df = spark.createDataFrame([(raw,)], "raw string").select(clean_literal(F.col("raw")).alias("c"))
-    row = df.select("c", is_literal(F.col("c")).alias("ok"), literal_value(F.col("c")).alias("v"), sql_literal(F.col("c")).alias("s")).first()
+    df = spark.createDataFrame([(raw,)], "raw string").select(clean_literals(F.col("raw")).alias("c"))
+    row = df.select("c", is_literal(F.col("c")).alias("ok"), literal_value(F.col("c")).alias("v"), sql_literals(F.col("c")).alias("s")).first()
     assert (row.c, row.ok, row.v, row.s) == (clean, True, value, sql)
 
 
