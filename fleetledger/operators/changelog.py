@@ -208,22 +208,29 @@ def to_sql(resolved: DataFrame) -> DataFrame:
     """One complete statement per usable change: ``file, file_no, pos, row_no, sql``."""
     table = F.concat_ws(".", F.when(F.col("db") != "", quote_name(F.col("db"))), quote_name(F.col("table")))
 
-    def listed(image: str, mark: str, between: str) -> Column:
-        literals = F.split(sql_literals(F.array_join(F.col(image)["literal"], "\n")), "\n")
+    def listed(image: str, lines: str, mark: str, between: str) -> Column:
+        values = F.split(sql_literals(F.col(lines)), "\n")
         return F.array_join(
-            F.zip_with(F.col(image)["column"], literals, lambda name, value: F.concat(quote_name(name), F.lit(mark), value)),
+            F.zip_with(F.col(image)["column"], values, lambda name, value: F.concat(quote_name(name), F.lit(mark), value)),
             between,
         )
 
-    sets = listed("after", "=", ",")
-    wheres = listed("before", "<=>", " AND ")
-    sql = (
-        F.when(F.col("op") == "INSERT", F.concat(F.lit("INSERT INTO "), table, F.lit(" SET "), sets))
-        .when(F.col("op") == "UPDATE", F.concat(F.lit("UPDATE "), table, F.lit(" SET "), sets, F.lit(" WHERE "), wheres))
-        .when(F.col("op") == "DELETE", F.concat(F.lit("DELETE FROM "), table, F.lit(" WHERE "), wheres))
-        .otherwise(F.col("text"))
+    nothing = F.lit("")
+    verb = (
+        F.when(F.col("op") == "INSERT", F.lit("INSERT INTO "))
+        .when(F.col("op") == "UPDATE", F.lit("UPDATE "))
+        .otherwise(F.lit("DELETE FROM "))
+    )
+    sets = F.when(F.col("op") == "DELETE", nothing).otherwise(F.concat(F.lit(" SET "), listed("after", "_new", "=", ",")))
+    wheres = F.when(F.col("op") == "INSERT", nothing).otherwise(
+        F.concat(F.lit(" WHERE "), listed("before", "_old", "<=>", " AND "))
+    )
+    sql = F.when(F.col("op") == TEXT, F.col("text")).otherwise(F.concat(verb, table, sets, wheres))
+    return (
+        resolved.where(F.col("rejected").isNull())
+        .withColumns({f"_{age}": F.array_join(F.col(image)["literal"], "\n") for age, image in (("old", "before"), ("new", "after"))})
+        .select("file", "file_no", "pos", "row_no", sql.alias("sql"))
     )
-    return resolved.where(F.col("rejected").isNull()).select("file", "file_no", "pos", "row_no", sql.alias("sql"))
 
 
 def _plain_text() -> tuple[Column, Column]:
