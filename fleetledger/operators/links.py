@@ -26,6 +26,9 @@ NODE_VALUES = (
 )
 LINK_VALUES = ("Master_Host", "Slave_IO_State", "Slave_IO_Running", "Slave_SQL_Running")
 
+# A status line; lines that mention "Last" or belong to the row banner do not count.
+STATUS_LINE = r"(?m)^(?!.*Last)(?!.*\*{{4}})[ \t]*{}: (.*)$"
+
 REPL_COLUMNS = ("host", "weight", "localIndex", "isSlave", "lastUpdate", "lastHeartbeat", "connectionName")
 
 
@@ -54,22 +57,11 @@ def parse_link_status(texts: DataFrame, names: tuple[str, ...] = LINK_VALUES) ->
 
     Lines that mention ``Last`` hold old errors and are left out.
     """
-    lines = F.filter(
-        F.split("text", "\n"), lambda line: line.contains(": ") & ~line.contains("Last") & ~line.contains("****")
-    )
-    pairs = F.transform(
-        lines,
-        lambda line: F.struct(
-            F.trim(F.substring_index(line, ": ", 1)).alias("key"),
-            F.trim(F.substring(line, F.instr(line, ": ") + 2, F.length(line))).alias("value"),
-        ),
-    )
-
     def value(name: str) -> Column:
-        return F.try_element_at(F.filter("_pairs", lambda p: p["key"] == name), F.lit(1))["value"].alias(name)
+        found = F.regexp_extract_all("text", F.lit(STATUS_LINE.format(name)), 1)
+        return F.trim(F.try_element_at(found, F.lit(1))).alias(name)
 
-    kept = [c for c in texts.columns if c != "text"]
-    return texts.select(*kept, pairs.alias("_pairs")).select(*kept, *[value(n) for n in names])
+    return texts.select(*[c for c in texts.columns if c != "text"], *[value(n) for n in names])
 
 
 def channel_exists(status: DataFrame, connections: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def version_ranks(versions: DataFrame, points: DataFrame) -> tuple[DataFrame, Da
     """
     marks = (
         versions.select(F.col("version").cast("long").alias("version"), F.lit(1).alias("_real"))
-        .unionByName(points.select(F.col("version").cast("long").alias("version"), F.lit(0).alias("_real")))
+        .unionByName(points.select(F.col("version").cast("long").alias("version")).distinct().withColumn("_real", F.lit(0)))
         .groupBy("version")
         .agg(F.max("_real").alias("_real"), F.min("_real").alias("_all_real"))
         .withColumn("_block", F.shiftright("version", _BLOCK_BITS))

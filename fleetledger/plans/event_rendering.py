@@ -23,29 +23,37 @@ def text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def _line(n: int, value) -> Column:
+    return text(f"###   @{n}=", value, f" /* {TYPES[n - 1]} meta=0 nullable=1 is_null=0 */\n")
+
+
 def _image(mark: str, state: Column) -> Column:
-    key = F.col("o_orderkey")
-    note = text("'it\\x27s = ", F.col("o_orderpriority"), " /* ", key % 7, " */'")
-    values = [
-        key, F.col("o_custkey"), text("'", state, "'"), F.round(F.col("o_totalprice") * 100).cast("long"),
-        F.when(key % 4 == 0, F.lit("NULL")).otherwise(note), F.date_format("placed", "yyyy-MM-dd HH:mm:ss"),
-    ]
-    lines = [
-        text(f"###   @{n}=", value, f" /* {kind} meta=0 nullable=1 is_null=0 */\n")
-        for n, (value, kind) in enumerate(zip(values, TYPES), 1)
-    ]
-    return text(f"### {mark}\n", *lines)
+    return text(f"### {mark}\n", F.col("first_lines"), _line(3, text("'", state, "'")), F.col("last_lines"))
 
 
 def order_events(spark, folder: str) -> DataFrame:
     """``file`` and ``value``: the text of each event without its event mark."""
     key, status = F.col("o_orderkey"), F.col("o_orderstatus")
-    base = spread(table(spark, folder, "orders")).select(
-        "*",
-        F.timestamp_seconds(F.unix_timestamp("o_orderdate") + 7305 * 86400).alias("placed"),
-        (key % ORDERS_PER_SEGMENT * 10 + 4).alias("at"),
-        text("bin.", F.lpad((F.floor(key / ORDERS_PER_SEGMENT) + 1).cast("string"), 6, "0")).alias("file"),
-        text("`shop_", F.col("o_custkey") % 25, "`.`orders`").alias("target"),
+    note = text("'it\\x27s = ", F.col("o_orderpriority"), " /* ", key % 7, " */'")
+    base = (
+        spread(table(spark, folder, "orders"))
+        .select(
+            "*",
+            F.timestamp_seconds(F.unix_timestamp("o_orderdate") + 7305 * 86400).alias("placed"),
+            (key % ORDERS_PER_SEGMENT * 10 + 4).alias("at"),
+            text("bin.", F.lpad((F.floor(key / ORDERS_PER_SEGMENT) + 1).cast("string"), 6, "0")).alias("file"),
+            text("`shop_", F.col("o_custkey") % 25, "`.`orders`").alias("target"),
+        )
+        .select(
+            "o_orderkey", "o_orderstatus", "at", "file", "target",
+            text("\n#", F.date_format("placed", "yyMMdd H:mm:ss"), " server id ", key % 3 + 1, "  end_log_pos ").alias("header"),
+            text(_line(1, key), _line(2, F.col("o_custkey"))).alias("first_lines"),
+            text(
+                _line(4, F.round(F.col("o_totalprice") * 100).cast("long")),
+                _line(5, F.when(key % 4 == 0, F.lit("NULL")).otherwise(note)),
+                _line(6, F.date_format("placed", "yyyy-MM-dd HH:mm:ss")),
+            ).alias("last_lines"),
+        )
     )
     insert = text("### INSERT INTO ", F.col("target"), "\n", _image("SET", F.lit("N")))
     update = text("### UPDATE ", F.col("target"), "\n", _image("WHERE", F.lit("N")), _image("SET", status))
@@ -56,11 +64,7 @@ def order_events(spark, folder: str) -> DataFrame:
     )
 
     def event(step: int, what, body) -> Column:
-        day = F.date_format("placed", "yyMMdd H:mm:ss")
-        server = key % 3 + 1
-        return text(
-            F.col("at") + step, "\n#", day, " server id ", server, "  end_log_pos ", F.col("at") + step + 1, " CRC32 0x1f \t", what, "\n", body
-        )
+        return text(F.col("at") + step, F.col("header"), F.col("at") + step + 1, " CRC32 0x1f \t", what, "\n", body)
 
     events = F.array(
         event(0, text("Table_map: ", F.col("target"), " mapped to number 70"), F.lit("")),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fleetledger.operators import links as L
 from fleetledger.plans import reconcile as P
 from fleetledger.plans.tables import seconds, table
+from fleetledger.session import settle, spread
 from fleetledger.streaming.heartbeats import heartbeat_gaps, silent_now
 
 NOW = "2024-01-31 00:00:00"
@@ -132,7 +133,7 @@ def links_parse(spark, folder) -> DataFrame:
         F.when(event % 5 == 0, F.lit("")).otherwise(_text("10.0.0.", F.col("user_id") % 250)),
         _pick(event, "Yes", "Connecting", "No", "Yes"), F.when(event % 3 == 0, F.lit("No")).otherwise(F.lit("Yes")), F.col("props"),
     )
-    texts = table(spark, folder, "events", "event_id", "user_id", "props").select("event_id", text.alias("text"))
+    texts = spread(table(spark, folder, "events", "event_id", "user_id", "props")).select("event_id", text.alias("text"))
     parsed = L.with_health(L.parse_link_status(texts))
     return parsed.select(
         "event_id", F.col("Master_Host").alias("master"), F.col("Slave_IO_State").alias("io_state"), F.col("Slave_IO_Running").alias("io"),
@@ -208,7 +209,7 @@ def _fleet(spark, folder) -> dict:
     user, k = F.col("user_id"), F.col("k")
     nth = F.floor(user / 25)
     kinds = {"view": "b1", "click": "b2", "error": "u1", "purchase": "u2"}
-    users = (
+    users = settle(
         table(spark, folder, "events", "user_id", "event_type", "ts")
         .groupBy("user_id")
         .agg(*[F.max(F.when(F.col("event_type") == kind, F.col("ts"))).alias(name) for kind, name in kinds.items()])

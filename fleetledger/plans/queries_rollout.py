@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetledger.operators import rollout as R
 from fleetledger.plans.tables import seconds, table
+from fleetledger.session import settle
 
 NOW = "2001-08-02 00:00:00"
 
@@ -146,7 +147,7 @@ def _oplog(spark, folder) -> DataFrame:
     )
     order, hour = [F.col("lastUpdate"), F.col("event_id")], F.date_trunc("hour", "lastUpdate")
     cut = F.col("lastUpdate") < F.lit("2024-01-20").cast("timestamp")
-    existing = R.append_oplog(rows.limit(0), rows.where(cut), order, hour)
+    existing = settle(R.append_oplog(rows.limit(0), rows.where(cut), order, hour))
     return R.append_oplog(existing, rows.where(~cut), order, hour)
 
 

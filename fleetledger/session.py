@@ -24,6 +24,8 @@ def build_session(app: str = "fleetledger", master: str | None = None, **conf: s
     shuffles and splits skewed join partitions.
     """
     builder = SparkSession.builder.appName(app)
+    # Set before the session starts: no stack traces for every column expression.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
