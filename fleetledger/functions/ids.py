@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the id layout.
@@ -53,3 +53,16 @@ def snowflake_parts(identifier: Column) -> Column:
 def snowflake_floor(ts: Column) -> Column:
     """Smallest identifier of a moment: bounds a time range on the id column itself."""
     return assemble(id_millis(ts), F.lit(0), F.lit(0))
+
+
+def create_sql_functions(spark: SparkSession) -> None:
+    """Make ``snowflake_id(ts, machine, seq)`` available to SQL text of this session; all but ``ts`` may be left out."""
+    spark.sql(
+        f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION snowflake_id(ts TIMESTAMP, machine BIGINT DEFAULT NULL, seq BIGINT DEFAULT 0)
+        RETURNS BIGINT
+        RETURN shiftleft(unix_millis(timestamp_micros(unix_micros(ts) + 500)) - {EPOCH_MS}, {TIME_SHIFT})
+             | shiftleft(coalesce(pmod(machine, {MACHINES}), {DEFAULT_MACHINE}), {MACHINE_SHIFT})
+             | pmod(seq, {SEQUENCES})
+        """
+    )

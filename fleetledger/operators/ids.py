@@ -17,8 +17,9 @@ def with_snowflake_id(df: DataFrame, ts: Column, machine, order: list[Column], n
     """Event-time identifiers: the sequence restarts for each machine and millisecond.
 
     A millisecond of one machine holds 4096 identifiers; one more row is an error.
-    The filter lets Spark drop the rows beyond that before the shuffle, so an
-    overfull millisecond fails without gathering all its rows.
+    The filter lets Spark drop the rows beyond that before the shuffle (see the
+    group limit in ``session.SETTINGS``), so an overfull millisecond fails without
+    gathering all its rows.
     """
     slots = df.withColumn("_ms", id_millis(ts)).withColumn("_slot", machine_slot(machine))
     numbered = slots.withColumn(

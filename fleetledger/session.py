@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A millisecond holds 4096 identifiers; rows beyond that are cut before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
 
 

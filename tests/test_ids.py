@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fleetledger.functions.ids import snowflake, snowflake_floor, snowflake_parts
+from fleetledger.functions.ids import create_sql_functions, snowflake, snowflake_floor, snowflake_parts
 from fleetledger.operators.ids import with_bulk_snowflake_id, with_snowflake_id
 from fleetledger.operators.sequence import number_within
 
@@ -70,3 +70,13 @@ def test_number_within_matches_brute_force_on_a_hot_group(spark, sliced):
         for pos, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2])), 1):
             expected[r[2]] = pos
     assert {r.n: r.pos for r in out.collect()} == expected
+
+
+def test_sql_function_equals_the_column_form(spark):
+    create_sql_functions(spark)
+    rows = spark.range(2000).selectExpr("timestamp_micros(1700000000000000 + id * 1234567) as ts", "nullif(id - 1000, 5) as m", "id * 3 as s")
+    both = rows.select(
+        snowflake(F.col("ts"), F.col("m"), F.col("s")).alias("a"), F.expr("snowflake_id(ts, m, s)").alias("b"),
+        snowflake(F.col("ts")).alias("c"), F.expr("snowflake_id(ts)").alias("d"),
+    )
+    assert both.where("a <> b or c <> d").count() == 0
