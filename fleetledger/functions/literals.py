@@ -13,16 +13,15 @@ _TEMPORAL = r"-?[0-9]++[-:][0-9]++[-:][0-9]++(?:[ T][0-9]++:[0-9]++:[0-9]++)?(?:
 _UNESCAPED = r"((?<!\\)(?:\\\\)*+)"
 LITERAL = rf"(?:{_QUOTED}|{_NUMBER}|{_TEMPORAL}|b'[01]*+'|NULL)"
 # What may follow a literal on its line: the unsigned reading of a number, and a type comment.
-TRAILER = r"(?m) *(?: \([0-9]+\)(?: /\*[^*\n]*\*/)?| /\*[^*\n]*\*/) *$"
+TRAILER = r"(?: *+\([0-9]++\))?+(?: *+/\*[^*\n]*+\*/)?+ *+"
 
 
 def clean_literals(lines: Column) -> Column:
     """Text of one literal per line without type comments and unsigned readings.
 
-    Works on all lines at once; a quoted string ends its line with a quote, so
-    nothing inside it can match.
+    A quoted string ends its line with a quote, so nothing inside it can match.
     """
-    return F.regexp_replace(lines, TRAILER, "")
+    return F.regexp_replace(lines, r"(?m) *(?: \([0-9]+\)(?: /\*[^*\n]*\*/)?| /\*[^*\n]*\*/) *$", "")
 
 
 def is_literal(literal: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from fleetledger.functions.literals import (
     LITERAL,
+    TRAILER,
     clean_literals,
     literal_value,
     quote_name,
@@ -24,8 +25,9 @@ STATEMENT = r"\n### (?=INSERT INTO|UPDATE |DELETE FROM)"
 TARGET = r"^(?:INSERT INTO|UPDATE|DELETE FROM) (?:`((?:[^`]|``)+)`\.)?`((?:[^`]|``)+)`"
 BEFORE_MARK = "\n### WHERE\n"
 AFTER_MARK = "\n### SET\n"
-VALUE_LINE = r"(?m)^###   @([0-9]+)=(.*)$"
-VALID_LINE = rf"(?m)^###   @[0-9]+={LITERAL}$"
+ANY_LINE = r"(?m)^###   @([0-9]++)=(.*)$"
+VALUE_LINE = rf"(?m)^###   @([0-9]++)=({LITERAL}){TRAILER}$"
+VALUE_MARK = "\n###   @"
 
 TEXT = "TEXT"
 
@@ -120,29 +122,43 @@ def exclude_schemas(changes: DataFrame, schemas: list[str] | DataFrame) -> DataF
 def row_images(statements: DataFrame) -> DataFrame:
     """Replace ``block`` by ``before`` and ``after``, arrays of (ordinal, literal), ``well_formed`` and ``text``.
 
-    Each image is cleaned, checked and cut by a few expressions over its whole text.
+    Values are cut out together with the check of their form; only an image with a
+    value that fails it is cut again without the check.
     """
     block = F.when(F.col("op") != TEXT, F.col("block")).otherwise(F.lit(""))
     before_set = F.split_part(block, F.lit(AFTER_MARK), F.lit(1))
     parts = statements.withColumns(
         {
-            "_before": clean_literals(F.split_part(before_set, F.lit(BEFORE_MARK), F.lit(2))),
-            "_after": clean_literals(F.split_part(block, F.lit(AFTER_MARK), F.lit(2))),
+            "_before": F.split_part(before_set, F.lit(BEFORE_MARK), F.lit(2)),
+            "_after": F.split_part(block, F.lit(AFTER_MARK), F.lit(2)),
+        }
+    ).withColumns(
+        {
+            "_good_before": _values("_before", VALUE_LINE, F.col("_before")),
+            "_good_after": _values("_after", VALUE_LINE, F.col("_after")),
         }
     )
-    good = F.regexp_count("_before", F.lit(VALID_LINE)) + F.regexp_count("_after", F.lit(VALID_LINE))
+
+    def is_good(name: str) -> Column:
+        text = F.concat(F.lit("\n"), F.col(f"_{name}"))
+        marks = (F.length(text) - F.length(F.replace(text, F.lit(VALUE_MARK), F.lit("")))) / len(VALUE_MARK)
+        return F.size(f"_good_{name}") == marks
+
+    def image(name: str) -> Column:
+        lenient = _values(f"_{name}", ANY_LINE, clean_literals(F.col(f"_{name}")))
+        return F.when(is_good(name), F.col(f"_good_{name}")).otherwise(lenient)
+
     return (
-        parts.withColumns({"before": _image("_before"), "after": _image("_after")})
-        .withColumn("well_formed", good == F.size("before") + F.size("after"))
+        parts.withColumns({"before": image("before"), "after": image("after"), "well_formed": is_good("before") & is_good("after")})
         .withColumn("text", F.when(F.col("op") == TEXT, F.col("block")))
-        .drop("block", "_before", "_after")
+        .drop("block", "_before", "_after", "_good_before", "_good_after")
     )
 
 
-def _image(part: str) -> Column:
+def _values(part: str, line: str, text: Column) -> Column:
     return F.arrays_zip(
-        F.regexp_extract_all(part, F.lit(VALUE_LINE), 1).cast("array<int>").alias("ordinal"),
-        F.regexp_extract_all(part, F.lit(VALUE_LINE), 2).alias("literal"),
+        F.regexp_extract_all(part, F.lit(line), 1).cast("array<int>").alias("ordinal"),
+        F.regexp_extract_all(text, F.lit(line), 2).alias("literal"),
     )
 
 

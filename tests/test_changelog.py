@@ -135,6 +135,16 @@ def test_sql_and_rejects(log):
     assert [(r.pos, r.row_no, r.reason, r.ordinals) for r in bad] == [(450, 1, "unknown column", [3])]
 
 
+def test_malformed_values_are_kept_and_rejected(spark, log):
+    block = "INSERT INTO `shop`.`t`\n### SET\n###   @1=5 /* INT */\n###   @2=?? what /* X */"
+    tricky = "INSERT INTO `shop`.`t`\n### SET\n###   @1=5\n###   @2='a ###   @9=1 /* INT */ (7)' /* X */"
+    rows = [("bin.000001", 1, 9, 0, "INSERT", "shop", "t", block), ("bin.000001", 1, 9, 1, "INSERT", "shop", "t", tricky)]
+    df = spark.createDataFrame(rows, "file string, file_no long, pos long, row_no int, op string, db string, `table` string, block string")
+    out = {r.row_no: r for r in C.resolve_columns(C.row_images(df), log[1]).collect()}
+    assert [x.literal for x in out[0].after] == ["5", "?? what"] and out[0].rejected == "malformed value"
+    assert [x.literal for x in out[1].after] == ["5", "'a ###   @9=1 /* INT */ (7)'"] and out[1].rejected is None
+
+
 def test_exclusion_by_table(spark, log):
     names = spark.createDataFrame([("work",), ("work",)], "db string")
     assert C.exclude_schemas(resolved(log), names).where("db = 'work'").count() == 0
