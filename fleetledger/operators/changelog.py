@@ -20,6 +20,7 @@ from fleetledger.functions.literals import (
 
 # Fixed values of the text format.
 HEADER = r"^#[0-9]{6} +[0-9]+:[0-9]{2}:[0-9]{2} +server id +[0-9]+ "
+WHOLE_EVENT = r"^[0-9]+\n#[0-9]{6} +[0-9]+:[0-9]{2}:[0-9]{2} +server id +[0-9]+ "
 HEADER_TIME = "yyMMdd H:mm:ss"
 STATEMENT = r"\n### (?=INSERT INTO|UPDATE |DELETE FROM)"
 TARGET = r"^(?:INSERT INTO|UPDATE|DELETE FROM) (?:`((?:[^`]|``)+)`\.)?`((?:[^`]|``)+)`"
@@ -66,9 +67,17 @@ def parse_headers(events: DataFrame) -> DataFrame:
     )
 
 
+def _is_whole() -> Column:
+    return (F.col("pos") == 0) | F.col("record").rlike(WHOLE_EVENT)
+
+
 def broken_events(events: DataFrame) -> DataFrame:
-    """Pieces whose second line is not an event header: an event mark stood inside other text."""
-    return events.where((F.col("pos") > 0) & ~_header_line().rlike(HEADER))
+    """Pieces whose second line is not an event header: an event mark stood inside other text.
+
+    Their place in the log is unknown, so the operators below leave them out; check
+    that there are none before a script or a replay is used.
+    """
+    return events.where(~_is_whole())
 
 
 def row_statements(events: DataFrame, include_text: bool = False) -> DataFrame:
@@ -91,12 +100,12 @@ def row_statements(events: DataFrame, include_text: bool = False) -> DataFrame:
                 lambda p: p["block"] != "",
             ),
         )
-        cut = events.select("file", "file_no", "pos", F.explode(pieces).alias("p")).select(
+        cut = events.where(_is_whole()).select("file", "file_no", "pos", F.explode(pieces).alias("p")).select(
             "file", "file_no", "pos", "p.row_no", "p.block"
         )
         is_text = ~F.col("row_no").between(0, TRAILING - 1)
     else:
-        cut = events.where(F.col("record").contains("\n### ")).select(
+        cut = events.where(F.col("record").contains("\n### ") & _is_whole()).select(
             "file", "file_no", "pos", F.posexplode(blocks).alias("row_no", "block")
         )
         is_text = F.lit(False)
@@ -270,7 +279,8 @@ def pass_through(events: DataFrame) -> DataFrame:
         F.struct(F.lit(LEADING).alias("row_no"), lead.alias("sql")), F.struct(F.lit(TRAILING).alias("row_no"), tail.alias("sql"))
     )
     return (
-        events.select("file", "file_no", "pos", F.explode(parts).alias("p"))
+        events.where(_is_whole())
+        .select("file", "file_no", "pos", F.explode(parts).alias("p"))
         .select("file", "file_no", "pos", "p.row_no", "p.sql")
         .where(F.col("sql") != "")
     )

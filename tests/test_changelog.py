@@ -101,7 +101,9 @@ def test_files_split_by_block_keep_whole_events(spark, tmp_path):
 
 def test_mark_inside_text_is_reported(spark, tmp_path):
     (tmp_path / "bin.000001").write_text("# at 4\n#170921 20:28:37 server id 1  end_log_pos 9 \tQuery\nselect '\n# at 5\n'\n")
-    assert [r.pos for r in C.broken_events(read_events(spark, str(tmp_path))).collect()] == [5]
+    events = read_events(spark, str(tmp_path))
+    assert [r.pos for r in C.broken_events(events).collect()] == [5]
+    assert [r.pos for r in C.pass_through(events).collect()] == [4]
 
 
 def test_catalog(log):
