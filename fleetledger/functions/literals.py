@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Possessive groups: no backtracking and no recursion on long strings.
-_QUOTED = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
-_NUMBER = r"[-+]?[0-9][0-9]*+(?:\.[0-9]*+)?(?:[eE][-+]?[0-9]++)?"
-_TEMPORAL = r"-?[0-9]++[-:][0-9]++[-:][0-9]++(?:[ T][0-9]++:[0-9]++:[0-9]++)?(?:\.[0-9]++)?"
+# Only groups need to be possessive: no recursion on long strings.  Runs of one
+# character class are plain, which the matcher does in a tight loop.
+_QUOTED = r"'[^'\\\n]*(?:\\.[^'\\\n]*)*+'"
+_NUMBER = r"[-+]?[0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?"
+_TEMPORAL = r"-?[0-9]+[-:][0-9]+[-:][0-9]+(?:[ T][0-9]+:[0-9]+:[0-9]+)?(?:\.[0-9]+)?"
 # A place where a backslash starts an escape.
 _UNESCAPED = r"((?<!\\)(?:\\\\)*+)"
-LITERAL = rf"(?:{_QUOTED}|{_NUMBER}|{_TEMPORAL}|b'[01]*+'|NULL)"
+LITERAL = rf"(?:{_QUOTED}|{_NUMBER}|{_TEMPORAL}|b'[01]*'|NULL)"
 # What may follow a literal on its line: the unsigned reading of a number, and a type comment.
-TRAILER = r"(?: *+\([0-9]++\))?+(?: *+/\*[^*\n]*+\*/)?+ *+"
+TRAILER = r"(?: *\([0-9]+\))?(?: */\*[^*\n]*\*/)? *"
 
 
 def clean_literals(lines: Column) -> Column:
@@ -101,3 +102,9 @@ def _named_escapes(text: Column) -> Column:
     for written, plain in [("\\n", "\n"), ("\\r", "\r"), ("\\0", "\0"), ("\\t", "\t"), ("\\Z", "\x1a")]:
         text = F.replace(text, F.lit(written), F.lit(plain))
     return F.regexp_replace(text, r"\\(.)", "$1")
+
+
+def count_of(text: Column, piece: str) -> Column:
+    """How often ``piece`` (ASCII) occurs in ``text``."""
+    rest = F.replace(text, F.lit(piece), F.lit(""))
+    return ((F.octet_length(text) - F.octet_length(rest)) / len(piece)).cast("int")

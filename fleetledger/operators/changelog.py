@@ -12,6 +12,7 @@ from fleetledger.functions.literals import (
     LITERAL,
     TRAILER,
     clean_literals,
+    count_of,
     literal_value,
     quote_name,
     sql_literals,
@@ -26,8 +27,8 @@ STATEMENT = r"\n### (?=INSERT INTO|UPDATE |DELETE FROM)"
 TARGET = r"^(?:INSERT INTO|UPDATE|DELETE FROM) (?:`((?:[^`]|``)+)`\.)?`((?:[^`]|``)+)`"
 BEFORE_MARK = "\n### WHERE\n"
 AFTER_MARK = "\n### SET\n"
-ANY_LINE = r"(?m)^###   @([0-9]++)=(.*)$"
-VALUE_LINE = rf"(?m)^###   @([0-9]++)=({LITERAL}){TRAILER}$"
+ANY_LINE = r"\n###   @([0-9]+)=([^\n]*)"
+VALUE_LINE = rf"\n###   @([0-9]+)=({LITERAL}){TRAILER}(?=\n|\z)"
 VALUE_MARK = "\n###   @"
 
 TEXT = "TEXT"
@@ -89,19 +90,18 @@ def row_statements(events: DataFrame, include_text: bool = False) -> DataFrame:
     blocks = F.slice(F.split("record", STATEMENT), 2, 1 << 30)
     block = F.col("block")
     if include_text:
-        lead, tail = _plain_text()
-        pieces = F.concat(
-            F.transform(blocks, lambda b, i: F.struct(i.alias("row_no"), b.alias("block"))),
-            F.filter(
-                F.array(
-                    F.struct(F.lit(LEADING).alias("row_no"), lead.alias("block")),
-                    F.struct(F.lit(TRAILING).alias("row_no"), tail.alias("block")),
-                ),
-                lambda p: p["block"] != "",
-            ),
-        )
-        cut = events.where(_is_whole()).select("file", "file_no", "pos", F.explode(pieces).alias("p")).select(
-            "file", "file_no", "pos", "p.row_no", "p.block"
+        numbered = F.transform(blocks, lambda b, i: F.struct(i.alias("row_no"), b.alias("block")))
+
+        def text_piece(row_no: int, name: str) -> Column:
+            piece = F.array(F.struct(F.lit(row_no).alias("row_no"), F.col(name).alias("block")))
+            return F.when(F.col(name) != "", piece).otherwise(F.slice("_rows", 1, 0))
+
+        pieces = F.concat(F.col("_rows"), text_piece(LEADING, "_lead"), text_piece(TRAILING, "_tail"))
+        cut = (
+            _with_plain_text(events)
+            .withColumn("_rows", numbered)
+            .select("file", "file_no", "pos", F.explode(pieces).alias("p"))
+            .select("file", "file_no", "pos", "p.row_no", "p.block")
         )
         is_text = ~F.col("row_no").between(0, TRAILING - 1)
     else:
@@ -138,8 +138,8 @@ def row_images(statements: DataFrame) -> DataFrame:
     before_set = F.split_part(block, F.lit(AFTER_MARK), F.lit(1))
     parts = statements.withColumns(
         {
-            "_before": F.split_part(before_set, F.lit(BEFORE_MARK), F.lit(2)),
-            "_after": F.split_part(block, F.lit(AFTER_MARK), F.lit(2)),
+            "_before": F.concat(F.lit("\n"), F.split_part(before_set, F.lit(BEFORE_MARK), F.lit(2))),
+            "_after": F.concat(F.lit("\n"), F.split_part(block, F.lit(AFTER_MARK), F.lit(2))),
         }
     ).withColumns(
         {
@@ -149,8 +149,7 @@ def row_images(statements: DataFrame) -> DataFrame:
     )
 
     def is_good(name: str) -> Column:
-        text = F.concat(F.lit("\n"), F.col(f"_{name}"))
-        marks = (F.length(text) - F.length(F.replace(text, F.lit(VALUE_MARK), F.lit("")))) / len(VALUE_MARK)
+        marks = count_of(F.col(f"_{name}"), VALUE_MARK)
         return F.size(f"_good_{name}") == marks
 
     def image(name: str) -> Column:
@@ -258,28 +257,40 @@ def to_sql(resolved: DataFrame) -> DataFrame:
     )
 
 
-def _plain_text() -> tuple[Column, Column]:
-    """Lines of a record that are not comments: before its row statements, and after them."""
-    rows = F.instr("record", "\n### ")
-    lead = F.when(rows > 0, F.substring("record", F.lit(1), rows - 1)).otherwise(F.col("record"))
-    tail = F.when(rows > 0, F.substring("record", rows + 1, F.length("record"))).otherwise(F.lit(""))
-    body = F.when(F.col("pos") > 0, F.regexp_replace(lead, r"^[0-9]+(?:\n|$)", "")).otherwise(lead)
-
-    def plain(text: Column) -> Column:
-        kept = F.regexp_replace(text, r"(?m)^#[^\n]*(?:\n|$)", "")
-        return F.regexp_replace(kept, r"\n+$|(?<=\n)\n+|^\n+", "")
+def _with_plain_text(events: DataFrame) -> DataFrame:
+    """Whole events with ``_lead`` and ``_tail``: lines that are not comments, before and after the row statements."""
+    head = F.substring_index("record", "\n### ", 1)
+    # The first line of an event is its position.
+    first_break = F.instr("_head", "\n")
+    body = F.when(F.col("pos") == 0, F.col("_head")).when(first_break > 0, F.substring("_head", first_break + 1, F.length("_head")))
+    rest = F.when(F.length("_head") < F.length("record"), F.substring("record", F.length("_head") + 2, F.length("record")))
+
+    def plain(name: str) -> Column:
+        lines = F.col(name)
+        kept = F.regexp_replace(lines, r"(?m)^#[^\n]*(?:\n|$)", "")
+        comments = count_of(lines, "\n#") + lines.startswith("#").cast("int")
+        only_comments = comments == count_of(lines, "\n") + 1
+        return F.when(lines.isNull() | only_comments, F.lit("")).otherwise(
+            F.regexp_replace(kept, r"\n+$|(?<=\n)\n+|^\n+", "")
+        )
 
-    return plain(body), plain(tail)
+    return (
+        events.where(_is_whole())
+        .withColumn("_head", head)
+        .withColumns({"_body": F.coalesce(body, F.lit("")), "_rest": rest})
+        .withColumns({"_lead": plain("_body"), "_tail": plain("_rest")})
+        .drop("_head", "_body", "_rest")
+    )
 
 
 def pass_through(events: DataFrame) -> DataFrame:
     """Lines that are not comments (definitions, BEGIN/COMMIT, delimiters), in statement form."""
-    lead, tail = _plain_text()
     parts = F.array(
-        F.struct(F.lit(LEADING).alias("row_no"), lead.alias("sql")), F.struct(F.lit(TRAILING).alias("row_no"), tail.alias("sql"))
+        F.struct(F.lit(LEADING).alias("row_no"), F.col("_lead").alias("sql")),
+        F.struct(F.lit(TRAILING).alias("row_no"), F.col("_tail").alias("sql")),
     )
     return (
-        events.where(_is_whole())
+        _with_plain_text(events)
         .select("file", "file_no", "pos", F.explode(parts).alias("p"))
         .select("file", "file_no", "pos", "p.row_no", "p.sql")
         .where(F.col("sql") != "")
