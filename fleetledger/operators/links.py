@@ -43,8 +43,7 @@ def pivot_status(kv: DataFrame, names: tuple[str, ...] = NODE_VALUES) -> DataFra
 
 def nodes_from_status(status: DataFrame) -> DataFrame:
     """``cluster, host, localIndex, sane`` from pivoted node status; nodes that do not name themselves are left out."""
-    named = F.col("wsrep_cluster_name").isNotNull() & F.col("wsrep_node_name").isNotNull()
-    return status.where(named).select(
+    return status.where(F.col("wsrep_node_name").isNotNull()).select(
         F.col("wsrep_cluster_name").alias("cluster"),
         F.col("wsrep_node_name").alias("host"),
         F.col("wsrep_local_index").try_cast("int").alias("localIndex"),

@@ -111,7 +111,7 @@ def _status_values(spark, folder) -> DataFrame:
 
 
 def _nodes(spark, folder) -> DataFrame:
-    return L.nodes_from_status(L.pivot_status(_status_values(spark, folder)))
+    return L.nodes_from_status(L.pivot_status(_status_values(spark, folder))).where(F.col("cluster").isNotNull())
 
 
 def links_status(spark, folder) -> DataFrame:
