@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import forced_boundary_bpe
+from fleetledger.llm import forced_boundary_bpe, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -14,6 +14,12 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token count of every document."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded."""
     docs = table(spark, folder, "documents", "doc_id", "text")
@@ -22,5 +28,6 @@ def op9_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_token_counts": (op6_token_counts, None),
     "op9_forced_boundary_bpe": (op9_forced_boundary_bpe, None),
 }
