@@ -25,25 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from fleetledger.llm.piece_cache import CACHE_ENTRIES, CACHE_PIECE, PieceCache
 from fleetledger.llm.unicode_classes import BYTE_LEVEL, byte_symbols, pieces
 
-#: Entries that a cache may hold before it is emptied, and the longest piece that is kept.
-CACHE_ENTRIES, CACHE_PIECE = 400_000, 64
-
-
-class _Pieces(dict):
-    """Pre-token to its packed ids, encoded when first met."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self._encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = self._encode(piece.encode())
-        if len(piece) <= CACHE_PIECE:
-            self[piece] = packed
-        return packed
-
 
 class ForcedBoundaryBpe:
     """Encoder and decoder of one vocabulary file (JSON of the tokenizers library, byte-level BPE)."""
@@ -74,7 +58,7 @@ class ForcedBoundaryBpe:
         self.symbols = dict(enumerate(byte_symbols()))
         #: Merges within one fragment are the library's.
         self.model = Tokenizer.from_file(vocabulary).model
-        self.pieces = _Pieces(self._piece)
+        self.pieces = PieceCache(self._piece)
 
     def cut(self, data: bytes) -> list[bytes]:
         """The fragments of ``data`` between forced boundaries."""
@@ -95,15 +79,14 @@ class ForcedBoundaryBpe:
                 self.fragments[data] = known
         return known
 
-    def _piece(self, data: bytes) -> bytes:
-        return b"".join(map(self._fragment, self.cut(data)))
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(map(self._fragment, self.cut(piece.encode())))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text, packed as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
+        self.pieces.trim()
         if len(self.fragments) > CACHE_ENTRIES:
             self.fragments.clear()
         of_piece = self.pieces.__getitem__

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import forced_boundary_bpe, token_counts
+from fleetledger.llm import forced_boundary_bpe, token_counts, token_files
+from fleetledger.session import shared_folder
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -27,7 +28,17 @@ def op9_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", done.alias("done")).select("doc_id", "done.*")
 
 
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids, written to token files and read back from them."""
+    target = shared_folder(spark, "token-files")
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    token_files.write_token_files(docs, target, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    back = token_files.read_token_files(spark, target)
+    return back.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op6_token_counts": (op6_token_counts, None),
     "op9_forced_boundary_bpe": (op9_forced_boundary_bpe, None),
+    "op10_token_files": (op10_token_files, None),
 }
