@@ -6,15 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import forced_boundary_bpe, token_counts, token_files
+from fleetledger.llm import forced_boundary_bpe, host_reputation, sql_counterparts, token_counts, token_files
 from fleetledger.session import shared_folder
 
 
+#: Rules of the URL query.
+RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """Columns of a supplied table."""
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+def op4_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    pages = table(spark, folder, "pages", "page_id", "url")
+    return host_reputation.judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token count of every document."""
     docs = table(spark, folder, "documents", "doc_id", "text")
@@ -38,6 +48,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_host_reputation": (op4_host_reputation, sql_counterparts.url_verdicts(RULES)),
     "op6_token_counts": (op6_token_counts, None),
     "op9_forced_boundary_bpe": (op9_forced_boundary_bpe, None),
     "op10_token_files": (op10_token_files, None),
