@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import forced_boundary_bpe, host_reputation, sql_counterparts, token_counts, token_files
+from fleetledger.llm import forced_boundary_bpe, host_reputation, secret_scan, sql_counterparts, token_counts, token_files
 from fleetledger.session import shared_folder
 
 
@@ -31,6 +31,17 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    found = docs.select("doc_id", secret_scan.secret_spans(F.col("text")).alias("found"))
+    of_kind = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("found", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return found.select(
+        "doc_id", *map(of_kind, secret_scan.BASE), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("found")).alias("spans")
+    )
+
+
 def op9_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded."""
     docs = table(spark, folder, "documents", "doc_id", "text")
@@ -50,6 +61,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op4_host_reputation": (op4_host_reputation, sql_counterparts.url_verdicts(RULES)),
     "op6_token_counts": (op6_token_counts, None),
+    "op8_secret_scan": (op8_secret_scan, None),
     "op9_forced_boundary_bpe": (op9_forced_boundary_bpe, None),
     "op10_token_files": (op10_token_files, None),
 }
