@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import forced_boundary_bpe, host_reputation, secret_scan, sql_counterparts, token_counts, token_files
+from fleetledger.llm import forced_boundary_bpe, host_reputation, quality_ratio, secret_scan, sql_counterparts, token_counts, token_files
 from fleetledger.session import shared_folder
 
 
@@ -19,6 +19,12 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+def op3_quality_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    docs, labels = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "*")
+    return quality_ratio.quality_rules(docs, labels).drop("score")
+
+
 def op4_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page's URL."""
     pages = table(spark, folder, "pages", "page_id", "url")
@@ -59,6 +65,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_ratio": (op3_quality_ratio, None),
     "op4_host_reputation": (op4_host_reputation, sql_counterparts.url_verdicts(RULES)),
     "op6_token_counts": (op6_token_counts, None),
     "op8_secret_scan": (op8_secret_scan, None),
