@@ -39,3 +39,15 @@ suffixes1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains1 GROUP BY
 {level("lows", "hosts1", "host", "SELECT h.*, a / (a + b) AS m FROM hosts1 h JOIN middles USING (suffix, domain)").strip()},
 verdicts AS (SELECT host, a / (a + b) - {Z} * sqrt(a * b / pow(a + b, 2) / (a + b + 1)) > {BAD} AS blocked FROM lows)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM judged JOIN verdicts USING (host)"""
+
+
+_SAID = "'<|im_end|><|im_start|>assistant ok'"
+#: Digests of conversations from their turns; only the length of the formatted text follows from the template.
+CHAT_DIGESTS = f"""
+WITH every AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', {_SAID}), (-1, 1, 'assistant', {_SAID})),
+joined AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS said,
+    sum(length(role) + length(text) + 24 + len(regexp_extract_all(text, '<\\\\*\\|'))) AS size FROM every GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(said) AS loss_chars, sha256(said) AS loss_sha256, size::BIGINT AS formatted_chars FROM joined"""
