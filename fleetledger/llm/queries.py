@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import chat_format, forced_boundary_bpe, host_reputation, quality_ratio, secret_scan, sql_counterparts, token_counts, token_files
+from fleetledger.llm import benchmark_leaks, chat_format, forced_boundary_bpe, host_reputation, quality_ratio, secret_scan, sql_counterparts, token_counts, token_files
 from fleetledger.session import shared_folder
 
 
@@ -40,6 +40,11 @@ def op4_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
     return host_reputation.judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds."""
+    return benchmark_leaks.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token count of every document."""
     docs = table(spark, folder, "documents", "doc_id", "text")
@@ -77,6 +82,7 @@ QUERIES = {
     "op2_chat_format": (op2_chat_format, sql_counterparts.CHAT_DIGESTS),
     "op3_quality_ratio": (op3_quality_ratio, None),
     "op4_host_reputation": (op4_host_reputation, sql_counterparts.url_verdicts(RULES)),
+    "op5_benchmark_leaks": (op5_benchmark_leaks, None),
     "op6_token_counts": (op6_token_counts, None),
     "op8_secret_scan": (op8_secret_scan, None),
     "op9_forced_boundary_bpe": (op9_forced_boundary_bpe, None),
