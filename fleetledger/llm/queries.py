@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import benchmark_leaks, chat_format, forced_boundary_bpe, host_reputation, quality_ratio, secret_scan, sql_counterparts, token_counts, token_files
+from fleetledger.llm import benchmark_leaks, chat_format, forced_boundary_bpe, host_reputation, quality_ratio, secret_scan, simhash_variants, sql_counterparts, token_counts, token_files
 from fleetledger.session import shared_folder
 
 
@@ -19,6 +19,11 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+def op1_simhash_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash_variants.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation formatted, read back from the formatted text; one that holds control strings is added."""
     turns = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
@@ -79,6 +84,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_variants": (op1_simhash_variants, None),
     "op2_chat_format": (op2_chat_format, sql_counterparts.CHAT_DIGESTS),
     "op3_quality_ratio": (op3_quality_ratio, None),
     "op4_host_reputation": (op4_host_reputation, sql_counterparts.url_verdicts(RULES)),
