@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import benchmark_leaks, chat_format, forced_boundary_bpe, host_reputation, quality_ratio, secret_scan, simhash_variants, sql_counterparts, token_counts, token_files
+from fleetledger.llm import benchmark_leaks, chat_format, forced_boundary_bpe, host_reputation, line_neighbours, quality_ratio, secret_scan, simhash_variants, sql_counterparts, token_counts, token_files
 from fleetledger.session import shared_folder
 
 
@@ -56,6 +56,13 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_line_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines removed from every document, and what stays."""
+    done = line_neighbours.dedup_lines(table(spark, folder, "documents", "doc_id", "text"))
+    counts = [F.col(c).cast("long").alias(n) for c, n in (("_lines", "n_lines"), ("_removed", "n_removed"))]
+    return done.select("doc_id", *counts, F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets in every document."""
     docs = table(spark, folder, "documents", "doc_id", "text")
@@ -90,6 +97,7 @@ QUERIES = {
     "op4_host_reputation": (op4_host_reputation, sql_counterparts.url_verdicts(RULES)),
     "op5_benchmark_leaks": (op5_benchmark_leaks, None),
     "op6_token_counts": (op6_token_counts, None),
+    "op7_line_neighbours": (op7_line_neighbours, sql_counterparts.LINES_KEPT),
     "op8_secret_scan": (op8_secret_scan, None),
     "op9_forced_boundary_bpe": (op9_forced_boundary_bpe, None),
     "op10_token_files": (op10_token_files, None),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fleetledger.llm.host_reputation import BAD, CORRELATION, SUFFIXES, Z
+from fleetledger.llm.line_neighbours import ANCHOR, EXACT_WORDS, NEAR_WORDS
 
 
 def url_verdicts(rules: dict[str, str]) -> str:
@@ -51,3 +52,22 @@ joined AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || te
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS said,
     sum(length(role) + length(text) + 24 + len(regexp_extract_all(text, '<\\\\*\\|'))) AS size FROM every GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(said) AS loss_chars, sha256(said) AS loss_sha256, size::BIGINT AS formatted_chars FROM joined"""
+
+
+#: Lines removed for an earlier equal or neighbouring line: all pairs of distinct lines that share an end are compared word by word.
+LINES_KEPT = f"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+each AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM cut),
+every AS (SELECT doc_id, k, ls[k] AS raw, trim(ls[k], ' ') AS line FROM each),
+worded AS (SELECT *, string_split(line, ' ') AS w FROM every),
+firsts AS (SELECT line, any_value(w) AS w, min((doc_id, k)) AS place FROM worded WHERE len(w) >= {EXACT_WORDS} GROUP BY line),
+ends AS (SELECT line, w, place, unnest([('f', w[:{ANCHOR}]), ('l', w[-{ANCHOR}:])]) AS e FROM firsts WHERE len(w) >= {NEAR_WORDS}),
+pairs AS (SELECT DISTINCT a.line, a.w AS w, b.w AS v FROM ends a JOIN ends b USING (e) WHERE b.place < a.place AND abs(len(a.w) - len(b.w)) <= 1),
+near AS (SELECT DISTINCT line FROM pairs WHERE CASE len(w) - len(v)
+    WHEN 0 THEN len(list_filter(range(1, len(w) + 1), lambda i: w[i] <> v[i])) = 1
+    WHEN 1 THEN len(list_filter(range(1, len(w) + 1), lambda i: list_concat(w[:i - 1], w[i + 1:]) = v)) > 0
+    ELSE len(list_filter(range(1, len(v) + 1), lambda i: list_concat(v[:i - 1], v[i + 1:]) = w)) > 0 END),
+judged AS (SELECT x.doc_id, x.k, x.raw, f.place IS NOT NULL AND (f.place <> (x.doc_id, x.k) OR n.line IS NOT NULL) AS gone
+    FROM worded x LEFT JOIN firsts f ON x.line = f.line LEFT JOIN near n ON x.line = n.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    sha256(coalesce(string_agg(raw, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS text_sha256 FROM judged GROUP BY doc_id"""
