@@ -112,12 +112,16 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without superfluous lines; columns _lines and _removed (numbers of lines) are added."""
+    """``docs`` without superfluous lines; _lines, _removed (numbers of lines) and _emptied are added.
+
+    _emptied: lines were removed, and no line of EXACT_WORDS words is left.
+    """
     removed = removed_lines(docs, id_column, text).groupBy(F.col("_id").alias("_rid")).agg(F.collect_list("mark").alias("_marks"))
     joined = docs.join(removed, F.col(f"`{id_column}`").eqNullSafe(F.col("_rid")), "left")
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
     kept = F.filter(lines, lambda line, number: ~F.array_contains("_marks", _mark(number, F.trim(line))))
     kept = F.when(F.col("_marks").isNull(), lines).otherwise(kept)
     done = joined.withColumn("_lines", F.size(lines)).withColumn("_kept", kept).withColumn("_removed", F.col("_lines") - F.size("_kept"))
+    own = F.exists("_kept", lambda line: _n_words(F.trim(line)) >= EXACT_WORDS)
     columns = [F.array_join("_kept", "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*columns, F.greatest("_lines", F.lit(0)).alias("_lines"), F.greatest("_removed", F.lit(0)).alias("_removed"))
+    return done.select(*columns, F.greatest("_lines", F.lit(0)).alias("_lines"), F.greatest("_removed", F.lit(0)).alias("_removed"), F.coalesce((F.col("_removed") > 0) & ~own, F.lit(False)).alias("_emptied"))

@@ -18,6 +18,7 @@ empty table gives no rows; other columns are not read (``keep_one`` returns them
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -33,6 +34,8 @@ from fleetledger.session import settle, shared_folder
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
+#: Fingerprints by words of each document for ``keep_one``.
+TABLES = 4
 #: Fingerprints of one key that are compared at once.
 RUN = 2048
 
@@ -51,6 +54,30 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(begins)).tobytes(), "big")
 
 
+def word_fingerprints(text: str | None, tables: int = TABLES) -> list[int]:
+    """SimHashes of a text's words, each with the root of its number of occurrences as weight, by hashes of ``tables`` seeds."""
+    counts = Counter(text.encode().lower().split()) if text else {}
+    if not counts:
+        return [0] * tables
+    weights, out = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts))), []
+    for table in range(tables):
+        hashes = b"".join(map(xxhash.xxh64_digest, counts, repeat(SEED + 1 + table)))
+        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+        out.append(int.from_bytes(np.packbits(2 * (weights @ bits) > weights.sum()).tobytes(), "big"))
+    return out
+
+
+def word_fingerprint_column(text: Column) -> Column:
+    """Array of the word fingerprints of a text column."""
+
+    @F.pandas_udf("array<long>")
+    def simhashes(values: pd.Series) -> pd.Series:
+        found = np.array([word_fingerprints(v if isinstance(v, str) else None) for v in values], np.uint64).reshape(-1, TABLES)
+        return pd.Series(list(found.view(np.int64)), dtype=object)
+
+    return simhashes(text)
+
+
 def fingerprint_column(text: Column) -> Column:
     """Fingerprint of a text column, as a signed long."""
 
@@ -158,19 +185,26 @@ def links(prints: DataFrame) -> DataFrame:
     return first.where("key is null").unionAll(second).select("a", "b").distinct()
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
-    """doc_id and fingerprint of every document, stored in the shared folder."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark, "fingerprints")
-    own = docs.select(F.col(f"`{id_column}`").alias("doc_id"), fingerprint_column(F.col(f"`{text}`")).alias("fingerprint"), *more)
+def _stored(own: DataFrame) -> DataFrame:
+    """``own`` written to the shared folder and read again."""
+    folder = shared_folder(own.sparkSession, "fingerprints")
     own.write.parquet(folder)
-    return spark.read.parquet(folder)
+    return own.sparkSession.read.parquet(folder)
 
 
 def with_components(own: DataFrame) -> DataFrame:
-    """``own`` (doc_id, fingerprint) with component_id."""
+    """``own`` (doc_id, fingerprint) with component_id and root.
+
+    Where ``own`` has an array ``more`` of further fingerprints, a link of any of them counts.  Fingerprints of different
+    seeds agree in all but three bits by chance only, so they share one index.
+    """
     entries = settle(own.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
-    roots = connected(links(entries.select("fingerprint"))).withColumnRenamed("node", "fingerprint")
+    if "more" in own.columns:
+        ties = settle(own.select(F.col("fingerprint").alias("a"), F.explode("more").alias("b")).distinct())
+        edges = links(entries.select("fingerprint").unionAll(ties.select("b")).distinct()).unionAll(ties)
+    else:
+        edges = links(entries.select("fingerprint"))
+    roots = connected(edges).withColumnRenamed("node", "fingerprint")
     rooted = entries.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return own.join(rooted.join(named, "root").select("fingerprint", "component_id", "root"), "fingerprint", "left")
@@ -178,15 +212,22 @@ def with_components(own: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
-    joined = with_components(fingerprints(docs, id_column, text))
+    own = docs.select(F.col(f"`{id_column}`").alias("doc_id"), fingerprint_column(F.col(f"`{text}`")).alias("fingerprint"))
+    joined = with_components(_stored(own))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each component the row with the smallest id (nulls last; of equal ids one), with all columns of ``docs``."""
+    """Of each group of near-duplicates the row with the smallest id (nulls last; of equal ids one), with all columns of ``docs``.
+
+    Here texts are linked if any of their TABLES fingerprints by words differ in at most DISTANCE bits: shingles of three or five
+    words move too many bits when a few words change (README has figures).
+    """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     mark = [F.xxhash64(*columns).alias("_a"), F.xxhash64(F.lit(1), *[c.isNull() for c in columns], *columns).alias("_b")]
-    joined = with_components(fingerprints(docs, id_column, text, *mark))
+    own = docs.select(F.col(f"`{id_column}`").alias("doc_id"), word_fingerprint_column(F.col(f"`{text}`")).alias("prints"), *mark)
+    first_print = F.col("prints")[0].alias("fingerprint")
+    joined = with_components(_stored(own).select("doc_id", "_a", "_b", first_print, F.slice("prints", 2, TABLES).alias("more")))
     first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_a", "_b")).alias("first"))
     winners = first.select("first._a", "first._b").distinct()
     kept = docs.select("*", *mark).join(winners, ["_a", "_b"], "left_semi")
