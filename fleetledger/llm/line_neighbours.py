@@ -9,8 +9,9 @@ changed).  The earliest always stays, so does everything shorter.  "Earlier" is
 2. One edit leaves the first or the last ``ANCHOR`` words of a line of ``NEAR_WORDS`` words as they are, so
    only lines that share these with another distinct line can have a neighbour; only they go on.
 3. Their deletion variants, the line without its i-th word, are emitted as hashed keys.  Two lines of equal keys
-   (variant, i) differ in the i-th word; a variant that equals a whole line has a word more.  For each key only the
-   earliest line is kept and joined back, so no pairs within a key are made.
+   (variant, i) differ in the i-th word; a variant that equals a whole line has a word more.  Each line of a key is paired
+   with the earliest one only (two lines come out of the aggregation itself, more are joined back to it), so no pairs
+   within a key are made.
 4. The texts of the pairs found are compared word by word before anything is removed.
 5. Removed places go back to their documents in one join.
 
@@ -24,12 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetledger.llm.names import free_name
 from fleetledger.session import settle
 
 #: Fewest words of a line that is removed as a copy, and as a near copy; words at each end of which one end survives an edit.
 EXACT_WORDS, NEAR_WORDS, ANCHOR = 5, 10, 5
 #: Rows of candidates (places and hashes, under 100 bytes each) that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -72,25 +74,26 @@ def removed_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
 
     by_end = distinct.where("e0 is not null").select("h", "c", F.explode(F.array("e0", "e1")).alias("end"))
     shared = by_end.groupBy("end").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("end")
-    lonely = distinct.where("e0 is not null").select("h", "c", "place", "e0", "e1")
-    with_end = lonely.select("h", "c", "place", F.explode(F.array("e0", "e1")).alias("end")).join(shared, "end", "left_semi")
-    candidates = settle(with_end.select("h", "c", "place").distinct())
+    with_end = distinct.where("e0 is not null").select("place", F.explode(F.array("e0", "e1")).alias("end")).join(shared, "end", "left_semi")
+    candidates = settle(with_end.select("place").distinct())
 
     # Words are needed only of candidates, and only once: at their first place.
-    texts = settle(lines.where(long_line).select("place", "line").join(_bounded(candidates.select("place")), "place", "left_semi").distinct())
-    n = _n_words(F.col("line"))
-    variants = texts.select("place", "line", n.alias("n"), F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("i"))
-    before = F.call_function("substring_index", F.col("line"), F.lit(" "), F.col("i"))
-    after = F.call_function("substring_index", F.col("line"), F.lit(" "), (F.col("i") - F.col("n") + 1).cast("int"))
-    variant = F.when(F.col("i") == 0, after).when(F.col("i") == F.col("n") - 1, before).otherwise(F.concat(before, F.lit(" "), after))
-    variants = variants.select("place", "i", variant.alias("rest"))
-
-    changed = variants.select(F.xxhash64("rest", "i").alias("key"), "place")
-    earliest = changed.groupBy("key").agg(F.min("place").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "other")
-    same = changed.join(earliest, "key").where("other < place").select("place", "other").distinct()
-    whole = _bounded(candidates.select("h", "c", F.col("place").alias("other")))
-    longer = variants.select("place", F.xxhash64("rest").alias("h"), F.hash("rest").alias("c")).join(whole, ["h", "c"]).select("place", "other").distinct()
-    pairs = settle(same.unionAll(longer.where("other < place")).unionAll(longer.where("other > place").select(F.col("other").alias("place"), F.col("place").alias("other"))).distinct())
+    texts = settle(lines.where(long_line).select("place", "line").join(_bounded(candidates), "place", "left_semi").distinct())
+    words = texts.select("place", F.split("line", " ").alias("words"))
+    each = words.select("place", "words", F.posexplode("words").alias("i", "word"))
+    # Hashes of arrays run over their elements, so two slices hash like the one array of both.
+    variant = F.xxhash64(F.slice("words", 1, F.col("i")), F.slice("words", F.col("i") + 2, F.size("words")))
+    variants = each.select("place", "i", variant.alias("variant"))
+
+    changed = variants.select(F.xxhash64("variant", "i").alias("key"), "place")
+    of_key = changed.groupBy("key").agg(F.min("place").alias("other"), F.max("place").alias("place"), F.count(F.lit(1)).alias("n"))
+    of_key = settle(of_key.where("n > 1"))
+    twos = of_key.select("place", "other")
+    crowded = _bounded(settle(of_key.where("n > 2").select("key", "other")))
+    more = changed.join(crowded, "key").where("other < place").select("place", "other")
+    whole = _bounded(settle(words.select(F.xxhash64("words").alias("variant"), F.col("place").alias("other"))))
+    longer = variants.join(whole, "variant").select(F.greatest("place", "other").alias("place"), F.least("place", "other").alias("other"))
+    pairs = settle(twos.unionAll(more).unionAll(longer).where("other < place").distinct())
 
     left, right = texts.withColumnRenamed("line", "a"), texts.select(F.col("place").alias("other"), F.col("line").alias("b"))
     near = pairs.join(left, "place").join(right, "other").where(one_edit(F.split("a", " "), F.split("b", " "))).select("place").distinct()
@@ -111,17 +114,20 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same_size).when(F.abs(F.size(a) - F.size(b)) == 1, rest).otherwise(False)
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without superfluous lines; _lines, _removed (numbers of lines) and _emptied are added.
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", into: str = "_dedup") -> DataFrame:
+    """``docs`` without superfluous lines, and a struct ``into`` of n_lines, n_removed and emptied (a column of that name is replaced).
 
-    _emptied: lines were removed, and no line of EXACT_WORDS words is left.
+    emptied: lines were removed, and no line of EXACT_WORDS words is left.
     """
-    removed = removed_lines(docs, id_column, text).groupBy(F.col("_id").alias("_rid")).agg(F.collect_list("mark").alias("_marks"))
-    joined = docs.join(removed, F.col(f"`{id_column}`").eqNullSafe(F.col("_rid")), "left")
+    rid, marks, kept = (free_name(docs, x) for x in ("_rid", "_marks", "_kept"))
+    removed = removed_lines(docs, id_column, text).groupBy(F.col("_id").alias(rid)).agg(F.collect_list("mark").alias(marks))
+    joined = docs.join(removed, F.col(f"`{id_column}`").eqNullSafe(F.col(rid)), "left")
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
-    kept = F.filter(lines, lambda line, number: ~F.array_contains("_marks", _mark(number, F.trim(line))))
-    kept = F.when(F.col("_marks").isNull(), lines).otherwise(kept)
-    done = joined.withColumn("_lines", F.size(lines)).withColumn("_kept", kept).withColumn("_removed", F.col("_lines") - F.size("_kept"))
-    own = F.exists("_kept", lambda line: _n_words(F.trim(line)) >= EXACT_WORDS)
-    columns = [F.array_join("_kept", "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*columns, F.greatest("_lines", F.lit(0)).alias("_lines"), F.greatest("_removed", F.lit(0)).alias("_removed"), F.coalesce((F.col("_removed") > 0) & ~own, F.lit(False)).alias("_emptied"))
+    rest = F.filter(lines, lambda line, number: ~F.array_contains(marks, _mark(number, F.trim(line))))
+    done = joined.withColumn(kept, F.when(F.col(marks).isNull(), lines).otherwise(rest))
+    own = F.exists(kept, lambda line: _n_words(F.trim(line)) >= EXACT_WORDS)
+    n_lines, n_kept = (F.greatest(F.size(x), F.lit(0)).cast("long") for x in (lines, F.col(kept)))
+    emptied = F.coalesce((n_lines > n_kept) & ~own, F.lit(False))
+    told = F.struct(n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_removed"), emptied.alias("emptied")).alias(into)
+    columns = [F.array_join(kept, "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != into]
+    return done.select(*columns, told)

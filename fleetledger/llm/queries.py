@@ -59,8 +59,7 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op7_line_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """Lines removed from every document, and what stays."""
     done = line_neighbours.dedup_lines(table(spark, folder, "documents", "doc_id", "text"))
-    counts = [F.col(c).cast("long").alias(n) for c, n in (("_lines", "n_lines"), ("_removed", "n_removed"))]
-    return done.select("doc_id", *counts, F.sha2("text", 256).alias("text_sha256"))
+    return done.select("doc_id", "_dedup.n_lines", "_dedup.n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetledger.llm.components import connected
+from fleetledger.llm.names import free_name
 from fleetledger.session import settle, shared_folder
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
@@ -224,12 +225,13 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     words move too many bits when a few words change (README has figures).
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    mark = [F.xxhash64(*columns).alias("_a"), F.xxhash64(F.lit(1), *[c.isNull() for c in columns], *columns).alias("_b")]
-    own = docs.select(F.col(f"`{id_column}`").alias("doc_id"), word_fingerprint_column(F.col(f"`{text}`")).alias("prints"), *mark)
+    a, b, n = (free_name(docs, x) for x in ("_mark_a", "_mark_b", "_copy"))
+    mark = [F.xxhash64(*columns).alias(a), F.xxhash64(F.lit(1), *[c.isNull() for c in columns], *columns).alias(b)]
+    own = docs.select(F.col(f"`{id_column}`").alias("doc_id"), word_fingerprint_column(F.col(f"`{text}`")).alias("prints"), F.struct(*mark).alias("row"))
     first_print = F.col("prints")[0].alias("fingerprint")
-    joined = with_components(_stored(own).select("doc_id", "_a", "_b", first_print, F.slice("prints", 2, TABLES).alias("more")))
-    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_a", "_b")).alias("first"))
-    winners = first.select("first._a", "first._b").distinct()
-    kept = docs.select("*", *mark).join(winners, ["_a", "_b"], "left_semi")
-    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_a", "_b").orderBy("_a")))
-    return once.where("_n = 1").select(*columns)
+    joined = with_components(_stored(own).select("doc_id", "row", first_print, F.slice("prints", 2, TABLES).alias("more")))
+    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    winners = first.select("first.row.*").distinct()
+    kept = docs.select("*", *mark).join(winners, [a, b], "left_semi")
+    once = kept.withColumn(n, F.row_number().over(Window.partitionBy(a, b).orderBy(a)))
+    return once.where(F.col(n) == 1).select(*columns)
