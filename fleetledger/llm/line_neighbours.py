@@ -8,8 +8,8 @@ changed).  The earliest always stays, so does everything shorter.  "Earlier" is
 1. Distinct lines with their first place: one shuffle of hashes and places, combined before it.
 2. One edit leaves the first or the last ``ANCHOR`` words of a line of ``NEAR_WORDS`` words as they are, so
    only lines that share these with another distinct line can have a neighbour; only they go on.
-3. Their deletion variants, the line without its i-th word, are emitted as hashed keys.  Two lines of equal keys
-   (variant, i) differ in the i-th word; a variant that equals a whole line has a word more.  Each line of a key is paired
+3. Their deletion variants, the line without its i-th word, are emitted as hashed keys.  Two lines of n words and of equal
+   keys (variant, i, n) differ in the i-th word; a variant that has the words of a whole line has a word more.  Each line of a key is paired
    with the earliest one only (two lines come out of the aggregation itself, more are joined back to it), so no pairs
    within a key are made.
 4. The texts of the pairs found are compared word by word before anything is removed.
@@ -44,19 +44,20 @@ def _place(identity: Column, number: Column) -> Column:
     return F.coalesce(identity.cast("decimal(20,0)"), F.lit("99999999999999999999").cast("decimal(20,0)")) * F.lit(1 << 32).cast("decimal(10,0)") + number
 
 
-def _n_words(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+def _has(line: Column, words: int) -> Column:
+    """Whether a line has at least so many words."""
+    return F.substring_index(line, " ", words - 1) != line
 
 
 def _mark(number: Column, line: Column) -> Column:
     """What a removed line is known by within its document."""
-    return F.xxhash64(number, line)
+    return F.xxhash64(number, F.xxhash64(line))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """place, _id, number and line of every line (trimmed) that may be removed."""
     each = docs.select("_id", F.posexplode(F.split("_text", "\n", -1)).alias("number", "line")).withColumn("line", F.trim("line"))
-    return each.where(_n_words(F.col("line")) >= EXACT_WORDS).withColumn("place", _place(F.col("_id"), F.col("number")))
+    return each.where(_has(F.col("line"), EXACT_WORDS)).withColumn("place", _place(F.col("_id"), F.col("number")))
 
 
 def _end(line: Column, first: bool) -> Column:
@@ -67,9 +68,8 @@ def removed_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     """_id and mark of every line that an earlier equal or neighbouring line makes superfluous."""
     own = docs.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     lines = _lines(own)
-    long_line = _n_words(F.col("line")) >= NEAR_WORDS
-    ends = [F.when(long_line, _end(F.col("line"), first)) for first in (True, False)]
-    keyed = lines.select("place", F.xxhash64("line").alias("h"), F.hash("line").alias("c"), ends[0].alias("e0"), ends[1].alias("e1"))
+    ends = [F.when(_has(F.col("line"), NEAR_WORDS), _end(F.col("line"), first)) for first in (True, False)]
+    keyed = lines.select("place", F.xxhash64("line").alias("h"), F.octet_length("line").alias("c"), ends[0].alias("e0"), ends[1].alias("e1"))
     distinct = settle(keyed.groupBy("h", "c").agg(F.min("place").alias("place"), F.min("e0").alias("e0"), F.min("e1").alias("e1")))
 
     by_end = distinct.where("e0 is not null").select("h", "c", F.explode(F.array("e0", "e1")).alias("end"))
@@ -78,27 +78,32 @@ def removed_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     candidates = settle(with_end.select("place").distinct())
 
     # Words are needed only of candidates, and only once: at their first place.
-    texts = settle(lines.where(long_line).select("place", "line").join(_bounded(candidates), "place", "left_semi").distinct())
-    words = texts.select("place", F.split("line", " ").alias("words"))
-    each = words.select("place", "words", F.posexplode("words").alias("i", "word"))
-    # Hashes of arrays run over their elements, so two slices hash like the one array of both.
-    variant = F.xxhash64(F.slice("words", 1, F.col("i")), F.slice("words", F.col("i") + 2, F.size("words")))
-    variants = each.select("place", "i", variant.alias("variant"))
-
-    changed = variants.select(F.xxhash64("variant", "i").alias("key"), "place")
-    of_key = changed.groupBy("key").agg(F.min("place").alias("other"), F.max("place").alias("place"), F.count(F.lit(1)).alias("n"))
-    of_key = settle(of_key.where("n > 1"))
+    texts = settle(lines.where(_has(F.col("line"), NEAR_WORDS)).select("place", "line").join(_bounded(candidates), "place", "left_semi"))
+    words = F.split("line", " ")
+    hashed = texts.select(
+        "place", F.transform(words, lambda w, i: F.xxhash64(w, i)).alias("placed"), F.transform(words, lambda w: F.xxhash64(w)).alias("bag"), F.size(words).alias("n")
+    )
+    both = lambda name: F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+    summed = hashed.select("place", "n", both("placed").alias("all_placed"), both("bag").alias("all_bag"), F.arrays_zip("placed", "bag").alias("each"))
+    variants = summed.select("place", "n", "all_placed", "all_bag", F.posexplode("each").alias("i", "word"))
+
+    # Leaving out a word takes its hash out of the sum; what is left is that of the variant.
+    changed = variants.select(F.xxhash64(F.col("all_placed").bitwiseXOR(F.col("word.placed")), "i", "n").alias("key"), "place")
+    of_key = changed.groupBy("key").agg(F.min("place").alias("other"), F.max("place").alias("place"), F.count(F.lit(1)).alias("rows"))
+    of_key = settle(of_key.where("rows > 1"))
+    crowded = _bounded(settle(of_key.where("rows > 2").select("key", "other")))
     twos = of_key.select("place", "other")
-    crowded = _bounded(settle(of_key.where("n > 2").select("key", "other")))
-    more = changed.join(crowded, "key").where("other < place").select("place", "other")
-    whole = _bounded(settle(words.select(F.xxhash64("words").alias("variant"), F.col("place").alias("other"))))
-    longer = variants.join(whole, "variant").select(F.greatest("place", "other").alias("place"), F.least("place", "other").alias("other"))
+    more = changed.join(crowded, "key").select("place", "other")
+    # A longer line's variant has the words of a whole line, in whatever order; the check below tells.
+    whole = _bounded(settle(summed.select(F.xxhash64("all_bag", "n").alias("key"), F.col("place").alias("other"))))
+    longer = variants.select(F.xxhash64(F.col("all_bag").bitwiseXOR(F.col("word.bag")), F.col("n") - 1).alias("key"), "place").join(whole, "key")
+    longer = longer.select(F.greatest("place", "other").alias("place"), F.least("place", "other").alias("other"))
     pairs = settle(twos.unionAll(more).unionAll(longer).where("other < place").distinct())
 
     left, right = texts.withColumnRenamed("line", "a"), texts.select(F.col("place").alias("other"), F.col("line").alias("b"))
     near = pairs.join(left, "place").join(right, "other").where(one_edit(F.split("a", " "), F.split("b", " "))).select("place").distinct()
 
-    copies = lines.select("_id", "place", _mark(F.col("number"), F.col("line")).alias("mark"), F.xxhash64("line").alias("h"), F.hash("line").alias("c"))
+    copies = lines.select("_id", "place", _mark(F.col("number"), F.col("line")).alias("mark"), F.xxhash64("line").alias("h"), F.octet_length("line").alias("c"))
     first = distinct.select("h", "c", F.col("place").alias("first")).join(near.select(F.col("place").alias("first"), F.lit(True).alias("near")), "first", "left")
     return copies.join(first, ["h", "c"]).where("place <> first or near").select("_id", "mark")
 
@@ -125,7 +130,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
     rest = F.filter(lines, lambda line, number: ~F.array_contains(marks, _mark(number, F.trim(line))))
     done = joined.withColumn(kept, F.when(F.col(marks).isNull(), lines).otherwise(rest))
-    own = F.exists(kept, lambda line: _n_words(F.trim(line)) >= EXACT_WORDS)
+    own = F.exists(kept, lambda line: _has(F.trim(line), EXACT_WORDS))
     n_lines, n_kept = (F.greatest(F.size(x), F.lit(0)).cast("long") for x in (lines, F.col(kept)))
     emptied = F.coalesce((n_lines > n_kept) & ~own, F.lit(False))
     told = F.struct(n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_removed"), emptied.alias("emptied")).alias(into)
