@@ -37,8 +37,11 @@ def assemble(ms: Column, slot: Column, seq: Column) -> Column:
 
 
 def snowflake(ts: Column, machine=None, seq=0) -> Column:
-    """Identifier for a moment, a machine and a sequence number."""
-    return assemble(id_millis(ts), machine_slot(machine), F.pmod(_column(seq).cast("long"), F.lit(SEQUENCES)))
+    """Identifier for a moment, a machine and a sequence number; one outside 0..4095 is an error, as it would repeat another's."""
+    number = _column(seq).cast("long")
+    message = F.concat(F.lit("sequence number "), number, F.lit(" is not in 0..4095"))
+    inside = F.when(number.between(0, SEQUENCES - 1), number).when(number.isNotNull(), F.raise_error(message).cast("long"))
+    return assemble(id_millis(ts), machine_slot(machine), inside)
 
 
 def snowflake_parts(identifier: Column) -> Column:
@@ -63,6 +66,7 @@ def create_sql_functions(spark: SparkSession) -> None:
         RETURNS BIGINT
         RETURN shiftleft(unix_millis(timestamp_micros(unix_micros(ts) + 500)) - {EPOCH_MS}, {TIME_SHIFT})
              | shiftleft(coalesce(pmod(machine, {MACHINES}), {DEFAULT_MACHINE}), {MACHINE_SHIFT})
-             | pmod(seq, {SEQUENCES})
+             | CASE WHEN seq BETWEEN 0 AND {SEQUENCES - 1} THEN seq WHEN seq IS NOT NULL
+                 THEN CAST(raise_error(concat('sequence number ', seq, ' is not in 0..4095')) AS BIGINT) END
         """
     )

@@ -91,11 +91,13 @@ def _unescape(inner: Column) -> Column:
 
 def _unescape_piece(piece: Column) -> Column:
     def after_mark(part: Column, index: Column) -> Column:
-        code = F.decode(F.unhex(F.substring(part, 1, 2)), "UTF-8")
-        return F.when(index == 0, part).otherwise(F.concat(code, F.substring(part, 3, 1 << 30)))
+        # Bytes are put together before they are read as text: a character may be printed as several of them.
+        code = F.concat(F.unhex(F.substring(part, 1, 2)), _named_escapes(F.substring(part, 3, 1 << 30)).cast("binary"))
+        return F.when(index == 0, _named_escapes(part).cast("binary")).otherwise(code)
 
-    marked = F.array_join(F.transform(F.split(piece, r"\\x(?=[0-9a-fA-F]{2})"), after_mark), "")
-    return _named_escapes(F.when(piece.contains("\\x"), marked).otherwise(piece))
+    parts = F.transform(F.split(piece, r"\\x(?=[0-9a-fA-F]{2})"), after_mark)
+    marked = F.aggregate(parts, F.lit("").cast("binary"), lambda done, part: F.concat(done, part)).cast("string")
+    return F.when(piece.contains("\\x"), marked).otherwise(_named_escapes(piece))
 
 
 def _named_escapes(text: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetledger.functions.clock import is_past_days
-from fleetledger.session import broadcast_when_small
 
 # Name endings of segments that are already compressed.
 COMPRESSED_SUFFIXES = (".xz", ".zst", ".gz")
@@ -56,12 +55,12 @@ def compact(events: DataFrame, segments: DataFrame, path: str, prefix: str = "")
 
     ``events`` has ``source, file, pos, record``; layout ``source=…/file=…`` lets
     later reads prune to the segments they need.  The list of finished segments
-    is broadcast when it is short, so each task writes what it read and the
-    content is not shuffled.
+    joins by its measured size: while it is short, each task writes what it read and
+    the content is not shuffled.
     """
     done = finished(segments, prefix).select("source", F.col("name").alias("file"))
     (
-        events.join(broadcast_when_small(done), ["source", "file"], "left_semi")
+        events.join(done, ["source", "file"], "left_semi")
         .select("source", "file", "pos", "record")
         .write.mode("overwrite")
         .option("compression", "zstd")

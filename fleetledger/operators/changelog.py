@@ -82,7 +82,7 @@ def broken_events(events: DataFrame) -> DataFrame:
 
 
 def row_statements(events: DataFrame, include_text: bool = False) -> DataFrame:
-    """One row per row statement: ``file, file_no, pos, row_no, op, db, table, block``.
+    """One row per row statement: ``file, file_no, pos, row_no, op, db, table, block, valid`` (whether its event is UTF-8).
 
     With ``include_text`` the pass-through text of an event comes along as rows of
     operation ``TEXT``, so that a script needs to read the events only once.
@@ -100,13 +100,13 @@ def row_statements(events: DataFrame, include_text: bool = False) -> DataFrame:
         cut = (
             _with_plain_text(events)
             .withColumn("_rows", numbered)
-            .select("file", "file_no", "pos", F.explode(pieces).alias("p"))
-            .select("file", "file_no", "pos", "p.row_no", "p.block")
+            .select("file", "file_no", "pos", F.is_valid_utf8("record").alias("valid"), F.explode(pieces).alias("p"))
+            .select("file", "file_no", "pos", "valid", "p.row_no", "p.block")
         )
         is_text = ~F.col("row_no").between(0, TRAILING - 1)
     else:
         cut = events.where(F.col("record").contains("\n### ") & _is_whole()).select(
-            "file", "file_no", "pos", F.posexplode(blocks).alias("row_no", "block")
+            "file", "file_no", "pos", F.is_valid_utf8("record").alias("valid"), F.posexplode(blocks).alias("row_no", "block")
         )
         is_text = F.lit(False)
     return cut.select(
@@ -118,6 +118,7 @@ def row_statements(events: DataFrame, include_text: bool = False) -> DataFrame:
         F.when(~is_text, unquote_name(F.regexp_extract(block, TARGET, 1))).alias("db"),
         F.when(~is_text, unquote_name(F.regexp_extract(block, TARGET, 2))).alias("table"),
         "block",
+        "valid",
     )
 
 
@@ -134,6 +135,8 @@ def row_images(statements: DataFrame) -> DataFrame:
     Values are cut out together with the check of their form; only an image with a
     value that fails it is cut again without the check.
     """
+    if "valid" not in statements.columns:
+        statements = statements.withColumn("valid", F.is_valid_utf8("block"))
     block = F.when(F.col("op") != TEXT, F.col("block")).otherwise(F.lit(""))
     before_set = F.split_part(block, F.lit(AFTER_MARK), F.lit(1))
     parts = statements.withColumns(
@@ -207,6 +210,7 @@ def resolve_columns(images: DataFrame, catalog: DataFrame) -> DataFrame:
         F.when(F.col("op") == TEXT, F.lit(None).cast("string"))
         .when(unnamed("before") | unnamed("after"), F.lit("unknown column"))
         .when(~F.col("well_formed"), F.lit("malformed value"))
+        .when(~F.col("valid"), F.lit("bytes that are no text"))
         .when((F.col("op") != "INSERT") & (F.size("before") == 0), F.lit("missing image"))
         .when((F.col("op") != "DELETE") & (F.size("after") == 0), F.lit("missing image"))
     )
@@ -311,61 +315,154 @@ def write_script(script: DataFrame, path: str, include_ddl: bool = True) -> None
     script.orderBy("file_no", "file", "pos", "row_no").select(text.alias("value")).write.text(path)
 
 
+def _converted(text: Column, kind: T.DataType) -> Column:
+    """The value of a literal's text as ``kind``; NULL where it is none."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        # A TIMESTAMP is printed as seconds since 1970.
+        seconds = F.timestamp_micros((text.try_cast("decimal(20,6)") * 1000000).cast("long"))
+        return F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), seconds.cast(kind)).otherwise(text.try_cast(kind))
+    if isinstance(kind, T.DateType):
+        return F.replace(text, F.lit(":"), F.lit("-")).try_cast(kind)  # printed with colons
+    if isinstance(kind, T.BinaryType):
+        return text.cast(kind)
+    if isinstance(kind, T.StringType):
+        return F.when(F.is_valid_utf8(text), text)
+    return text.try_cast(kind)
+
+
+def _typed(resolved: DataFrame, db: str, table: str, schema: T.StructType) -> DataFrame:
+    """Changes of one table with typed images, ``have`` and the columns whose value does not fit (``wrong``)."""
+    rows = resolved.where((F.col("db") == db) & (F.col("table") == table) & F.col("rejected").isNull())
+    for image in ("before", "after"):
+        texts = F.map_from_entries(F.transform(image, lambda x: F.struct(x["column"], literal_value(x["literal"]))))
+        rows = rows.withColumn(f"_{image}", texts)
+
+    def text(image: str, name: str) -> Column:
+        return F.try_element_at(f"_{image}", F.lit(name))
+
+    def has(image: str, name: str) -> Column:
+        return F.map_contains_key(f"_{image}", F.lit(name))
+
+    update, fields = F.col("op") == "UPDATE", schema.fields
+    before = F.struct(*[_converted(text("before", f.name), f.dataType).alias(f.name) for f in fields])
+    # What an update's new image does not name has the value of the old image.
+    new = [F.when(has("after", f.name) | ~update, text("after", f.name)).otherwise(text("before", f.name)) for f in fields]
+    after = F.struct(*[_converted(t, f.dataType).alias(f.name) for t, f in zip(new, fields)])
+    have = F.array(*[~update | has("after", f.name) | has("before", f.name) for f in fields])
+
+    def wrong(f: T.StructField, t: Column) -> Column:
+        return F.when(t.isNotNull() & _converted(t, f.dataType).isNull(), F.lit(f.name))
+
+    bad = F.array_compact(F.array_distinct(F.array(*[wrong(f, text(i, f.name)) for f in fields for i in ("before", "after")])))
+    return rows.withColumns(
+        {"_old": F.when(F.size("before") > 0, before), "_new": F.when(F.size("after") > 0, after), "have": have, "wrong": bad}
+    )
+
+
 def typed_changes(resolved: DataFrame, db: str, table: str, schema: T.StructType) -> DataFrame:
-    """Changes of one table with ``before`` and ``after`` as typed rows (NULL where an image is absent)."""
+    """Changes of one table with ``before`` and ``after`` as typed rows (NULL where an image is absent).
 
-    def typed(image: str) -> Column:
-        values = F.map_from_entries(
-            F.transform(F.col(image), lambda x: F.struct(x["column"], literal_value(x["literal"])))
-        )
-        fields = [F.try_element_at(values, F.lit(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields]
-        return F.when(F.size(image) > 0, F.struct(*fields))
+    ``have`` tells for each column of ``schema`` whether an update's images name it: the others keep what the
+    row holds.  Changes with a value that does not fit its column are left out; :func:`value_rejects` has them.
+    """
+    good = _typed(resolved, db, table, schema).where(F.size("wrong") == 0)
+    return good.select("file", *ORDER, "op", F.col("_old").alias("before"), F.col("_new").alias("after"), "have")
+
+
+def value_rejects(resolved: DataFrame, db: str, table: str, schema: T.StructType) -> DataFrame:
+    """Changes that :func:`typed_changes` leaves out, with the columns whose value does not fit."""
+    return _typed(resolved, db, table, schema).where(F.size("wrong") > 0).select("file", *ORDER, "op", F.col("wrong").alias("columns"))
 
-    return resolved.where((F.col("db") == db) & (F.col("table") == table) & F.col("rejected").isNull()).select(
-        *ORDER, "op", typed("before").alias("before"), typed("after").alias("after")
-    )
 
+def log_order(changes: DataFrame) -> tuple[str, ...]:
+    """Columns that order changes: files without a number come first, in order of their names."""
+    return ("file_no", "file", "pos", "row_no") if "file" in changes.columns else ORDER
 
-def keyed_images(changes: DataFrame, keys: list[str], order: tuple[str, ...] = ORDER) -> DataFrame:
+
+def _position(changes: DataFrame, order: tuple[str, ...], step: int) -> Column:
+    kinds = dict(changes.dtypes)
+    parts = [(F.col(o) if kinds[o] == "string" else F.col(o).cast("long")).alias(o) for o in order]
+    return F.struct(F.lit(1).alias("rank"), *parts, F.lit(step).alias("step"))
+
+
+def keyed_images(changes: DataFrame, keys: list[str], order: tuple[str, ...] | None = None) -> DataFrame:
     """Per change: the key it leaves behind as a tombstone and the key it writes.
 
-    Result: the key columns, ``at`` (log position) and ``row`` (NULL for a tombstone).
-    A key-changing update gives both, the tombstone first.
+    Result: the key columns, ``at`` (log position) and ``row`` (NULL for a tombstone); where changes have ``have``,
+    ``live`` and ``cells`` instead of ``row``: each column's value with the position it is from.  A key-changing
+    update gives both, the tombstone first; it must name all columns, as the row it moves is held under another key.
     """
+    order = order or log_order(changes)
+    partial, names = "have" in changes.columns, changes.schema["after"].dataType.names
 
     def version(image: str, live: bool, step: int) -> Column:
-        row = F.col(image) if live else F.when(F.lit(False), F.col(image))
-        return F.struct(
-            *[F.col(image)[k].alias(k) for k in keys],
-            F.struct(*[F.col(o).cast("long").alias(o) for o in order], F.lit(step).alias("step")).alias("at"),
-            row.alias("row"),
-        )
+        at = _position(changes, order, step)
+        held = [F.col(image)[k].alias(k) for k in keys] + [at.alias("at")]
+        if not partial:
+            row = F.col(image) if live else F.when(F.lit(False), F.col(image))
+            return F.struct(*held, row.alias("row"))
+        cells = [
+            F.when(F.col("have")[i] | F.lit(not live), F.struct(at.alias("at"), (F.col(image)[c] if live else F.when(F.lit(False), F.col(image)[c])).alias("v"))).alias(c)
+            for i, c in enumerate(names)
+        ]
+        return F.struct(*held, F.lit(live).alias("live"), F.struct(*cells).alias("cells"))
 
     same_key = reduce(lambda a, b: a & b, [F.col("before")[k].eqNullSafe(F.col("after")[k]) for k in keys])
+    same_key = same_key | F.col("before").isNull()
+    moved = F.array(version("before", False, 0), version("after", True, 1))
+    if partial:
+        where = F.concat_ws(":", *[F.col(o).cast("string") for o in order])
+        message = F.concat(F.lit("a change of the key does not name all columns at "), where)
+        moved = F.when(F.forall("have", lambda h: h), moved).otherwise(F.raise_error(message).cast(changes.select(moved.alias("m")).schema["m"].dataType))
     versions = (
         F.when(F.col("op") == "DELETE", F.array(version("before", False, 0)))
         .when((F.col("op") == "INSERT") | same_key, F.array(version("after", True, 1)))
-        .otherwise(F.array(version("before", False, 0), version("after", True, 1)))
+        .otherwise(moved)
     )
-    return changes.select(F.explode(versions).alias("v")).select(*[f"v.{k}" for k in keys], "v.at", "v.row")
+    return changes.select(F.explode(versions).alias("v")).select("v.*")
 
 
 def fold_images(images: DataFrame, keys: list[str]) -> DataFrame:
     """Newest image of every key, tombstones included.
 
     ``max_by`` combines on the map side, so a key with many changes sends one row
-    per task.
+    per task.  Where images are cells, the newest of every column counts.
     """
-    return images.groupBy(*keys).agg(F.max_by(F.struct("at", "row"), "at").alias("v")).select(*keys, "v.at", "v.row")
+    if "cells" not in images.columns:
+        return images.groupBy(*keys).agg(F.max_by(F.struct("at", "row"), "at").alias("v")).select(*keys, "v.at", "v.row")
+    names = images.schema["cells"].dataType.names
+    newest = [F.max_by(F.col("cells")[c], F.col("cells")[c]["at"]).alias(f"_{i}") for i, c in enumerate(names)]
+    folded = images.groupBy(*keys).agg(F.max_by(F.struct("at", "live"), "at").alias("v"), *newest)
+    return folded.select(*keys, "v.at", "v.live", F.struct(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)]).alias("cells"))
+
+
+def live_rows(images: DataFrame) -> DataFrame:
+    """Rows of folded images that are not tombstones."""
+    if "cells" not in images.columns:
+        return images.where(F.col("row").isNotNull()).select("row.*")
+    names = images.schema["cells"].dataType.names
+    return images.where("live").select(*[F.col("cells")[c]["v"].alias(c) for c in names])
 
 
 def apply_changes(
-    base: DataFrame | None, changes: DataFrame, keys: list[str], order: tuple[str, ...] = ORDER
+    base: DataFrame | None, changes: DataFrame, keys: list[str], order: tuple[str, ...] | None = None
 ) -> DataFrame:
-    """The table after all changes: the last image of each key wins, deleted keys drop out."""
-    images = keyed_images(changes, keys, order)
-    columns = images.schema["row"].dataType.names
-    if base is not None:
-        origin = F.struct(*[F.lit(-1).cast("long").alias(o) for o in order], F.lit(-1).alias("step"))
-        images = images.unionByName(base.select(*keys, origin.alias("at"), F.struct(*columns).alias("row")))
-    return fold_images(images, keys).where(F.col("row").isNotNull()).select(*[F.col("row")[c].alias(c) for c in columns])
+    """The table after all changes: the last image of each key wins, deleted keys drop out.
+
+    The changes alone are folded; rows of ``base`` that none of them touches are kept by an anti-join, and
+    only where images name part of the columns is the row that ``base`` holds looked up.
+    """
+    folded = fold_images(keyed_images(changes, keys, order), keys)
+    if base is None:
+        return live_rows(folded)
+    touched = folded.select(*[F.col(k).alias(f"_{k}") for k in keys], *(["live", "cells"] if "cells" in folded.columns else []))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    kept = base.join(touched.select(*[f"_{k}" for k in keys]), same, "left_anti")
+    if "cells" not in folded.columns:
+        rows = live_rows(folded)
+        return kept.select(*rows.columns).unionByName(rows)
+    names = folded.schema["cells"].dataType.names
+    held = base.select(*names).withColumn("_held", F.lit(True))
+    value = lambda c: F.when(F.col("cells")[c].isNotNull(), F.col("cells")[c]["v"]).otherwise(F.col(c)).alias(c)
+    merged = touched.where("live").join(held, same, "left").select(*[value(c) for c in names])
+    return kept.select(*names).unionByName(merged)

@@ -16,19 +16,19 @@ _PARTITION_STRIDE_MS = 1 << 21
 def with_snowflake_id(df: DataFrame, ts: Column, machine, order: list[Column], name: str = "id") -> DataFrame:
     """Event-time identifiers: the sequence restarts for each machine and millisecond.
 
-    A millisecond of one machine holds 4096 identifiers; one more row is an error.
-    The filter lets Spark drop the rows beyond that before the shuffle (see the
-    group limit in ``session.SETTINGS``), so an overfull millisecond fails without
-    gathering all its rows.
+    A millisecond of one machine holds 4096 identifiers; one more row is an error,
+    whether or not the identifier is read.  The sizes of all milliseconds are counted
+    first (combined before the shuffle), and the filter that holds the result
+    cannot be pruned; it keeps every row.
     """
     slots = df.withColumn("_ms", id_millis(ts)).withColumn("_slot", machine_slot(machine))
-    numbered = slots.withColumn(
-        "_n", F.row_number().over(Window.partitionBy("_slot", "_ms").orderBy(*order))
-    ).where(F.col("_n") <= SEQUENCES + 1)
-    seq = F.when(F.col("_n") <= SEQUENCES, F.col("_n") - 1).otherwise(
-        F.raise_error(F.concat(F.lit("more than 4096 rows for machine "), F.col("_slot"), F.lit(" at ms "), F.col("_ms")))
-    )
-    return numbered.withColumn(name, assemble(F.col("_ms"), F.col("_slot"), seq)).drop("_ms", "_slot", "_n")
+    sizes = slots.groupBy("_slot", "_ms").agg(F.count(F.lit(1)).alias("_rows"))
+    fullest = sizes.agg(F.max(F.struct("_rows", "_slot", "_ms"))).scalar()
+    message = F.concat(F.lit("more than 4096 rows for machine "), fullest["_slot"], F.lit(" at ms "), fullest["_ms"])
+    fits = F.when(fullest["_rows"] > SEQUENCES, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    number = F.row_number().over(Window.partitionBy("_slot", "_ms").orderBy(*order))
+    numbered = slots.where(fits).withColumn("_n", number)
+    return numbered.withColumn(name, assemble(F.col("_ms"), F.col("_slot"), F.col("_n") - 1)).drop("_ms", "_slot", "_n")
 
 
 def with_bulk_snowflake_id(df: DataFrame, base_ms: int, name: str = "id") -> DataFrame:

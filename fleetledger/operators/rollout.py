@@ -134,7 +134,7 @@ def apply_heartbeats(shards: DataFrame, beats: DataFrame) -> tuple[DataFrame, Da
     """
     newest = beats.groupBy("shardId", "taskName").agg(F.max("ts").alias("_beat"))
     later = F.col("_beat") > F.coalesce(F.col("lastTaskHb"), F.lit("0001-01-01").cast("timestamp"))
-    touched = {"lastTaskHb": F.col("_beat"), "lastUpdate": F.col("_beat")}
+    touched = {"lastTaskHb": F.col("_beat"), "lastUpdate": F.greatest("lastUpdate", "_beat")}
     snapshot = _rewrite(
         shards.join(newest, ["shardId", "taskName"], "left"), shards.columns, touched, F.coalesce(later, F.lit(False))
     )
@@ -143,24 +143,30 @@ def apply_heartbeats(shards: DataFrame, beats: DataFrame) -> tuple[DataFrame, Da
 
 
 def apply_completions(shards: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New ``shards`` with finished versions set and their tasks cleared, and unmatched completions.
+    """New ``shards`` with finished versions set and their tasks cleared, and the completions that cannot count.
 
-    ``done``: ``shardId, taskName, version, ts``.  The newest completion of the owner
-    counts.
+    ``done``: ``shardId, taskName, version, ts``.  A completion counts if its task owns the shard, its
+    version is above the shard's and it is not older than the task's last heartbeat; the newest of
+    these is applied.  All others are returned.
     """
-    newest = done.groupBy("shardId", "taskName").agg(F.max(F.struct("ts", "version")).alias("_done"))
+    owned = shards.where(F.col("taskName").isNotNull()).select(
+        "shardId", "taskName", F.col("version").alias("_at"), F.coalesce("lastTaskHb", F.lit("0001-01-01").cast("timestamp")).alias("_beat")
+    )
+    judged = done.join(owned, ["shardId", "taskName"], "left").withColumn(
+        "_counts", F.coalesce((F.col("version") > F.col("_at")) & (F.col("ts") >= F.col("_beat")), F.lit(False))
+    )
+    newest = judged.where("_counts").groupBy("shardId", "taskName").agg(F.max(F.struct("ts", "version")).alias("_done"))
     version_type = shards.schema["version"].dataType
     touched = {
         "version": F.col("_done.version").cast(version_type),
         "taskName": F.lit(None).cast("string"),
         "lastTaskHb": F.col("_done.ts"),
-        "lastUpdate": F.col("_done.ts"),
+        "lastUpdate": F.greatest("lastUpdate", "_done.ts"),
     }
     snapshot = _rewrite(
         shards.join(newest, ["shardId", "taskName"], "left"), shards.columns, touched, F.col("_done").isNotNull()
     )
-    owners = shards.where(F.col("taskName").isNotNull()).select("shardId", "taskName")
-    return snapshot, done.join(owners, ["shardId", "taskName"], "left_anti").select(*done.columns)
+    return snapshot, judged.where(~F.col("_counts")).select(*done.columns)
 
 
 def _rewrite(rows: DataFrame, columns: list[str], values: dict[str, Column], where: Column) -> DataFrame:
@@ -175,9 +181,10 @@ def append_oplog(oplog: DataFrame, entries: DataFrame, arrival: list[Column], sl
     ``slice_by`` (a value that never decreases along ``arrival``, such as the hour)
     keeps even one very busy pair spread over tasks; see :func:`number_within`.
     """
-    last = oplog.groupBy("shardId", "version").agg(F.max("seq").alias("_last"))
+    last = oplog.groupBy(F.col("shardId").alias("_shard"), F.col("version").alias("_of")).agg(F.max("seq").alias("_last"))
     numbered = number_within(entries, ["shardId", "version"], arrival, "_n", slice_by)
-    added = numbered.join(last, ["shardId", "version"], "left").withColumn(
+    same = F.col("shardId").eqNullSafe(F.col("_shard")) & F.col("version").eqNullSafe(F.col("_of"))
+    added = numbered.join(last, same, "left").withColumn(
         "seq", (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast(oplog.schema["seq"].dataType)
     )
     return oplog.unionByName(added.select(*oplog.columns))

@@ -25,7 +25,7 @@ def number_within(
     ``slice_by`` must never decrease along ``order`` (for example the hour of the
     first ordering time).  Without it the rows are range partitioned, which cuts
     large groups evenly, and stored once so that both uses see the same slices.
-    Keys and slices are joined by equality, so they must not be NULL.
+    NULL keys form groups of their own, and a NULL slice comes first.
     """
     if slice_by is None:
         count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -41,13 +41,13 @@ def number_within(
             "_shift",
             F.coalesce(F.sum("_rows").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         )
-        .select(*keys, "_slice", "_shift")
+        .select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_part"), "_shift")
     )
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)] + [F.col("_slice").eqNullSafe(F.col("_part"))]
     inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
     return (
         sliced.withColumn("_inside", inside)
-        .join(shifts, [*keys, "_slice"])
+        .join(shifts, same)
         .withColumn(name, F.col("_inside").cast("long") + F.col("_shift"))
-        .drop("_slice", "_inside", "_shift")
         .select(*df.columns, name)
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetledger.plans.tables import table
-from fleetledger.session import shared_folder, spread
+from fleetledger.session import shared_folder
 from fleetledger.sources.event_text import EVENT_MARK, events_from
 
 COLUMNS = ("id", "customer", "state", "cents", "note", "placed")
@@ -36,7 +36,7 @@ def order_events(spark, folder: str) -> DataFrame:
     key, status = F.col("o_orderkey"), F.col("o_orderstatus")
     note = text("'it\\x27s = ", F.col("o_orderpriority"), " /* ", key % 7, " */'")
     base = (
-        spread(table(spark, folder, "orders"))
+        table(spark, folder, "orders")
         .select(
             "*",
             F.timestamp_seconds(F.unix_timestamp("o_orderdate") + 7305 * 86400).alias("placed"),

@@ -26,7 +26,7 @@ def ids_event_time(spark, folder) -> DataFrame:
 def _event_ids(spark, folder) -> DataFrame:
     machine = F.nullif(F.col("user_id") - 5, F.lit(0))
     return table(spark, folder, "events", "event_id", "ts", "user_id").select(
-        "event_id", "ts", snowflake(F.col("ts"), machine, F.col("event_id")).alias("id")
+        "event_id", "ts", snowflake(F.col("ts"), machine, F.col("event_id") % 4096).alias("id")
     )
 
 

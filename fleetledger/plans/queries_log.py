@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetledger.operators import changelog as C
-from fleetledger.plans.event_rendering import order_dump, order_log, write_order_log, write_supplier_dump
+from fleetledger.plans.event_rendering import order_dump, order_log, text, write_order_log, write_supplier_dump
 from fleetledger.plans.tables import table
 from fleetledger.session import shared_folder
 from fleetledger.sources.ddl_text import read_ddl, schema_catalog
@@ -139,6 +140,50 @@ def log_replay_stream(spark, folder) -> DataFrame:
     return current_table(spark, state, ["customer"])
 
 
+ACCOUNT = T.StructType(
+    [T.StructField(n, k) for n, k in (("id", T.LongType()), ("note", T.BinaryType()), ("state", T.StringType()), ("cents", T.LongType()), ("day", T.DateType()), ("seen", T.TimestampType()))]
+)
+
+
+def _account_changes(spark, folder) -> DataFrame:
+    """Updates of customers' rows read from text in a file without a number; images are full or name what changed.
+
+    By order key modulo 4: all columns, the state, the amount and the day, the time.  Every 97th day is no date.
+    """
+    key, status, path = F.col("o_orderkey"), F.col("o_orderstatus"), shared_folder(spark, "accounts")
+    day = F.when(key % 97 == 0, F.lit("0000:00:00")).otherwise(F.date_format("o_orderdate", "yyyy:MM:dd"))
+
+    def line(n: int, value) -> Column:
+        return text(f"###   @{n}=", value, " /* meta=0 nullable=1 is_null=0 */\n")
+
+    state, cents = line(3, text("'", status, "'")), line(4, F.round(F.col("o_totalprice") * 100).cast("long"))
+    days, seen = line(5, text("'", day, "'")), line(6, F.unix_timestamp("o_orderdate"))
+    who, note = line(1, F.col("o_custkey")), line(2, text("'\\xff\\xc3\\xa9", status, "'"))
+    new = F.when(key % 4 == 0, F.concat(who, note, state, cents, days, seen)).when(key % 4 == 1, state).when(key % 4 == 2, F.concat(cents, days)).otherwise(seen)
+    body = text("# at ", key + 4, "\n#170921 20:28:37 server id 1  end_log_pos 9 \tUpdate_rows: table id 70\n### UPDATE `shop`.`account`\n### WHERE\n", who, "### SET\n", new)
+    orders = table(spark, folder, "orders")
+    whole = orders.select(body.alias("body")).select(F.lit("decoded").alias("file"), F.col("body").substr(F.lit(1), F.length("body") - 1).alias("value"))
+    whole.write.partitionBy("file").text(path)
+    columns = [("shop", "account", i + 1, n) for i, n in enumerate(ACCOUNT.names)]
+    catalog = spark.createDataFrame(columns, "db string, `table` string, ordinal int, `column` string")
+    return C.resolve_columns(C.row_images(C.row_statements(read_events(spark, path))), catalog)
+
+
+def log_replay_text(spark, folder) -> DataFrame:
+    """Log text to current table."""
+    base = table(spark, folder, "customer", "c_custkey").select(
+        F.col("c_custkey").alias("id"), F.lit("old").cast("binary").alias("note"), F.lit("N").alias("state"), F.lit(0).cast("long").alias("cents"),
+        F.lit(None).cast("date").alias("day"), F.lit(None).cast("timestamp").alias("seen"),
+    )
+    now = C.apply_changes(base, C.typed_changes(_account_changes(spark, folder), "shop", "account", ACCOUNT), ["id"])
+    return now.select("id", F.hex("note").alias("note"), "state", "cents", F.date_format("day", "yyyy-MM-dd").alias("day"), F.unix_timestamp("seen").alias("seen"))
+
+
+def log_value_rejects(spark, folder) -> DataFrame:
+    bad = C.value_rejects(_account_changes(spark, folder), "shop", "account", ACCOUNT)
+    return bad.select("pos", F.array_join("columns", ",").alias("columns"))
+
+
 _CTE = """
 WITH o AS (
   SELECT *, o_orderkey // 5000000 + 1 AS file_no, o_orderkey % 5000000 * 10 + 4 AS mark, 'shop_' || (o_custkey % 25) AS db,
@@ -259,6 +304,17 @@ QUERIES = {
             UNION ALL SELECT o_custkey, o_orderstatus, round(o_totalprice * 100)::BIGINT, o_orderkey FROM newest
             WHERE o_orderstatus <> 'F' AND o_custkey NOT IN (SELECT c_custkey FROM customer)""",
     ),
+    "log_replay_text": (
+        log_replay_text,
+        """WITH c AS (SELECT *, o_orderkey AS k, round(o_totalprice * 100)::BIGINT AS v FROM orders WHERE NOT (o_orderkey % 97 = 0 AND o_orderkey % 4 IN (0, 2))),
+           f AS (SELECT o_custkey AS id, max_by('FFC3A9' || hex(o_orderstatus), k) FILTER (k % 4 = 0) AS note, max_by(o_orderstatus, k) FILTER (k % 4 IN (0, 1)) AS state,
+                   max_by(v, k) FILTER (k % 4 IN (0, 2)) AS cents, max_by(strftime(o_orderdate, '%Y-%m-%d'), k) FILTER (k % 4 IN (0, 2)) AS day,
+                   max_by(epoch_us(o_orderdate) // 1000000, k) FILTER (k % 4 IN (0, 3)) AS seen FROM c GROUP BY 1)
+           SELECT coalesce(f.id, c_custkey) AS id, coalesce(note, CASE WHEN c_custkey IS NOT NULL THEN hex('old') END) AS note,
+                  coalesce(state, CASE WHEN c_custkey IS NOT NULL THEN 'N' END) AS state, coalesce(cents, CASE WHEN c_custkey IS NOT NULL THEN 0 END) AS cents, day, seen
+           FROM f FULL JOIN customer ON f.id = c_custkey""",
+    ),
+    "log_value_rejects": (log_value_rejects, "SELECT o_orderkey + 4 AS pos, 'day' AS columns FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 4 IN (0, 2)"),
     "log_replay_moves": (
         log_replay_moves,
         """SELECT slot, note FROM (

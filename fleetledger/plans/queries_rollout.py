@@ -119,8 +119,8 @@ def _completions(spark, folder) -> DataFrame:
     return done.where(F.col("o_orderstatus") == "F").select(
         F.col("o_custkey").alias("shardId"),
         F.concat(F.lit("task-"), F.col("o_orderkey") % 3).alias("taskName"),
-        (F.col("o_orderkey") % 50 + 20).cast("int").alias("version"),
-        F.col("o_orderdate").alias("ts"),
+        (F.col("o_orderkey") % 50).cast("int").alias("version"),
+        F.timestamp_seconds(seconds("o_orderdate") + 86400 * 30).alias("ts"),
     )
 
 
@@ -141,14 +141,14 @@ def _oplog(spark, folder) -> DataFrame:
         .otherwise(F.concat(F.lit("Error: ddl error "), F.col("event_id")))
     )
     rows = events.select(
-        F.col("user_id").alias("shardId"), F.length("event_type").alias("version"), F.lit(0).cast("long").alias("seq"),
+        F.nullif(F.col("user_id"), F.lit(7)).alias("shardId"), F.nullif(F.length("event_type"), F.lit(6)).alias("version"), F.lit(0).cast("long").alias("seq"),
         F.concat(F.lit("task-"), F.col("user_id") % 3).alias("taskName"), message.alias("message"), F.lit("").alias("output"),
-        F.when(F.col("event_id") % 3 == 2, F.lit("failed")).alias("err"), F.col("ts").alias("lastUpdate"), "event_id",
+        F.when(F.col("event_id") % 3 == 2, F.lit("failed")).alias("err"), F.when(F.col("event_id") % 97 != 0, F.col("ts")).alias("lastUpdate"), "event_id",
     )
     order, hour = [F.col("lastUpdate"), F.col("event_id")], F.date_trunc("hour", "lastUpdate")
     cut = F.col("lastUpdate") < F.lit("2024-01-20").cast("timestamp")
-    existing = settle(R.append_oplog(rows.limit(0), rows.where(cut), order, hour))
-    return R.append_oplog(existing, rows.where(~cut), order, hour)
+    existing = settle(R.append_oplog(rows.limit(0), rows.where(F.coalesce(cut, F.lit(True))), order, hour))
+    return R.append_oplog(existing, rows.where(F.coalesce(~cut, F.lit(False))), order, hour)
 
 
 def rollout_oplog(spark, folder) -> DataFrame:
@@ -209,11 +209,15 @@ spread AS (SELECT c_custkey AS shardId, c_custkey * 2 AS version, c_mktsegment F
 beats AS (
   SELECT o_custkey AS shardId, 'task-' || (o_orderkey % 3) AS taskName, o_orderdate + INTERVAL 30 DAY AS ts FROM orders),
 done AS (
-  SELECT o_custkey AS shardId, 'task-' || (o_orderkey % 3) AS taskName, o_orderkey % 50 + 20 AS version, o_orderdate AS ts
+  SELECT o_custkey AS shardId, 'task-' || (o_orderkey % 3) AS taskName, o_orderkey % 50 AS version, o_orderdate + INTERVAL 30 DAY AS ts
   FROM orders WHERE o_orderstatus = 'F'),
+judged AS (
+  SELECT d.*, s.shardId IS NOT NULL AND d.version > s.version AND (s.lastTaskHb IS NULL OR d.ts >= s.lastTaskHb) AS counts
+  FROM done d LEFT JOIN shards s ON s.shardId = d.shardId AND s.taskName = d.taskName),
 oplog AS (
-  SELECT event_id, user_id AS shardId, length(event_type) AS version,
-         row_number() OVER (PARTITION BY user_id, length(event_type) ORDER BY ts, event_id) AS seq,
+  SELECT event_id, nullif(user_id, 7) AS shardId, nullif(length(event_type), 6) AS version,
+         row_number() OVER (PARTITION BY nullif(user_id, 7), nullif(length(event_type), 6)
+                            ORDER BY CASE WHEN event_id % 97 <> 0 THEN ts END NULLS FIRST, event_id) AS seq,
          'task-' || (user_id % 3) AS taskName,
          CASE event_id % 3 WHEN 0 THEN 'starting SQL command: ''alter ' || event_id || '''' WHEN 1 THEN 'Completed OK'
               ELSE 'Error: ddl error ' || event_id END AS message,
@@ -281,18 +285,17 @@ QUERIES = {
         rollout_done,
         _CTE
         + """, newest AS (
-               SELECT shardId, taskName, ts, version FROM done
+               SELECT shardId, taskName, ts, version FROM judged WHERE counts
                QUALIFY row_number() OVER (PARTITION BY shardId, taskName ORDER BY ts DESC, version DESC) = 1)
              SELECT s.shardId, coalesce(n.version, s.version) AS version,
                     CASE WHEN n.shardId IS NULL THEN s.taskName END AS taskName,
-                    epoch_us(coalesce(n.ts, s.lastTaskHb)) // 1000000 AS beat, epoch_us(coalesce(n.ts, s.lastUpdate)) // 1000000 AS updated
+                    epoch_us(coalesce(n.ts, s.lastTaskHb)) // 1000000 AS beat, epoch_us(greatest(n.ts, s.lastUpdate)) // 1000000 AS updated
              FROM shards s LEFT JOIN newest n ON n.shardId = s.shardId AND n.taskName = s.taskName""",
     ),
     "rollout_done_unmatched": (
         rollout_done_unmatched,
         _CTE
-        + """SELECT d.shardId, d.taskName, d.version, epoch_us(d.ts) // 1000000 AS finished FROM done d
-             WHERE NOT EXISTS (SELECT 1 FROM shards s WHERE s.shardId = d.shardId AND s.taskName = d.taskName)""",
+        + "SELECT shardId, taskName, version, epoch_us(ts) // 1000000 AS finished FROM judged WHERE NOT counts",
     ),
     "rollout_oplog": (rollout_oplog, _CTE + "SELECT event_id, shardId, version, seq, message FROM oplog"),
     "rollout_outcome": (

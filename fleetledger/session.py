@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 SETTINGS = {
@@ -14,8 +13,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # A millisecond holds 4096 identifiers; rows beyond that are cut before the shuffle.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
 
 
@@ -58,21 +55,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it comes in fewer partitions, for costly row work on few input splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def broadcast_when_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
-
-    For sides whose size Spark overestimates, such as an inventory of large
-    files.  Counting stops at the bound; a larger side is joined by a shuffle.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def _checkpoint_base(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext

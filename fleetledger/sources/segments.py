@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from fleetledger.sources.event_text import segment_number
 def segments(spark: SparkSession, folder: str, prefix: str, recursive: bool = False) -> DataFrame:
     """``source, name, seq, mtime, bytes`` of the files whose name starts with ``prefix``, unread.
 
-    ``source`` is the folder that holds the file, so several sources may lie below one root.
+    ``source`` is the path of the folder that holds the file below ``folder`` (or that folder's own name), so
+    folders of equal last names are different sources.
     """
     files = (
         spark.read.format("binaryFile")
@@ -19,10 +22,13 @@ def segments(spark: SparkSession, folder: str, prefix: str, recursive: bool = Fa
         .option("pathGlobFilter", f"{prefix}*")
         .load(folder)
     )
-    parts = F.split("path", "/")
+    # Listed paths carry the scheme that ``folder`` may lack, so the folder is found by its own path.
+    root = "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder).strip("/") + "/"
+    own = root.strip("/").rsplit("/", 1)[-1]
+    holder = F.regexp_replace(F.substring_index(F.concat(F.lit("/"), "path"), root, -1), "/?[^/]*$", "")
     return files.select(
-        F.element_at(parts, -2).alias("source"),
-        F.element_at(parts, -1).alias("name"),
+        F.when(holder == "", F.lit(own)).otherwise(holder).alias("source"),
+        F.substring_index("path", "/", -1).alias("name"),
         F.col("modificationTime").alias("mtime"),
         F.col("length").alias("bytes"),
     ).select("source", "name", segment_number(F.col("name")).alias("seq"), "mtime", "bytes")

@@ -1,7 +1,7 @@
 """Keep a table current from a stream of changes.
 
 Every micro-batch is folded to the newest image per key and written as its own
-delta, named by the batch number.  A batch that is run again overwrites its own
+delta, named by its checkpoint and the batch number.  A batch that is run again overwrites its own
 delta, and an image older than the one already held loses the fold, so repeats
 and late files change nothing.  Deleted keys stay as tombstones until
 :func:`compact_state` folds the deltas into a new base.
@@ -9,11 +9,13 @@ and late files change nothing.  Deleted keys stay as tombstones until
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetledger.operators.changelog import ORDER, fold_images, keyed_images
+from fleetledger.operators.changelog import fold_images, keyed_images, live_rows
 
 
 def start_replay(
@@ -21,13 +23,18 @@ def start_replay(
     keys: list[str],
     state: str,
     checkpoint: str,
-    order: tuple[str, ...] = ORDER,
+    order: tuple[str, ...] | None = None,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Start folding a stream of typed changes into deltas below ``state``."""
+    """Start folding a stream of typed changes into deltas below ``state``.
+
+    Deltas carry the name of their checkpoint, so a stream that begins anew on another checkpoint adds deltas
+    of its own and never overwrites those of an earlier one.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write_delta(batch: DataFrame, number: int) -> None:
-        fold_images(keyed_images(batch, keys, order), keys).write.mode("overwrite").parquet(f"{state}/delta={number}")
+        fold_images(keyed_images(batch, keys, order), keys).write.mode("overwrite").parquet(f"{state}/delta={run}-{number}")
 
     writer = changes.writeStream.foreachBatch(write_delta).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
@@ -41,12 +48,11 @@ def state_images(spark: SparkSession, state: str, keys: list[str]) -> DataFrame:
 
 def current_table(spark: SparkSession, state: str, keys: list[str]) -> DataFrame:
     """The table as of the last finished micro-batch."""
-    live = state_images(spark, state, keys).where(F.col("row").isNotNull())
-    return live.select("row.*")
+    return live_rows(state_images(spark, state, keys))
 
 
 def compact_state(spark: SparkSession, state: str, target: str, keys: list[str], keep_deleted_after: dict | None = None) -> None:
-    """Write the folded state to ``target`` as delta -1 of a new state folder.
+    """Write the folded state to ``target`` as the base delta of a new state folder.
 
     Tombstones are kept unless their log position is below ``keep_deleted_after``
     (field name to value, compared in field order): dropping one is safe once no
@@ -54,7 +60,8 @@ def compact_state(spark: SparkSession, state: str, target: str, keys: list[str],
     """
     images = state_images(spark, state, keys)
     if keep_deleted_after:
-        bound = F.struct(*[F.lit(v).cast("long").alias(k) for k, v in keep_deleted_after.items()])
+        bound = F.struct(*[(F.lit(v) if isinstance(v, str) else F.lit(v).cast("long")).alias(k) for k, v in keep_deleted_after.items()])
         position = F.struct(*[F.col("at")[k].alias(k) for k in keep_deleted_after])
-        images = images.where(F.col("row").isNotNull() | (position >= bound))
-    images.write.mode("overwrite").parquet(f"{target}/delta=-1")
+        live = F.col("live") if "live" in images.columns else F.col("row").isNotNull()
+        images = images.where(live | (position >= bound))
+    images.write.mode("overwrite").parquet(f"{target}/delta=base")

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 from fleetledger.functions.literals import clean_literals, is_literal, literal_value, sql_literals
 from fleetledger.operators import changelog as C
 from fleetledger.sources.ddl_text import read_ddl, schema_catalog
-from fleetledger.sources.event_text import read_events
+from fleetledger.sources.event_text import events_from, read_events
 
 SAMPLE = r"""/*!50530 SET @@SESSION.PSEUDO_SLAVE_MODE=1*/;
 DELIMITER /*!*/;
@@ -219,3 +219,62 @@ def test_key_change_moves_the_row(spark):
     )
     base = spark.createDataFrame([(9, "z"), (4, "old"), (8, "idle")], "id long, v string")
     assert sorted(tuple(r) for r in C.apply_changes(base, changes, ["id"]).collect()) == [(3, "b"), (4, "new"), (8, "idle")]
+
+
+# ---- replay on logs as they are
+
+
+ACCOUNT = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("note", T.StringType())])
+
+
+def _replayed(spark, files, base=None, schema=ACCOUNT):
+    rows = [(name, piece) for name, pieces in files.items() for piece in pieces]
+    events = events_from(spark.createDataFrame(rows, "file string, value string"))
+    catalog = spark.createDataFrame([("d", "t", i + 1, f.name) for i, f in enumerate(schema.fields)], "db string, `table` string, ordinal int, `column` string")
+    changes = C.resolve_columns(C.row_images(C.row_statements(events)), catalog)
+    held = spark.createDataFrame(base, schema) if base else None
+    table = C.apply_changes(held, C.typed_changes(changes, "d", "t", schema), [schema.names[0]])
+    return sorted(map(tuple, table.collect())), C.value_rejects(changes, "d", "t", schema), changes
+
+
+def _event(pos, kind, where, new):
+    head = f"{pos}\n#170921 20:28:37 server id 1  end_log_pos 9 \tRows\n### {kind} `d`.`t`"
+    lines = lambda mark, values: f"\n### {mark}" + "".join(f"\n###   @{n}={v}" for n, v in values.items()) if values else ""
+    return head + lines("WHERE", where) + lines("SET", new)
+
+
+@pytest.mark.parametrize("where, new", [({1: 1, 2: 42, 3: "'old'"}, {1: 1, 2: 42, 3: "'new'"}), ({1: 1}, {3: "'new'"}), ({1: 1, 2: 42}, {1: 1, 2: 42, 3: "'new'"})])
+def test_update_images_full_minimal_and_without_text(spark, where, new):
+    assert _replayed(spark, {"bin.000001": [_event(4, "UPDATE", where, new)]}, [(1, 42, "old")])[0] == [(1, 42, "new")]
+
+
+def test_columns_of_several_partial_updates_come_together(spark):
+    log = [_event(4, "INSERT INTO", {}, {1: 1, 2: 2, 3: "'a'"}), _event(5, "UPDATE", {1: 1}, {2: 3}), _event(6, "UPDATE", {1: 1}, {3: "NULL"}), _event(7, "UPDATE", {1: 1}, {2: 4})]
+    assert _replayed(spark, {"bin.000001": log})[0] == [(1, 4, None)]
+    moved = _event(8, "UPDATE", {1: 1}, {1: 2, 2: 5})
+    with pytest.raises(Exception, match="does not name all columns"):
+        _replayed(spark, {"bin.000001": [*log, moved]})
+
+
+def test_files_without_number_win_over_the_base_and_do_not_mix(spark):
+    first, second = [_event(100, "UPDATE", {1: 1}, {3: "'a'"})], [_event(4, "UPDATE", {1: 1}, {3: "'b'"})]
+    assert _replayed(spark, {"a.txt": first, "b.txt": second}, [(1, 0, "old")])[0] == [(1, 0, "b")]
+    assert _replayed(spark, {"b.txt": first, "bin.000001": second}, [(1, 0, "old")])[0] == [(1, 0, "b")]
+
+
+def test_values_by_their_type_and_their_rejects(spark):
+    schema = T.StructType([T.StructField(n, k) for n, k in (("id", T.LongType()), ("at", T.TimestampType()), ("day", T.DateType()), ("raw", T.BinaryType()), ("txt", T.StringType()))])
+    good = _event(4, "INSERT INTO", {}, {1: 1, 2: "1505939317", 3: "'2017:09:20'", 4: r"'\xff\xfe\x80'", 5: r"'\xc3\xa9'"})
+    bad = [_event(5, "INSERT INTO", {}, {1: 2, 2: "'soon'", 3: "'2017:13:41'", 4: "NULL", 5: "NULL"}), _event(6, "INSERT INTO", {}, {1: 3, 2: "NULL", 3: "NULL", 4: "NULL", 5: r"'\xff'"})]
+    rows, rejected, _ = _replayed(spark, {"bin.000001": [good, *bad]}, schema=schema)
+    assert len(rows) == 1 and rows[0][0] == 1 and str(rows[0][2]) == "2017-09-20" and bytes(rows[0][3]) == b"\xff\xfe\x80" and rows[0][4] == "é"
+    assert rows[0][1].timestamp() == 1505939317
+    assert sorted((r.pos, r["columns"]) for r in rejected.collect()) == [(5, ["at", "day"]), (6, ["txt"])]
+
+
+def test_bytes_that_are_no_text_are_rejected(spark):
+    piece = _event(4, "INSERT INTO", {}, {1: 1, 2: 2, 3: "'Q'"}).encode().replace(b"Q", b"\xff\xfe\x80")
+    raw = spark.createDataFrame([("bin.000001", bytearray(piece))], "file string, b binary").select("file", F.col("b").cast("string").alias("value"))
+    catalog = spark.createDataFrame([("d", "t", i + 1, n) for i, n in enumerate(ACCOUNT.names)], "db string, `table` string, ordinal int, `column` string")
+    changes = C.resolve_columns(C.row_images(C.row_statements(events_from(raw))), catalog)
+    assert [r.reason for r in C.rejects(changes).collect()] == ["bytes that are no text"] and C.to_sql(changes).count() == 0

@@ -28,11 +28,11 @@ def test_parts_invert_compose(spark):
     df = spark.range(5000).select(
         F.timestamp_millis(F.lit(1700000000000) + F.col("id") * 977).alias("ts"),
         (F.col("id") * 7).alias("m"),
-        (F.col("id") * 13).alias("s"),
+        (F.col("id") * 13 % 4096).alias("s"),
     )
     parts = df.select("ts", "m", "s", snowflake_parts(snowflake(F.col("ts"), F.col("m"), F.col("s"))).alias("p"))
     wrong = parts.where(
-        (F.col("p.ts") != F.col("ts")) | (F.col("p.machine") != F.col("m") % 1024) | (F.col("p.seq") != F.col("s") % 4096)
+        (F.col("p.ts") != F.col("ts")) | (F.col("p.machine") != F.col("m") % 1024) | (F.col("p.seq") != F.col("s"))
     )
     assert wrong.count() == 0
     floor = df.where(snowflake_floor(F.col("ts")) > snowflake(F.col("ts"), F.col("m"), F.col("s")))
@@ -49,6 +49,16 @@ def test_overfull_millisecond_is_an_error(spark):
     df = spark.range(4097).select("id", F.lit("2024-01-01").cast("timestamp").alias("ts"))
     with pytest.raises(Exception, match="more than 4096"):
         with_snowflake_id(df, F.col("ts"), 1, [F.col("id")], "sid").agg(F.max("sid")).collect()
+    with pytest.raises(Exception, match="more than 4096"):
+        with_snowflake_id(spark.range(10_000).withColumn("ts", F.lit("2024-01-01").cast("timestamp")), F.col("ts"), 1, [F.col("id")]).count()
+
+
+def test_sequence_numbers_do_not_wrap(spark):
+    ts = F.lit("2024-01-01").cast("timestamp")
+    for number in (-1, 4096):
+        with pytest.raises(Exception, match="is not in 0..4095"):
+            spark.range(1).select(snowflake(ts, 1, number)).collect()
+    assert spark.range(1).select(snowflake(ts, 1, F.lit(None))).first()[0] is None
 
 
 def test_bulk_ids_are_unique_across_many_partitions(spark):
@@ -74,7 +84,7 @@ def test_number_within_matches_brute_force_on_a_hot_group(spark, sliced):
 
 def test_sql_function_equals_the_column_form(spark):
     create_sql_functions(spark)
-    rows = spark.range(2000).selectExpr("timestamp_micros(1700000000000000 + id * 1234567) as ts", "nullif(id - 1000, 5) as m", "id * 3 as s")
+    rows = spark.range(2000).selectExpr("timestamp_micros(1700000000000000 + id * 1234567) as ts", "nullif(id - 1000, 5) as m", "id * 2 as s")
     both = rows.select(
         snowflake(F.col("ts"), F.col("m"), F.col("s")).alias("a"), F.expr("snowflake_id(ts, m, s)").alias("b"),
         snowflake(F.col("ts")).alias("c"), F.expr("snowflake_id(ts)").alias("d"),

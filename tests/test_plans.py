@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetledger.functions.ids import snowflake_floor
+from fleetledger.operators import changelog as C
 from fleetledger.operators import links as L
 from fleetledger.operators import rollout as R
 from fleetledger.plans.registry import registered
@@ -49,10 +50,14 @@ def test_only_bounded_windows_are_global(spark):
     assert "TakeOrderedAndProject(limit=5" in claim
 
 
-@needs_tables
-def test_overfull_groups_are_cut_before_the_shuffle(spark):
-    plan = plan_of(registered()["ids_event_time"][0](spark, FOLDER))
-    assert "WindowGroupLimit" in plan.split("Exchange")[-1]
+def test_a_small_change_set_leaves_the_base_where_it_is(spark):
+    base = spark.range(1000).selectExpr("id", "'old' as v")
+    changes = spark.range(3).selectExpr("1L as file_no", "id as pos", "0 as row_no", "'UPDATE' as op", "struct(id, 'old' as v) as before", "struct(id, 'new' as v) as after")
+    result = C.apply_changes(base, changes, ["id"])
+    plan = plan_of(result)
+    before_join = plan[plan.index("LeftAnti"):] if "LeftAnti" in plan else ""
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "Exchange hashpartitioning(id" not in before_join.split("BroadcastExchange")[0]
+    assert sorted(r.v for r in result.collect())[:3] == ["new"] * 3 and result.count() == 1000
 
 
 def test_time_tests_reach_the_scan(spark, tmp_path):
