@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetledger.functions.clock import is_past_days
@@ -50,21 +50,35 @@ def finished(segments: DataFrame, prefix: str = "") -> DataFrame:
     return plain.join(newest, "source").where(F.struct("seq", "name") != F.col("_newest")).select(*segments.columns)
 
 
-def compact(events: DataFrame, segments: DataFrame, path: str, prefix: str = "") -> None:
-    """Rewrite the events of finished segments as a compressed columnar archive.
+def compact(events: DataFrame, segments: DataFrame, path: str, prefix: str = "", archived: DataFrame | None = None) -> None:
+    """Rewrite the events of finished segments as a compressed columnar archive, without those in ``archived`` (source, name).
 
-    ``events`` has ``source, file, pos, record``; layout ``source=…/file=…`` lets
+    ``events`` has ``source, file, file_no, pos, record``; layout ``source=…/file=…`` lets
     later reads prune to the segments they need.  The list of finished segments
     joins by its measured size: while it is short, each task writes what it read and
     the content is not shuffled.
     """
-    done = finished(segments, prefix).select("source", F.col("name").alias("file"))
+    done = finished(segments, prefix)
+    if archived is not None:
+        done = done.join(archived.select("source", "name"), ["source", "name"], "left_anti")
+    done = done.select("source", F.col("name").alias("file"))
     (
         events.join(done, ["source", "file"], "left_semi")
-        .select("source", "file", "pos", "record")
+        .select("source", "file", "file_no", "pos", "record")
         .write.mode("overwrite")
         .option("compression", "zstd")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("source", "file")
         .parquet(path)
     )
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Events of an archive, as the reader of event text gives them, with their ``source``."""
+    kept = spark.read.schema("file_no long, pos long, record string, source string, file string").parquet(path)
+    return kept.select("source", "file", "file_no", "pos", "record")
+
+
+def archived_segments(spark: SparkSession, path: str) -> DataFrame:
+    """``source, name`` of the segments in an archive, from the names of its folders."""
+    return read_archive(spark, path).select("source", F.col("file").alias("name")).distinct()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetledger.functions.literals import quote_name
 from fleetledger.functions.clock import instant, is_stale
 from fleetledger.operators.sequence import number_within
 
@@ -207,16 +208,21 @@ def last_outcome(oplog: DataFrame) -> DataFrame:
     )
 
 
+def _shell_quoted(text: Column) -> Column:
+    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+
+
 def render_command(user: Column, schema: Column) -> Column:
     """Command text of a plan row: a statement, or the argument line of the online-change tool.
 
     The password is left to the tool's own configuration.
     """
-    direct = F.concat(F.lit("alter table `"), F.col("tableName"), F.lit("` "), F.col("command"))
+    direct = F.concat(F.lit("alter table "), quote_name(F.col("tableName")), F.lit(" "), F.col("command"))
+    where = F.concat(F.lit("u="), F.coalesce(user, F.lit("")), F.lit(",D="), schema, F.lit(",t="), F.col("tableName"))
+    plain = where.rlike("^[A-Za-z0-9_.,=-]*$")
     online = F.concat(
-        F.lit(f"{ONLINE_TOOL} --execute --alter '"),
-        F.replace("command", F.lit("'"), F.lit("'\\''")),
-        F.lit("' u="), F.coalesce(user, F.lit("")), F.lit(",D="), schema, F.lit(",t="), F.col("tableName"),
+        F.lit(f"{ONLINE_TOOL} --execute --alter "), _shell_quoted(F.col("command")), F.lit(" "),
+        F.when(plain, where).otherwise(_shell_quoted(where)),
     )
     return F.when(F.col("cmdType") == DIRECT, direct).when(F.col("cmdType") == ONLINE, online)
 
@@ -225,7 +231,8 @@ def migration_plan(shards: DataFrame, versions: DataFrame) -> DataFrame:
     """Every missing version of every shard in apply order: ``shardId, step, version, cmdType, command``.
 
     A shard needs the ranks after the ones it has passed, so the missing versions
-    are found by equality and only result rows are ever made.
+    are found by equality and only result rows are ever made.  Shards whose DSN cannot be
+    read get no commands; :func:`split_dsn` lists them with the reason.
     """
     ranks, passed = version_ranks(versions, shards.select("version"))
     known = versions.select(F.col("version").cast("long").alias("version"), "command", "cmdType", "tableName")
@@ -236,7 +243,7 @@ def migration_plan(shards: DataFrame, versions: DataFrame) -> DataFrame:
     )
     steps = todo.join(ranked, "rank").withColumn("step", (F.col("rank") - F.col("passed")).cast("int"))
     user = F.nullif(F.regexp_extract("shardDSN", DSN, 1), F.lit(""))
-    behind = shards.select("shardId", "schemaName", user.alias("_user"), F.col("version").cast("long").alias("_from"))
+    behind = shards.where(F.coalesce(F.col("shardDSN").rlike(DSN), F.lit(False))).select("shardId", "schemaName", user.alias("_user"), F.col("version").cast("long").alias("_from"))
     return behind.join(steps, "_from").select(
         "shardId", "step", F.col("_to").alias("version"), "cmdType",
         render_command(F.col("_user"), F.col("schemaName")).alias("command"),

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetledger.operators import archive as A
+from fleetledger.operators import changelog as C
 from fleetledger.plans.tables import seconds, table
 from fleetledger.session import shared_folder
-from fleetledger.sources.event_text import read_events
+from fleetledger.sources.event_text import read_events, segment_number
 from fleetledger.sources.segments import segments
 from fleetledger.streaming.heartbeats import heartbeat_gaps
 from fleetledger.streaming.ingest import ingest_stream
@@ -67,8 +68,9 @@ def _write_segments(spark, folder) -> str:
 
 
 def archive_segments(spark, folder) -> DataFrame:
-    listed = segments(spark, _write_segments(spark, folder), "part-", recursive=True)
-    return listed.where("bytes > 0").select(F.regexp_replace("source", "^file=", "").alias("segment")).distinct()
+    listed = segments(spark, _write_segments(spark, folder), "part-", recursive=True).where("bytes > 0")
+    folders = listed.groupBy(F.regexp_replace("source", "^.*file=", "").alias("segment"))
+    return folders.agg(F.max(segment_number(F.regexp_replace("source", "^.*file=", ""))).alias("seq"), F.sum("bytes").cast("long").alias("bytes"))
 
 
 def archive_stream(spark, folder) -> DataFrame:
@@ -78,11 +80,17 @@ def archive_stream(spark, folder) -> DataFrame:
 
 
 def archive_rewrite(spark, folder) -> DataFrame:
-    events = read_events(spark, _write_segments(spark, folder)).withColumn("source", F.lit("main"))
-    inventory = events.select("source", F.col("file").alias("name"), F.col("file_no").alias("seq")).distinct()
-    target = shared_folder(spark, "archive")
+    """Text, inventory, archive, and the archive read back; a second run finds everything archived."""
+    path, target = _write_segments(spark, folder), shared_folder(spark, "archive")
+    parts = segments(spark, path, "part-", recursive=True)
+    inventory = parts.select(F.lit("main").alias("source"), F.regexp_replace("source", "^.*file=", "").alias("name")).distinct()
+    inventory = inventory.withColumn("seq", segment_number(F.col("name")))
+    events = read_events(spark, path).withColumn("source", F.lit("main"))
     A.compact(events, inventory, target, "bin.")
-    return spark.read.parquet(target).groupBy("file").agg(F.count(F.lit(1)).alias("n_events"), F.sum("pos").alias("pos_sum"))
+    A.compact(events, inventory, target, "bin.", A.archived_segments(spark, target))
+    kept = C.parse_headers(A.read_archive(spark, target))
+    text = F.trim(F.substring_index("record", "\n-- ", -1), F.lit("\n"))
+    return kept.select("file", "file_no", "pos", F.unix_timestamp("event_time").alias("event_s"), text.alias("text"))
 
 
 def heartbeat_stream(spark, folder) -> DataFrame:
@@ -110,7 +118,13 @@ days AS (
 """
 
 QUERIES = {
-    "archive_segments": (archive_segments, _CTE + "SELECT file AS segment FROM days"),
+    "archive_segments": (
+        archive_segments,
+        """SELECT 'bin.' || lpad(dayofyear(ts)::VARCHAR, 6, '0') AS segment, dayofyear(ts) AS seq,
+                  sum(length('# at ' || (event_id + 4) || chr(10) || '#240101 ' || strftime(ts, '%-H:%M:%S') || ' server id 1  end_log_pos ' || (event_id + 5)
+                      || ' CRC32 0x1f ' || chr(9) || 'Query' || chr(10) || '-- ' || event_type || ' ' || props) + 1)::BIGINT AS bytes
+           FROM events GROUP BY ALL""",
+    ),
     "archive_retain": (archive_retain, _CTE + "SELECT source, name, epoch_us(mtime) // 1000000 AS mtime FROM aged WHERE NOT gone"),
     "archive_expired": (archive_expired, _CTE + "SELECT source, name, epoch_us(mtime) // 1000000 AS mtime FROM aged WHERE gone"),
     "archive_compact": (
@@ -127,7 +141,12 @@ QUERIES = {
              FROM newest n FULL JOIN customer ON n.source = 'u' || c_custkey""",
     ),
     "archive_stream": (archive_stream, _CTE + "SELECT * FROM days"),
-    "archive_rewrite": (archive_rewrite, _CTE + "SELECT * FROM days WHERE file < (SELECT max(file) FROM days)"),
+    "archive_rewrite": (
+        archive_rewrite,
+        """WITH e AS (SELECT *, 'bin.' || lpad(dayofyear(ts)::VARCHAR, 6, '0') AS file FROM events)
+           SELECT file, dayofyear(ts) AS file_no, event_id + 4 AS pos, epoch_us(ts) // 1000000 AS event_s, event_type || ' ' || props AS text
+           FROM e WHERE file < (SELECT max(file) FROM e)""",
+    ),
     "links_gaps_stream": (
         heartbeat_stream,
         """

@@ -20,7 +20,9 @@ NOW = "2001-08-02 00:00:00"
 def _shards(spark, folder) -> DataFrame:
     last = table(spark, folder, "orders", "o_custkey", "o_orderdate").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
     key = F.col("c_custkey")
-    dsn = F.concat(F.lit("app:secret@tcp(10.0.0."), key % 250, F.lit(":3306)"))
+    good = F.concat(F.lit("app:secret@tcp(10.0.0."), key % 250, F.lit(":3306)"))
+    # Every 31st shard has no DSN that can be read.
+    dsn = F.when(key % 31 != 30, good).when(key % 2 == 0, F.lit("app:secret@(tcp:10.0.0.1)"))
     return (
         table(spark, folder, "customer", "c_custkey")
         .join(last, key == F.col("o_custkey"), "left")
@@ -166,6 +168,20 @@ def rollout_plan(spark, folder) -> DataFrame:
     return plan.select("shardId", F.col("step").cast("long").alias("step"), "version", "cmdType", "command")
 
 
+def rollout_plan_rejects(spark, folder) -> DataFrame:
+    return R.split_dsn(_shards(spark, folder))[1]
+
+
+def rollout_plan_long(spark, folder) -> DataFrame:
+    """Suppliers as shards near the end of the long list."""
+    last = table(spark, folder, "part", "p_partkey").agg(F.max("p_partkey")).scalar()
+    shards = table(spark, folder, "supplier", "s_suppkey").select(
+        F.col("s_suppkey").alias("shardId"), F.lit("s").alias("schemaName"), F.lit("app@tcp(10.0.0.1)").alias("shardDSN"), (last - F.col("s_suppkey")).alias("version")
+    )
+    plan = R.migration_plan(shards, _long_list(spark, folder))
+    return plan.select("shardId", F.col("step").cast("long").alias("step"), "version")
+
+
 def rollout_stalled(spark, folder) -> DataFrame:
     return R.stalled(_shards(spark, folder), NOW, 86400 * 10).select("shardId", "taskName", seconds("lastTaskHb").alias("beat"))
 
@@ -312,7 +328,18 @@ QUERIES = {
                     CASE WHEN v.version % 2 = 0 THEN 'alter table `t' || (v.version % 5) || '` add column c' || v.version || ' int'
                          ELSE 'pt-online-schema-change --execute --alter ''add column c' || v.version || ' int'' u=app,D=' || s.schemaName
                               || ',t=t' || (v.version % 5) END AS command
-             FROM shards s JOIN versions v ON v.version > s.version""",
+             FROM shards s JOIN versions v ON v.version > s.version WHERE s.shardId % 31 <> 30""",
+    ),
+    "rollout_plan_rejects": (
+        rollout_plan_rejects,
+        "SELECT c_custkey AS shardId, CASE WHEN c_custkey % 2 = 0 THEN 'malformed DSN' ELSE 'no DSN' END AS reason FROM customer WHERE c_custkey % 31 = 30",
+    ),
+    "rollout_plan_long": (
+        rollout_plan_long,
+        """WITH versions AS (SELECT p_partkey + 1 AS version FROM part WHERE (p_partkey + 1) % 3 <> 0),
+                shards AS (SELECT s_suppkey AS shardId, (SELECT max(p_partkey) FROM part) - s_suppkey AS version FROM supplier)
+           SELECT shardId, row_number() OVER (PARTITION BY shardId ORDER BY v.version) AS step, v.version::BIGINT AS version
+           FROM shards s JOIN versions v ON v.version > s.version""",
     ),
     "rollout_stalled": (
         rollout_stalled,

@@ -20,8 +20,9 @@ def read_events(spark: SparkSession, path: str, recursive: bool = False) -> Data
 
     Files are cut at the event mark by the reader itself, so one file is read by
     many tasks and no ordering of lines is needed.  Text before the first mark
-    is the event at position 0.  When the folder is partitioned by ``file`` (as
-    compacted archives are), that value is the file name.
+    is the event at position 0.  When the folder is partitioned by ``file``,
+    that value is the file name.  Compacted archives have a reader of their own
+    (:func:`fleetledger.operators.archive.read_archive`).
     """
     reader = spark.read.option("lineSep", EVENT_MARK).option("recursiveFileLookup", str(recursive).lower())
     return _shape(_with_file(reader.text(path)))

@@ -56,7 +56,9 @@ def test_inventory_and_compaction_keep_every_event(spark, tmp_path):
     assert sorted((r.source, r.name, r.seq) for r in segs.collect()) == [("src", f"bin.{n:06d}", n) for n in (1, 2, 3)]
     events = read_events(spark, str(source)).withColumn("source", F.lit("src"))
     A.compact(events, segs, str(tmp_path / "archive"), "bin")
-    back = spark.read.parquet(str(tmp_path / "archive"))
+    back = A.read_archive(spark, str(tmp_path / "archive"))
+    assert back.where("file_no is null").count() == 0
+    A.compact(events.where("false"), segs, str(tmp_path / "archive"), "bin", A.archived_segments(spark, str(tmp_path / "archive")))
     assert {r.file for r in back.select("file").distinct().collect()} == {"bin.000001", "bin.000002"}
     old = events.where("file in ('bin.000001','bin.000002')").select("file", "pos", "record")
     assert old.exceptAll(back.select("file", "pos", "record")).count() == 0
@@ -78,3 +80,13 @@ def test_ingest_resumes_after_the_segments_already_taken(spark, tmp_path):
     batch = read_events(spark, str(source))
     assert both.count() == batch.count() == 5
     assert batch.select("file", "pos", "record").exceptAll(both.select("file", "pos", "record")).count() == 0
+
+
+def test_folders_of_equal_last_names_are_different_sources(spark, tmp_path):
+    for centre, numbers in (("dc1", (1, 2, 3)), ("dc2", (1, 2))):
+        (tmp_path / centre / "binlog").mkdir(parents=True)
+        for n in numbers:
+            write_segment(tmp_path / centre / "binlog", n, [4])
+    found = segments(spark, str(tmp_path), "bin", recursive=True)
+    assert sorted((r.source, r.name) for r in A.last_segment(found).collect()) == [("dc1/binlog", "bin.000003"), ("dc2/binlog", "bin.000002")]
+    assert A.finished(found, "bin").count() == 3

@@ -39,9 +39,13 @@ def test_read_side_goldens(spark, one):
 
 
 def test_plan_golden(one):
-    rows = [tuple(r) for r in R.migration_plan(*one).orderBy("step").collect()]
+    shards, versions = one
+    assert R.migration_plan(shards, versions).count() == 0  # its DSN cannot be read
+    assert [tuple(r) for r in R.split_dsn(shards)[1].collect()] == [(1, "malformed DSN")]
+    readable = shards.withColumn("shardDSN", F.lit("user:pass@tcp(10.2.2.1:3306)"))
+    rows = [tuple(r) for r in R.migration_plan(readable, versions).orderBy("step").collect()]
     assert rows == [
-        (1, 1, 1, "pt-osc", "pt-online-schema-change --execute --alter 'add c int' u=,D=shard_1,t=t1"),
+        (1, 1, 1, "pt-osc", "pt-online-schema-change --execute --alter 'add c int' u=user,D=shard_1,t=t1"),
         (1, 2, 2, "sql", "alter table `t2` SELECT 1"),
     ]
     assert not any("pass" in r[4] for r in rows)
@@ -53,7 +57,7 @@ def test_next_and_plan_match_brute_force_across_blocks(spark):
     versions = spark.createDataFrame([(v, f"c{v}", "sql", NOW, "t") for v in numbers], VERSIONS.replace("version int", "version long"))
     rows = [(i, rng.choice(numbers) if i % 3 else rng.randrange(400000), None, None, T0) for i in range(80)]
     shards = shards_of(spark, [])
-    shards = spark.createDataFrame([(i, "s", "d", v, None, None, T0) for i, v, *_ in rows], SHARDS.replace("version int", "version long"))
+    shards = spark.createDataFrame([(i, "s", "u@tcp(d)", v, None, None, T0) for i, v, *_ in rows], SHARDS.replace("version int", "version long"))
     nxt = {r.shardId: r.nextVersion for r in R.next_version(shards, versions).collect()}
     assert nxt == {i: min((n for n in numbers if n > v), default=None) for i, v, *_ in rows}
     plan = sorted((r.shardId, r.step, r.version) for r in R.migration_plan(shards, versions).collect())
@@ -134,3 +138,30 @@ def test_no_shard_is_lost_or_goes_back(spark, one):
     after, _ = R.apply_completions(R.claim(before, one[1], "me", NOW, 2, 2), done)
     joined = after.alias("a").join(before.alias("b"), "shardId")
     assert joined.count() == 30 and joined.where("a.version < b.version").count() == 0
+
+
+def test_commands_are_quoted(spark, one):
+    shards = one[0].withColumns({"shardDSN": F.lit("u@tcp(d)"), "schemaName": F.lit("my 'shard'")})
+    versions = one[1].withColumn("tableName", F.lit("a`b"))
+    commands = [r.command for r in R.migration_plan(shards, versions).orderBy("step").collect()]
+    assert commands[1].startswith("alter table `a``b` ")
+    assert commands[0].endswith(" 'u=u,D=my '\\''shard'\\'',t=a`b'")
+
+
+def test_late_completions_do_not_move_a_shard_back(spark):
+    beat = datetime(2017, 9, 21, 19)
+    before = shards_of(spark, [(1, 9, "me", beat, beat), (2, 3, "me", beat, beat)])
+    done = spark.createDataFrame([(1, "me", 4, beat), (2, "me", 5, T0), (2, "me", 4, beat)], "shardId long, taskName string, version int, ts timestamp")
+    after, lost = R.apply_completions(before, done)
+    rows = {r.shardId: r for r in after.collect()}
+    assert (rows[1].version, rows[1].taskName, rows[1].lastUpdate) == (9, "me", beat) and (rows[2].version, rows[2].taskName) == (4, None)
+    assert sorted((r.shardId, r.version) for r in lost.collect()) == [(1, 4), (2, 5)]
+
+
+def test_oplog_keeps_entries_with_nulls(spark):
+    entries = spark.createDataFrame([(1, None, 0, "t", "a", "", "", T0), (1, None, 0, "t", "b", "", "", T0), (1, 1, 0, "t", "c", "", "", None)], OPLOG)
+    for slices in (None, F.date_trunc("hour", "lastUpdate")):
+        out = R.append_oplog(entries.limit(0), entries, [F.col("lastUpdate"), F.col("message")], slices)
+        assert sorted((r.message, r.seq) for r in out.collect()) == [("a", 1), ("b", 2), ("c", 1)]
+        again = R.append_oplog(out, entries, [F.col("lastUpdate"), F.col("message")], slices)
+        assert sorted(r.seq for r in again.where("version is null").collect()) == [1, 2, 3, 4]
