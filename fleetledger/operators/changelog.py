@@ -18,10 +18,10 @@ from fleetledger.functions.literals import (
     sql_literals,
     unquote_name,
 )
+from fleetledger.sources.event_text import WHOLE_EVENT
 
 # Fixed values of the text format.
 HEADER = r"^#[0-9]{6} +[0-9]+:[0-9]{2}:[0-9]{2} +server id +[0-9]+ "
-WHOLE_EVENT = r"^[0-9]+\n#[0-9]{6} +[0-9]+:[0-9]{2}:[0-9]{2} +server id +[0-9]+ "
 HEADER_TIME = "yyMMdd H:mm:ss"
 STATEMENT = r"\n### (?=INSERT INTO|UPDATE |DELETE FROM)"
 TARGET = r"^(?:INSERT INTO|UPDATE|DELETE FROM) (?:`((?:[^`]|``)+)`\.)?`((?:[^`]|``)+)`"
@@ -75,7 +75,7 @@ def _is_whole() -> Column:
 def broken_events(events: DataFrame) -> DataFrame:
     """Pieces whose second line is not an event header: an event mark stood inside other text.
 
-    Their place in the log is unknown, so the operators below leave them out; check
+    The operators below leave them out, so either read with ``rejoin``, which puts them back, or check
     that there are none before a script or a replay is used.
     """
     return events.where(~_is_whole())

@@ -41,8 +41,14 @@ def pivot_status(kv: DataFrame, names: tuple[str, ...] = NODE_VALUES) -> DataFra
     )
 
 
+def unplaced_nodes(status: DataFrame) -> DataFrame:
+    """``host, reason`` of the nodes that :func:`nodes_from_status` cannot place: they do not name themselves, or no cluster."""
+    reason = F.when(F.col("wsrep_node_name").isNull(), "no node name").when(F.col("wsrep_cluster_name").isNull(), "no cluster")
+    return status.select("host", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def nodes_from_status(status: DataFrame) -> DataFrame:
-    """``cluster, host, localIndex, sane`` from pivoted node status; nodes that do not name themselves are left out."""
+    """``cluster, host, localIndex, sane`` from pivoted node status; :func:`unplaced_nodes` has those without node name."""
     return status.where(F.col("wsrep_node_name").isNotNull()).select(
         F.col("wsrep_cluster_name").alias("cluster"),
         F.col("wsrep_node_name").alias("host"),

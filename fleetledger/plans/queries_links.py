@@ -114,6 +114,11 @@ def _nodes(spark, folder) -> DataFrame:
     return L.nodes_from_status(L.pivot_status(_status_values(spark, folder))).where(F.col("cluster").isNotNull())
 
 
+def links_status_rejects(spark, folder) -> DataFrame:
+    """Nodes that ``links_status`` cannot show, and why."""
+    return L.unplaced_nodes(L.pivot_status(_status_values(spark, folder)))
+
+
 def links_status(spark, folder) -> DataFrame:
     return _nodes(spark, folder).select("cluster", "host", F.col("localIndex").cast("long").alias("localIndex"), F.col("sane").cast("int").cast("long").alias("sane"))
 
@@ -450,6 +455,11 @@ pairs AS (
 """
 
 QUERIES = {
+    "links_status_rejects": (
+        links_status_rejects,
+        _NODES + """SELECT 'h' || user_id AS host, CASE WHEN host IS NULL THEN 'no node name' ELSE 'no cluster' END AS reason
+                    FROM pivoted WHERE host IS NULL OR cluster IS NULL""",
+    ),
     "links_status": (links_status, _NODES + "SELECT cluster, host, localIndex, sane FROM nodes"),
     "links_parse": (
         links_parse,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the text format.
+WHOLE_EVENT = r"^[0-9]+\n#[0-9]{6} +[0-9]+:[0-9]{2}:[0-9]{2} +server id +[0-9]+ "
 EVENT_MARK = "\n# at "
 NUMBERED_NAME = r"\.([0-9]+)(?:\.[A-Za-z0-9]+)?$"
 
@@ -15,7 +16,7 @@ def segment_number(name: Column) -> Column:
     return F.regexp_extract(name, NUMBERED_NAME, 1).try_cast("long")
 
 
-def read_events(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def read_events(spark: SparkSession, path: str, recursive: bool = False, rejoin: bool = False) -> DataFrame:
     """Events of all files under ``path``: ``file, file_no, pos, record``.
 
     Files are cut at the event mark by the reader itself, so one file is read by
@@ -23,9 +24,38 @@ def read_events(spark: SparkSession, path: str, recursive: bool = False) -> Data
     is the event at position 0.  When the folder is partitioned by ``file``,
     that value is the file name.  Compacted archives have a reader of their own
     (:func:`fleetledger.operators.archive.read_archive`).
+
+    A line of an event's own text may look like a mark.  With ``rejoin`` the pieces such lines
+    make are put back: see :func:`_rejoined`.
     """
     reader = spark.read.option("lineSep", EVENT_MARK).option("recursiveFileLookup", str(recursive).lower())
-    return _shape(_with_file(reader.text(path)))
+    pieces = reader.text(path)
+    return _shape(_rejoined(pieces) if rejoin else _with_file(pieces))
+
+
+def _rejoined(pieces: DataFrame) -> DataFrame:
+    """Pieces with every one that has no event header put back to the piece before it.
+
+    The first pass tells, by split of a file, whether there are such pieces; only splits that hold some, or
+    stand before one that begins with one, are put in order and joined.  All others pass as they are.
+    """
+    named = "file" in pieces.columns
+    placed = pieces.select(
+        (F.col("file").cast("string") if named else F.col("_metadata.file_name")).alias("file"), "value",
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"),
+    )
+    placed = placed.withColumn("_whole", F.regexp_replace(F.substring("value", 1, 200), "^# at ", "").rlike(WHOLE_EVENT))
+    preamble = (F.col("_block") == 0) & ~F.col("_first")
+    splits = placed.groupBy("_path", "_block").agg(F.min_by("_whole", "_n").alias("_first"), F.count_if(~F.col("_whole")).alias("_broken"))
+    splits = splits.withColumn("_broken", F.col("_broken") - preamble.cast("int")).withColumn("_first", F.col("_first") | (F.col("_block") == 0))
+    after = F.lead("_first").over(Window.partitionBy("_path").orderBy("_block"))  # a row for each split of a file
+    hit = splits.withColumn("_after", after).where((F.col("_broken") > 0) | ~F.coalesce("_after", F.lit(True))).select("_path", "_block")
+    in_order = Window.partitionBy("_path").orderBy("_block", "_n").rowsBetween(Window.unboundedPreceding, 0)
+    grouped = placed.join(hit, ["_path", "_block"], "left_semi").withColumn("_event", F.sum(F.col("_whole").cast("int")).over(in_order))
+    parts = F.array_sort(F.collect_list(F.struct("_block", "_n", "value")))
+    joined = grouped.groupBy("_path", "_event").agg(F.first("file").alias("file"), parts.alias("_parts"))
+    whole = joined.select("file", F.array_join(F.col("_parts")["value"], EVENT_MARK).alias("value"))
+    return placed.join(hit, ["_path", "_block"], "left_anti").select("file", "value").unionAll(whole)
 
 
 def stream_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:

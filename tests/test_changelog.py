@@ -278,3 +278,22 @@ def test_bytes_that_are_no_text_are_rejected(spark):
     catalog = spark.createDataFrame([("d", "t", i + 1, n) for i, n in enumerate(ACCOUNT.names)], "db string, `table` string, ordinal int, `column` string")
     changes = C.resolve_columns(C.row_images(C.row_statements(events_from(raw))), catalog)
     assert [r.reason for r in C.rejects(changes).collect()] == ["bytes that are no text"] and C.to_sql(changes).count() == 0
+
+
+@pytest.mark.parametrize("split", ["64", "200", "1m"])
+def test_false_marks_are_rejoined_wherever_files_are_cut(spark, tmp_path, split):
+    said = ["plain", "x\n# at 99\ny", "# at the end\n# at 5\n# at 6\nz" + "w" * 300, "last\n# at 7"]
+    body = "preamble\n" + "".join(f"# at {i * 10 + 4}\n#170921 20:28:37 server id 1  end_log_pos 9 \tQuery\n{t}\n" for i, t in enumerate(said))
+    (tmp_path / "bin.000001").write_text(body)
+    (tmp_path / "bin.000002").write_text(body[len("preamble\n"):])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        rows = read_events(spark, str(tmp_path), rejoin=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    for name in ("bin.000001", "bin.000002"):
+        got = {r.pos: r.record.rstrip("\n").split("\tQuery\n", 1)[1] for r in rows if r.file == name and r.pos}
+        assert got == {i * 10 + 4: t for i, t in enumerate(said)}
+    assert len(rows) == 9
