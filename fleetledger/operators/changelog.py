@@ -96,7 +96,8 @@ def row_statements(events: DataFrame, include_text: bool = False) -> DataFrame:
             piece = F.array(F.struct(F.lit(row_no).alias("row_no"), F.col(name).alias("block")))
             return F.when(F.col(name) != "", piece).otherwise(F.slice("_rows", 1, 0))
 
-        pieces = F.concat(F.col("_rows"), text_piece(LEADING, "_lead"), text_piece(TRAILING, "_tail"))
+        # In the order of row_no, which an ordered script relies on.
+        pieces = F.concat(text_piece(LEADING, "_lead"), F.col("_rows"), text_piece(TRAILING, "_tail"))
         cut = (
             _with_plain_text(events)
             .withColumn("_rows", numbered)
@@ -173,12 +174,12 @@ def _values(part: str, line: str, text: Column) -> Column:
     )
 
 
-def resolve_columns(images: DataFrame, catalog: DataFrame) -> DataFrame:
+def resolve_columns(images: DataFrame, catalog: DataFrame, small: bool = False) -> DataFrame:
     """Add column names to both images, and ``rejected``: why a change cannot be used, else NULL.
 
     The names of one table travel as one array, so this is one join on the table
     and neither image is taken apart.  Whether that join broadcasts is left to
-    the measured size of the catalog.
+    the measured size of the catalog, unless it is known to be ``small``.
     """
     names = (
         catalog.groupBy("db", "table")
@@ -215,7 +216,7 @@ def resolve_columns(images: DataFrame, catalog: DataFrame) -> DataFrame:
         .when((F.col("op") != "DELETE") & (F.size("after") == 0), F.lit("missing image"))
     )
     return (
-        images.join(names, ["db", "table"], "left")
+        images.join(F.broadcast(names) if small else names, ["db", "table"], "left")
         .withColumns({"_all_before": complete("before"), "_all_after": complete("after")})
         .withColumns({"before": named("before"), "after": named("after")})
         .withColumn("rejected", rejected)
@@ -301,18 +302,39 @@ def pass_through(events: DataFrame) -> DataFrame:
     )
 
 
-def statements(events: DataFrame, catalog: DataFrame, exclude=(), include_ddl: bool = True) -> DataFrame:
+def statements(events: DataFrame, catalog: DataFrame, exclude=(), include_ddl: bool = True, small_catalog: bool = False) -> DataFrame:
     """Row statements and, if wanted, pass-through text, from one pass over the events."""
     changes = exclude_schemas(row_statements(events, include_text=include_ddl), exclude)
-    return to_sql(resolve_columns(row_images(changes), catalog))
+    return to_sql(resolve_columns(row_images(changes), catalog, small_catalog))
+
+
+#: Columns of a catalog (under 200 bytes each) that are broadcast for a script.
+SMALL_CATALOG = 200_000
+
+
+def write_log_script(events: DataFrame, catalog: DataFrame, path: str, exclude: tuple[str, ...] = (), include_ddl: bool = True) -> None:
+    """Write the script of a log as text in log order; part files follow each other in name order.
+
+    The raw events are sorted, so only their places are sampled, and every event is parsed once, where it lies.
+    That needs a catalog that can be broadcast; with a larger one the finished statements are sorted.
+    """
+    if catalog.limit(SMALL_CATALOG + 1).count() > SMALL_CATALOG:
+        return write_script(statements(events, catalog, exclude, include_ddl), path, include_ddl)
+    place = ("file_no", "file", "pos")
+    ordered = events.repartitionByRange(*place).sortWithinPartitions(*place)
+    _script_text(statements(ordered, catalog, exclude, include_ddl, small_catalog=True), include_ddl).write.text(path)
 
 
 def write_script(script: DataFrame, path: str, include_ddl: bool = True) -> None:
-    """Write statements in log order as text; part files follow each other in name order."""
+    """Write finished statements in log order as text; part files follow each other in name order."""
+    _script_text(script.orderBy("file_no", "file", "pos", "row_no"), include_ddl).write.text(path)
+
+
+def _script_text(script: DataFrame, include_ddl: bool) -> DataFrame:
     end = F.lit("\n/*!*/;" if include_ddl else ";")
     is_row = F.col("row_no").between(0, TRAILING - 1)
     text = F.when(is_row, F.concat("sql", end)).otherwise(F.col("sql"))
-    script.orderBy("file_no", "file", "pos", "row_no").select(text.alias("value")).write.text(path)
+    return script.select(text.alias("value"))
 
 
 def _converted(text: Column, kind: T.DataType) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +84,20 @@ def log_sql(spark, folder) -> DataFrame:
     return script.select("file_no", "pos", F.col("row_no").cast("long").alias("row_no"), "sql")
 
 
+def log_script(spark, folder) -> DataFrame:
+    """The written script, read back line by line in the order of its files."""
+    path = shared_folder(spark, "script")
+    C.write_log_script(read_events(spark, write_order_log(spark, folder)), _catalog(spark, folder), path, tuple(EXCLUDED))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")
+    )
+    counts = lines.groupBy("part", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("n").alias("first"))
+    # A row for each split of a file.
+    before = F.coalesce(F.sum("lines").over(Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select("part", "block", "first", before.alias("before"))
+    return lines.join(shifts, ["part", "block"]).select((F.col("before") + F.col("n") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
+
+
 def log_pass_through(spark, folder) -> DataFrame:
     lines = C.pass_through(order_log(spark, folder))
     return lines.select("file_no", "pos", "sql")
@@ -305,6 +319,17 @@ QUERIES = {
               FROM change WHERE resolved AND db NOT IN ('shop_7', 'shop_11')
               UNION ALL SELECT file_no, mark + 2, -1, 'COMMIT/*!*/;' FROM o""",
     ),
+    "log_script": (
+        log_script,
+        _CTE
+        + f"""SELECT row_number() OVER (ORDER BY file_no, pos, row_no, part) AS line, text FROM (
+                SELECT file_no, pos, row_no, unnest([0, 1]) AS part, unnest([CASE op
+                   WHEN 'INSERT' THEN 'INSERT INTO `' || db || '`.`orders` SET ' || {_SETS}
+                   WHEN 'DELETE' THEN 'DELETE FROM `' || db || '`.`orders` WHERE ' || {_WHERES}
+                   ELSE 'UPDATE `' || db || '`.`orders` SET ' || {_SETS} || ' WHERE ' || {_WHERES} END, '/*!*/;']) AS text
+                FROM change WHERE resolved AND db NOT IN ('shop_7', 'shop_11')
+                UNION ALL SELECT file_no, mark + 2, -1, 0, 'COMMIT/*!*/;' FROM o)""",
+    ),
     "log_pass_through": (log_pass_through, _CTE + "SELECT file_no, mark + 2 AS pos, 'COMMIT/*!*/;' AS sql FROM o"),
     "log_broken": (log_broken, "SELECT doc_id + 4 AS pos FROM documents WHERE doc_id % 2 = 1"),
     "log_rejoin": (
