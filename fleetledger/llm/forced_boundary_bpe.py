@@ -21,6 +21,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -147,12 +148,15 @@ def round_trip_column(text: Column, vocabulary: str) -> Column:
     Encodes and decodes as the two columns above do, without sending the ids through the JVM.
     """
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def round_trip(values: pd.Series) -> pd.DataFrame:
-        own, rows = coder(vocabulary), []
-        for value in _texts(values):
-            packed = own.encode(value)
-            rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(own.decode(packed)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def round_trip(values: pa.Array) -> pa.Array:
+        own, counts, ids, texts = coder(vocabulary), [], [], []
+        for value in values:  # one text at a time is made a Python string
+            packed = own.encode(value.as_py())
+            counts.append(len(packed) // 4)
+            ids.append(hashlib.sha256(packed).hexdigest())
+            texts.append(hashlib.sha256(own.decode(packed)).hexdigest())
+        columns = [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+        return pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return round_trip(text)

@@ -71,10 +71,10 @@ def word_fingerprints(text: str | None, tables: int = TABLES) -> list[int]:
 def word_fingerprint_column(text: Column) -> Column:
     """Array of the word fingerprints of a text column."""
 
-    @F.pandas_udf("array<long>")
-    def simhashes(values: pd.Series) -> pd.Series:
-        found = np.array([word_fingerprints(v if isinstance(v, str) else None) for v in values], np.uint64).reshape(-1, TABLES)
-        return pd.Series(list(found.view(np.int64)), dtype=object)
+    @F.arrow_udf("array<long>")
+    def simhashes(values: pa.Array) -> pa.Array:
+        found = np.array([word_fingerprints(v.as_py()) for v in values], np.uint64).reshape(-1, TABLES)
+        return pa.array(found.view(np.int64).tolist(), pa.list_(pa.int64()))
 
     return simhashes(text)
 
