@@ -185,14 +185,16 @@ def resolve_columns(images: DataFrame, catalog: DataFrame, small: bool = False)
         catalog.groupBy("db", "table")
         .agg(F.map_from_entries(F.collect_list(F.struct("ordinal", "column"))).alias("_map"), F.max("ordinal").alias("_last"))
         .select(
-            "db",
-            "table",
+            F.struct("db", "table").alias("_db"),
             F.sequence(F.lit(1), "_last").alias("_ordinals"),
             F.transform(F.sequence(F.lit(1), "_last"), lambda i: F.col("_map")[i]).alias("_names"),
         )
         .withColumn("_gaps", F.exists("_names", lambda n: n.isNull()))
     )
 
+    # Pass-through text has no table: its rows would all meet in one task.
+    spread = F.struct(F.coalesce("db", F.concat(F.lit("\0"), F.col("pos").cast("string"))), F.coalesce("table", F.lit("")))
+
     def complete(image: str) -> Column:
         """The image has all columns of the table, so their names apply as they stand."""
         return F.coalesce(~F.col("_gaps") & (F.col(image)["ordinal"] == F.col("_ordinals")), F.lit(False))
@@ -216,7 +218,7 @@ def resolve_columns(images: DataFrame, catalog: DataFrame, small: bool = False)
         .when((F.col("op") != "DELETE") & (F.size("after") == 0), F.lit("missing image"))
     )
     return (
-        images.join(F.broadcast(names) if small else names, ["db", "table"], "left")
+        images.join(F.broadcast(names) if small else names, spread == F.col("_db"), "left")
         .withColumns({"_all_before": complete("before"), "_all_after": complete("after")})
         .withColumns({"before": named("before"), "after": named("after")})
         .withColumn("rejected", rejected)

@@ -234,7 +234,7 @@ def _fleet(spark, folder) -> dict:
     )
     text = _status_text(
         F.lit("Waiting for master to send event"), F.when((user * 5 + k) % 3 == 0, F.lit("10.0.0.1")).otherwise(F.lit("")),
-        _pick(nth + k, "Yes", "Yes", "Connecting", "No"), _pick(user + nth, "Yes", "Yes", "No", "Connecting"), F.lit("none"),
+        _pick(user * 3 + nth * 2 + k, "Yes", "Yes", "Connecting", "No"), _pick(user + nth, "Yes", "Yes", "No", "Connecting"), F.lit("none"),
     )
     status = L.parse_link_status(users.where((user * 5 + k) % 3 != 2).select("host", "connectionName", text.alias("text")))
     lists = table(spark, folder, "nation", "n_nationkey").select(
@@ -342,7 +342,7 @@ side AS (
          n.host IS NOT NULL AND n.sane = 1 AS sane, n.localIndex AS nodeIndex,
          CASE WHEN s.user_id % 4 = 1 THEN 1 ELSE 0 END AS nodeWeight,
          (s.user_id * 5 + s.k) % 3 = 0 AS replicating,
-         CASE (s.nth + s.k) % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'Yes' WHEN 2 THEN 'Connecting' ELSE 'No' END AS io,
+         CASE (s.user_id * 3 + s.nth * 2 + s.k) % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'Yes' WHEN 2 THEN 'Connecting' ELSE 'No' END AS io,
          CASE (s.user_id + s.nth) % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'Yes' WHEN 2 THEN 'No' ELSE 'Connecting' END AS sq,
          (s.user_id + s.k) % 3 = 0 OR (s.user_id + 2 * s.k) % 4 = 0 AS reachable,
          (s.user_id + s.k) % 6 <> 5 AND s.beat IS NOT NULL AND s.updated IS NOT NULL AS known,
@@ -401,7 +401,7 @@ phase2 AS (
   FROM ruled),
 keeper AS (
   SELECT conn, host AS keeper, count(*) OVER (PARTITION BY conn) AS leaders FROM phase2 WHERE state2 = 'Yes' AND now_s - beat2 < 172800
-  QUALIFY row_number() OVER (PARTITION BY conn ORDER BY index2 NULLS FIRST, host) = 1),
+  QUALIFY row_number() OVER (PARTITION BY conn ORDER BY coalesce(split_part(rule, ' ', 1) IN ('P0', 'P3', 'P5'), FALSE) DESC, index2 NULLS FIRST, host) = 1),
 marked AS (
   SELECT p.*, coalesce(state2 = 'Yes' AND now_s - beat2 < 172800 AND reports AND sane AND leaders > 1 AND keeper <> p.host, FALSE) AS surplus
   FROM phase2 p LEFT JOIN keeper USING (conn)),
@@ -419,7 +419,7 @@ alert AS (
   SELECT conn AS connectionName, host, 'Slave node timeout' AS subject,
          'Node ' || host || ' is the slave but failed to report in time for the connectionName  ''' || conn || '''' AS body FROM final WHERE silenced
   UNION ALL SELECT conn, host, 'New slave', 'Node ' || host || ' is the new slave for the connectionName ''' || conn || ''''
-    FROM final WHERE full_rule = 'E1 ok'
+    FROM final WHERE full_rule = 'E1 ok' AND NOT surplus
   UNION ALL SELECT conn, host, 'Failed slave', 'Node ' || host || ' failed to become the new slave for the connectionName ''' || conn || ''''
     FROM final WHERE full_rule = 'E1 failed'
   UNION ALL SELECT conn, host, 'Failed slave',

@@ -87,9 +87,19 @@ def _alert(kind: str, *values: str) -> Column:
     return F.struct(F.lit(subject).alias("subject"), F.format_string(body, *[F.col(v) for v in values]).alias("body"))
 
 
+def _newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key: the largest by ``order``, then by all other columns."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    row = F.max(F.struct(*order, *rest)).alias("_row")
+    return df.groupBy(*keys).agg(row).select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+
+
 def _rows(repl, nodes, link_status, link, weight, masters) -> DataFrame:
     """State rows and reporting nodes side by side, one row per (connectionName, host)."""
     key = ["connectionName", "host"]
+    # One row for each key, so that a repeated report is judged once.
+    repl, link_status = _newest(repl, key, ["lastUpdate", "lastHeartbeat"]), _newest(link_status, key, [])
+    nodes, weight = _newest(nodes, ["cluster", "host"], []), weight.distinct()
     pairs = with_weight(connections(nodes, link), weight).select(
         *key, "cluster", "sane", F.col("localIndex").alias("nodeIndex"), F.col("weight").alias("nodeWeight"), F.lit(True).alias("reports")
     )
@@ -209,12 +219,17 @@ def _judge(rows: DataFrame, at: Column, timeout: int, distribute: int) -> DataFr
 
 
 def _one_leader(rows: DataFrame, at: Column, timeout: int) -> DataFrame:
-    """P6: of several fresh leaders the one with the lowest (localIndex, host) stays."""
+    """P6: of several fresh leaders one stays: of those that led before, else of all, the lowest (localIndex, host).
+
+    The tools that this replaces look only at leaders of before; here all are judged against one snapshot, so a node
+    that the same run elected or took in can be one too many.  It then stops, with this one alert.
+    """
+    followed = F.coalesce(F.split_part("rule", F.lit(" "), F.lit(1)).isin("P0", "P3", "P5"), F.lit(False))
     leading = (F.col("isSlave") == YES) & is_fresh(F.col("lastHeartbeat"), at, timeout)
     keepers = (
         rows.where(leading)
         .groupBy("connectionName")
-        .agg(F.count(F.lit(1)).alias("leaders"), F.min_by("host", F.struct("localIndex", "host")).alias("keeper"))
+        .agg(F.count(F.lit(1)).alias("leaders"), F.min_by("host", F.struct(~followed, "localIndex", "host")).alias("keeper"))
     )
     surplus = F.coalesce(
         leading & F.col("reports") & F.col("sane") & (F.col("leaders") > 1) & (F.col("keeper") != F.col("host")), F.lit(False)
@@ -238,7 +253,7 @@ def _finish(rows: DataFrame, at: Column) -> DataFrame:
     raised = F.array_compact(
         F.array(
             F.when(F.col("silenced"), _alert("T4", "host", "connectionName")),
-            F.when(rule == "E1 ok", _alert("E1 ok", "host", "connectionName"))
+            F.when((rule == "E1 ok") & ~F.col("surplus"), _alert("E1 ok", "host", "connectionName"))
             .when(rule == "E1 failed", _alert("E1 failed", "host", "connectionName"))
             .when(rule == "P4", _alert("P4", "host", "connectionName"))
             .when(rule == "P5 failed", _alert("P5", "host", "cluster"))

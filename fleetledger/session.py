@@ -25,6 +25,8 @@ def build_session(app: str = "fleetledger", master: str | None = None, **conf: s
     builder = SparkSession.builder.appName(app)
     # Set before the session starts: no stack traces for every column expression.
     builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    # Checkpoints go when nothing refers to them any more.
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

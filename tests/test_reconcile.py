@@ -129,3 +129,20 @@ def test_random_fleets_keep_at_most_one_fresh_leader(spark):
     assert out.where("hits <> 1").count() == 0
     assert out.count() == 240
     assert duplicate_leaders(next_snapshot(out), NOW).count() == 0
+
+
+def test_the_registered_fleet_fires_the_rules(spark):
+    from fleetledger.plans.registry import registered
+
+    rules = {r.rule for r in registered()["links_reconcile"][0](spark, "/root/testdata/sf0.01").select("rule").distinct().collect() if r.rule}
+    steps = {s for r in rules for s in r.split("+")}
+    assert {"T1", "T2", "T4", "T5", "E1", "E2", "E3", "E4", "P0", "P1", "P2", "P3", "P4", "P6", "P7", "P8", "P9", "N1"} <= steps
+
+
+def test_repeated_reports_give_one_row(spark):
+    from fleetledger.plans.queries_links import _fleet
+
+    fleet = _fleet(spark, "/root/testdata/sf0.001")
+    twice = {k: v.unionAll(v) if k in ("repl", "nodes", "link_status", "weight", "masters") else v for k, v in fleet.items()}
+    one, two = (reconcile(**f) for f in (fleet, twice))
+    assert one.count() == two.count() > 0 and one.exceptAll(two).count() == 0
