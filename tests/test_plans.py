@@ -74,3 +74,29 @@ def test_time_tests_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(sid," in plan_of(table.where(F.col("sid") >= snowflake_floor(F.lit(now))))
     scan = plan_of(L.links_led(table))
     assert "ReadSchema: struct<host:string,isSlave:string>" in scan
+
+
+@needs_tables
+def test_operators_behind_queries_that_run_jobs(spark, tmp_path):
+    """The operators of the queries that are left out above, on input that needs no job."""
+    from fleetledger.operators import archive as A
+    from fleetledger.plans.event_rendering import order_dump, order_log
+    from fleetledger.sources.ddl_text import schema_catalog
+    from fleetledger.sources.event_text import read_events
+
+    events, catalog = order_log(spark, FOLDER), schema_catalog(order_dump(spark, FOLDER))
+    (tmp_path / "bin.000001").write_text("# at 4\n#170921 20:28:37 server id 1  end_log_pos 9 \tQuery\n")
+    frames = {
+        "script": C.statements(events, catalog),
+        "script of a small catalog": C.statements(events, catalog, small_catalog=True),
+        "rejoined": read_events(spark, str(tmp_path), rejoin=True),
+        "to archive": A.finished(spark.range(1).selectExpr("concat('s', id) as source", "concat('bin.', id) as name", "id as seq")),
+        "best": L.best_candidates(spark.range(1).selectExpr(
+            "concat('h', id) as host", "0 as weight", "0 as localIndex", "'Yes' as isSlave", "timestamp'2024-01-01' as lastUpdate",
+            "timestamp'2024-01-01' as lastHeartbeat", "concat('c', id) as connectionName"), datetime(2024, 1, 1)),
+    }
+    for name, frame in frames.items():
+        plan = plan_of(frame)
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "EvalPython" not in plan, name
+    assert plan_of(frames["script"]).count("FileScan parquet") == 2  # the events are read once, and the catalog
+    assert "BroadcastHashJoin" in plan_of(frames["script of a small catalog"])
