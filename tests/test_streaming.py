@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -70,3 +71,18 @@ def test_replay_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     assert sorted(map(tuple, current_table(spark, str(tmp_path / "state2"), ["id"]).collect())) == got
     compact_state(spark, str(tmp_path / "state"), str(tmp_path / "state3"), ["id"], {"file_no": 99})
     assert spark.read.parquet(str(tmp_path / "state3")).count() == len(got)
+
+
+@pytest.mark.parametrize("timeout", [179, 86400, 200000])
+def test_sessions_over_midnight_match_a_loop(spark, timeout):
+    rng = random.Random(timeout)
+    offsets = sorted(rng.choice([rng.uniform(0, 5 * 86400), 86400 * rng.randint(1, 4) + rng.uniform(-200, 200)]) for _ in range(400))
+    expected, seconds = [], [int(o) for o in offsets]
+    for s in seconds:
+        if expected and s - expected[-1][1] <= timeout:
+            expected[-1][1:] = [s, expected[-1][2] + 1]
+        else:
+            expected.append([s, s, 1])
+    rows = heartbeat_gaps(beats(spark, offsets), timeout).collect()
+    got = sorted([int((r.started - START).total_seconds()), int((r.last_beat - START).total_seconds()), r.beats] for r in rows)
+    assert got == expected and all(r.silent_from - r.last_beat == timedelta(seconds=timeout) for r in rows)
