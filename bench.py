@@ -24,7 +24,8 @@ HEADLINE = (
     "ids_event_time ids_compose ids_decode ids_bulk_count "
     "rollout_next rollout_pick rollout_claim rollout_beats rollout_done rollout_oplog rollout_outcome rollout_plan "
     "links_status links_parse links_rank links_best links_leader links_reconcile links_gaps "
-    "log_headers log_parse log_sql log_replay log_replay_moves archive_compact archive_stream archive_rewrite"
+    "log_headers log_parse log_sql log_replay log_replay_moves archive_compact archive_stream archive_rewrite "
+    "log_script log_rejoin log_replay_text log_replay_stream links_gaps_stream"
 ).split()
 
 
