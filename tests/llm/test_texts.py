@@ -349,3 +349,39 @@ def test_one_of_each_group_stays(spark):
     left = simhash_variants.keep_one(whole)
     assert left.columns == whole.columns and sorted(str(r.doc_id) for r in left.collect()) == ["0", "4", "5", "7", "8", "9", "None"]
     assert simhash_variants.keep_one(empty(spark)).count() == 0
+
+
+def test_similar_texts_go_whatever_was_changed(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(3000)]
+
+    def similarity(a, b):
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+        return len(a & b) / len(a | b)
+
+    docs, similar, apart = [], set(), set()
+    for d in range(120):
+        text = rng.choices(words, k=rng.choice([24, 50, 90, 300]))
+        more = rng.choices(words, k=len(text) // 8)
+        at = rng.randrange(len(text))
+        other = [text + more, more + text, text[:at] + more + text[at:], [*text[:-1], "changed"], rng.sample(text, len(text))][d % 5]
+        docs += [(d, " ".join(text)), (1000 + d, " ".join(other).upper())]
+        (similar if similarity(text, [w.lower() for w in other]) >= 0.8 else apart).add(1000 + d)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash_variants.keep_one(frame).collect()}
+    assert set(range(120)) | apart <= kept and len(similar) > 80 and len(similar & kept) <= 1
+
+
+@pytest.mark.parametrize("run", [2048, 7])
+def test_one_of_a_crowd_stays(spark, monkeypatch, run):
+    monkeypatch.setattr(simhash_variants, "RUN", run)
+    rng = random.Random(10)
+    text = [f"w{i}" for i in range(400)]
+    docs = []
+    for d in range(150):
+        other = list(text)
+        for _ in range(d and 3):
+            other[rng.randrange(400)] = f"x{rng.random()}"
+        docs.append((d, " ".join(other)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert [r.doc_id for r in simhash_variants.keep_one(frame).collect()] == [0]
