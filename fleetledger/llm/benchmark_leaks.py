@@ -6,8 +6,9 @@ that differ by few edits soon walk over the same words again, so most steps give
 becomes Hamming distance.  An LSH key is the word at step 0 and at ``SAMPLES`` random steps; ``REPEATS`` walks with
 random bits and steps of their own make a candidate likely to be found at least once.
 
-Of each item, windows from ``ANCHORS`` places in its first half to its end are indexed; their walks are as long as
-the largest power of two that fits, so a passage without edits has the very same keys and is always found.
+Of each item, windows from ``ANCHORS`` places in its first half to its end are indexed, and others from the longest word of every
+``STRETCH`` words up to the end, so that wherever the edits lie, some windows hold few.  Their walks are as long as
+the largest power of two that fits, the latter's ``SHORT_WALK`` steps at most, so a passage without edits has the very same keys and is always found.
 Of the documents, windows of those sizes at every word are looked up; a key begins with the word at step 0, so where
 that word begins no indexed window the walk is not taken.  Candidates of one item that lie together are verified at once:
 the least edit distance of the item to any part of that stretch decides (``edits <= EDITS * words``).
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 #: Share of an item's words that may be edited.
 EDITS = 0.2
 ANCHORS, REPEATS, SAMPLES, LONGEST_WALK = 5, 5, 3, 64
+#: Words of a stretch that has a window of its own, longest walk of such a window, and words it has to the item's end.
+STRETCH, SHORT_WALK, LEAST_WALK = 10, 16, 4
 #: Items in one index, words looked up at once.
 BLOCK, TOGETHER = 20_000, 1 << 19
 WORD = re.compile(r"[^\W_]+")
@@ -83,11 +86,11 @@ class BenchmarkIndex:
                 continue
             codes = words_of(text)
             padded = np.concatenate([codes, np.zeros(LONGEST_WALK, np.uint64)])
-            offsets = sorted(range(len(found) // 2 + 1), key=lambda o: (-len(found[min(o, len(found) - 1)]), o))
-            for offset in offsets[:ANCHORS]:
-                if offset >= len(found):
-                    continue
-                size = min(LONGEST_WALK, 1 << (len(found) - offset).bit_length() - 1)
+            longest = lambda o: (-len(found[min(o, len(found) - 1)]), o)
+            windows = {(o, LONGEST_WALK) for o in sorted(range(len(found) // 2 + 1), key=longest)[:ANCHORS] if o < len(found)}
+            last = max(1, len(found) - LEAST_WALK + 1)
+            windows |= {(min(range(o, min(o + STRETCH, last)), key=longest), SHORT_WALK) for o in range(0, last, STRETCH)}
+            for offset, size in sorted({(o, min(walk, 1 << (len(found) - o).bit_length() - 1)) for o, walk in windows}):
                 for repeat in range(REPEATS):
                     key = int(walk_keys(padded, np.array([offset]), size, repeat)[0])
                     entries.setdefault(size, []).append((key, int(codes[offset]), repeat, len(self.items), offset))

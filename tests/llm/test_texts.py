@@ -211,6 +211,20 @@ def test_leak_edge_cases(spark, monkeypatch):
     assert leaks.without_leaks(documents(spark), bench).columns == documents(spark).columns
 
 
+def test_leaks_with_edits_in_the_first_half():
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=300))) for i in range(30)]
+    index, found = leaks.BenchmarkIndex(items), 0
+    for i, text in items:
+        words = text.split()
+        for at in rng.sample(range(150), 60):
+            words[at] = rng.choice(vocabulary)
+        around = rng.choices(vocabulary, k=60)
+        found += any(hit[0] == i for hit in next(index.hits([" ".join(around[:30] + words + around[30:])])))
+    assert found >= 29
+
+
 # ---- lines
 
 
