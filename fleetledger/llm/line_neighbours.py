@@ -136,3 +136,24 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     told = F.struct(n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_removed"), emptied.alias("emptied")).alias(into)
     columns = [F.array_join(kept, "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != into]
     return done.select(*columns, told)
+
+
+def with_own_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", into: str = "_dedup") -> DataFrame:
+    """``dedup_lines`` without the rows that lost lines and keep only blank lines, or lines of any length that an earlier document has too."""
+    key, of_key = free_name(docs, "_key"), free_name(docs, "_own_key")
+    done = dedup_lines(docs, id_column, text, into)
+    done = done.withColumn(key, F.when(F.col(into)["emptied"], F.xxhash64(F.col(f"`{id_column}`"), F.xxhash64(F.col(f"`{text}`")), F.octet_length(F.col(f"`{text}`")))))
+
+    def cut(rows: DataFrame, *more: str) -> DataFrame:
+        """place of the document, h and c of every line that is not blank."""
+        each = rows.select(*more, _place(F.col("_id"), F.lit(0)).alias("place"), F.explode(F.split("_text", "\n", -1)).alias("line")).withColumn("line", F.trim("line"))
+        return each.where(F.col("line") != "").select(*more, "place", F.xxhash64("line").alias("h"), F.octet_length("line").alias("c"), (~_has(F.col("line"), EXACT_WORDS)).alias("short"))
+
+    own = [F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text}`").alias("_text")]
+    # Emptied rows keep short lines only.
+    left = settle(cut(done.where(F.col(key).isNotNull()).select(*own, F.col(key).alias("key")), "key").select("key", "place", "h", "c").distinct())
+    sought = _bounded(settle(left.select("h", "c").distinct()))
+    firsts = cut(docs.select(*own)).where("short").join(sought, ["h", "c"], "left_semi").groupBy("h", "c").agg(F.min("place").alias("place"))
+    stays = settle(left.join(firsts, ["h", "c", "place"], "left_semi").select(F.col("key").alias(of_key)).distinct())
+    joined = done.join(_bounded(stays), F.col(key) == F.col(of_key), "left")
+    return joined.where(F.col(key).isNull() | F.col(of_key).isNotNull()).drop(key, of_key)

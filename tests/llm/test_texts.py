@@ -285,6 +285,16 @@ def test_line_dedup_edge_cases(spark):
     assert line_neighbours.dedup_lines(empty(spark)).count() == 0
 
 
+def test_documents_with_short_lines_of_their_own_stay(spark):
+    line = "these are six words of text"
+    docs = [(1, f"{line}\nfruit"), (2, f"apple\n{line}\n\npear"), (3, f"pear\n{line}\n"), (4, f"fruit\n{line}\n apple "), (5, f"{line}\n \n"), (6, "pear"), (None, f"{line}\nplum"), (None, f"{line}\nfruit"), (7, None)]
+    frame = spark.createDataFrame([(*d, "p") for d in docs], "doc_id long, text string, place string").repartition(3)
+    got = sorted((r.doc_id or 99, r.text or "") for r in line_neighbours.with_own_lines(frame).collect())
+    assert got == [(1, docs[0][1]), (2, "apple\n\npear"), (6, "pear"), (7, ""), (99, "plum")]
+    assert line_neighbours.with_own_lines(frame).columns == [*frame.columns, "_dedup"]
+    assert line_neighbours.with_own_lines(empty(spark)).count() == 0
+
+
 # ---- near-duplicates
 
 
