@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import benchmark_leaks, chat_format, forced_boundary_bpe, host_reputation, line_neighbours, quality_ratio, secret_scan, simhash_variants, sql_counterparts, token_counts, token_files
+from fleetledger.llm import (
+    benchmark_leaks,
+    chat_format,
+    forced_boundary_bpe,
+    hard_negatives,
+    host_reputation,
+    line_neighbours,
+    quality_ratio,
+    secret_scan,
+    sequence_packing,
+    simhash_variants,
+    spelling_variants,
+    sql_counterparts,
+    token_counts,
+    token_files,
+)
 from fleetledger.session import shared_folder
 
 
@@ -89,6 +104,32 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all."""
+    rows = table(spark, folder, "embeddings", "vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def dropped_letter(doc_id: Column, run: Column) -> Column:
+    """One run in 97, told by the checksum of its document and itself, without one of its letters."""
+    check = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    at = (check % F.char_length(run)).cast("int")
+    return F.when(check % 97 == 0, F.concat(F.substr(run, F.lit(1), at), F.substr(run, at + 2))).otherwise(run)
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Form and root of every word of the documents."""
+    return spelling_variants.spelling_variants(spelling_variants.word_counts(table(spark, folder, "documents", "doc_id", "text"), dropped_letter))
+
+
+def op13_sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 1,024 tokens."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    pieces = sequence_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_simhash_variants": (op1_simhash_variants, None),
     "op2_chat_format": (op2_chat_format, sql_counterparts.CHAT_DIGESTS),
@@ -100,4 +141,7 @@ QUERIES = {
     "op8_secret_scan": (op8_secret_scan, None),
     "op9_forced_boundary_bpe": (op9_forced_boundary_bpe, None),
     "op10_token_files": (op10_token_files, None),
+    "op11_hard_negatives": (op11_hard_negatives, sql_counterparts.HARD_NEGATIVES),
+    "op12_spelling_variants": (op12_spelling_variants, None),
+    "op13_sequence_packing": (op13_sequence_packing, None),
 }

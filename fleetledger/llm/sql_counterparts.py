@@ -71,3 +71,23 @@ judged AS (SELECT x.doc_id, x.k, x.raw, f.place IS NOT NULL AND (f.place <> (x.d
     FROM worded x LEFT JOIN firsts f ON x.line = f.line LEFT JOIN near n ON x.line = n.line)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
     sha256(coalesce(string_agg(raw, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS text_sha256 FROM judged GROUP BY doc_id"""
+
+HARD_NEGATIVES = """
+with whole as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256.0 * x::double)) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0
+), scored as (
+    select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id as other, list_inner_product(a.v, b.v)::bigint as score
+    from whole a join whole b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), positives as (
+    select anchor_id, other as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, other) <= 5
+)
+select p.anchor_id, p.positive_id, row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other)::integer as rank,
+    s.other as negative_id, p.positive_score, s.score as negative_score
+from positives p join scored s on p.anchor_id = s.anchor_id and not s.same and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+qualify row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other) <= 10
+"""

@@ -25,7 +25,14 @@ def test_query_and_its_sql(spark, name):
 def test_query_covers_its_table(spark, name):
     got = QUERIES[name][0](spark, FOLDER)
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    if name.startswith("op5"):
+    if name.startswith("op12"):
+        words = got.collect()
+        assert 0 < len(words) == len({r.word for r in words}) and all(r.n >= 3 for r in words)
+    elif name.startswith("op13"):
+        last = got.groupBy("doc_id").agg(F.max(F.col("start") + F.col("length")).alias("n"))
+        counts = QUERIES["op9_forced_boundary_bpe"][0](spark, FOLDER).select("doc_id", (F.col("n_tokens") + 1).alias("n"))
+        assert last.exceptAll(counts).count() == 0 == counts.exceptAll(last).count()
+    elif name.startswith("op5"):
         assert got.join(docs, "doc_id", "left_anti").count() == 0 < got.count()
     else:
         assert got.select("doc_id").exceptAll(docs.select("doc_id")).count() == 0 and got.count() == docs.count()
