@@ -12,7 +12,8 @@ sequence takes small pieces of at most 36 different lengths (1 + 2 + ... + 37 >
 splits at most two runs.  Pieces get their number among those of their length from the counts of each part of the
 stored pieces, and find their step, and so their place, by that number.
 
-Pieces are stored once, with their ids; only they are shuffled, once, to meet the counts of their part.
+Pieces are stored once, with their ids (in two bytes each where the vocabulary allows), and shuffled once, to meet the
+counts of their part.
 
 Defined cases: null and empty texts hold only the end id; documents of null or equal ids are documents of their own;
 texts of any length are cut into as many pieces as they need; an empty table gives no rows; other columns are not read.
@@ -27,7 +28,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetledger.llm.forced_boundary_bpe import coder
@@ -100,6 +101,7 @@ def _cut(vocabulary: str, capacity: int, end: bytes):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, numbers = coder(vocabulary), TaskContext.get().partitionId(), Counter()
+        narrow = len(own.texts) <= 1 << 16
         names = ["doc_id", "piece", "start", "length", "ids", "part", "number"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         held: list[tuple] = []
@@ -110,11 +112,13 @@ def _cut(vocabulary: str, capacity: int, end: bytes):
         for batch in batches:
             for identity, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packed = own.encode(value.as_py()) + end
-                n = len(packed) // 4
+                n, width = len(packed) // 4, 2 if narrow else 4
+                if narrow:
+                    packed = np.frombuffer(packed, "<u4").astype("<u2").tobytes()
                 start, stop = 0, (n - 1) % capacity + 1
                 for piece in range(-(-n // capacity)):
                     length = stop - start
-                    held.append((identity, piece, start, length, packed[4 * start : 4 * stop], part, numbers[length]))
+                    held.append((identity, piece, start, length, packed[width * start : width * stop], part, numbers[length]))
                     numbers[length] += 1
                     start, stop = stop, stop + capacity
                     if len(held) >= TOGETHER:
@@ -143,6 +147,21 @@ def _place(steps: list[Step]):
     return place
 
 
+def widened(ids: Column, length: Column) -> Column:
+    """Packed ids, ``length`` of them, in four bytes each, from two or four."""
+
+    @F.arrow_udf("binary")
+    def widen(values: pa.Array, lengths: pa.Array) -> pa.Array:
+        counts = lengths.to_numpy()
+        plain = b"".join(values.to_pylist())
+        width = len(plain) // max(1, int(counts.sum()))
+        data = np.frombuffer(plain, f"<u{width or 4}").astype("<u4")
+        ends = np.concatenate([[0], np.cumsum(4 * counts)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+    return widen(ids, length)
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id and offset of every piece."""
     folder = shared_folder(docs.sparkSession, "pieces")
@@ -156,7 +175,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_i
     counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     place = _place(packing_plan(counts, capacity)[0])
     ranked = pieces.join(before, ["part", "length"]).withColumn("place", place(F.col("length"), F.col("number") + F.col("before")))
-    return ranked.select("doc_id", "piece", "start", "length", "ids", "place.*")
+    return ranked.select("doc_id", "piece", "start", "length", widened(F.col("ids"), F.col("length")).alias("ids"), "place.*")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
