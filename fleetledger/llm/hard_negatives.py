@@ -37,9 +37,9 @@ from fleetledger.session import settle
 #: Factor of the components, and the bound of a component.
 SCALE, LARGEST = 256.0, float(1 << 17)
 #: Rows of a leaf, nodes below a node.
-LEAF, FANOUT = 64, 16
+LEAF, FANOUT = 256, 16
 #: Rows of a tree and of a chunk of anchors: a share of all, within bounds.
-TREE_ROWS, TREES, CHUNK_ROWS, CHUNKS = (2048, 1 << 17), 24, (64, 1 << 14), 8
+TREE_ROWS, TREES, CHUNK_ROWS, CHUNKS = (4096, 1 << 17), 16, (64, 1 << 14), 8
 _PACKED = "vec_id binary, row binary, label binary, vector binary"
 _ALL = (-math.inf, math.inf)
 
