@@ -11,7 +11,8 @@ Of each item, windows from ``ANCHORS`` places in its first half to its end are i
 the largest power of two that fits, the latter's ``SHORT_WALK`` steps at most, so a passage without edits has the very same keys and is always found.
 Of the documents, windows of those sizes at every word are looked up; a key begins with the word at step 0, so where
 that word begins no indexed window the walk is not taken.  Candidates of one item that lie together are verified at once:
-the least edit distance of the item to any part of that stretch decides (``edits <= EDITS * words``).
+the least edit distance of the item to any part of that stretch decides (``edits <= EDITS * words``).  A part within k edits of an
+item of n words holds n - k of its words, as often as it does, so stretches that hold fewer are left out first.
 
 The index holds ``BLOCK`` items at most and travels with the tasks; a larger benchmark is looked up block by block, so nothing
 grows with it or with the documents.  Documents are not shuffled.
@@ -79,7 +80,7 @@ class BenchmarkIndex:
     """LSH index of at most BLOCK items."""
 
     def __init__(self, items: list[tuple[object, str | None]]):
-        self.items, entries = [], {}
+        self.items, self.bags, entries = [], [], {}
         for identity, text in items:
             found = WORD.findall(plain(text)) if text else []
             if not found:
@@ -95,6 +96,7 @@ class BenchmarkIndex:
                     key = int(walk_keys(padded, np.array([offset]), size, repeat)[0])
                     entries.setdefault(size, []).append((key, int(codes[offset]), repeat, len(self.items), offset))
             self.items.append((identity, codes.tolist()))
+            self.bags.append(np.unique(codes, return_counts=True))
         self.sizes = {}
         for size, rows in entries.items():
             rows.sort()
@@ -127,6 +129,14 @@ class BenchmarkIndex:
         order = np.lexsort((anchor, begin, number))
         return number[order], anchor[order], begin[order]
 
+    def may_hold(self, number: int, words: np.ndarray) -> bool:
+        """Whether ``words`` holds as many of the item's words as a part within the bound of edits does."""
+        own, counts = self.bags[number]
+        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        shared = np.bincount(at[own[at] == words], minlength=len(own))
+        size = len(self.items[number][1])
+        return int(np.minimum(shared, counts).sum()) >= size - int(EDITS * size)
+
     def hits(self, texts: list[str | None]) -> Iterator[list[tuple[object, int, int, int]]]:
         """(item, edits, start, end) of each text, by item; places are code points of the text."""
         low = 0
@@ -156,7 +166,9 @@ class BenchmarkIndex:
         places: dict[int, list[tuple[int, int]]] = {}
         for (k, number), parts in sorted(stretches.items()):
             identity, item = self.items[number]
-            tested = [(*nearest(item, own[k][a:b].tolist()), a) for a, b in parts]
+            tested = [(*nearest(item, own[k][a:b].tolist()), a) for a, b in parts if self.may_hold(number, own[k][a:b])]
+            if not tested:
+                continue
             edits, end, a = min(tested, key=lambda x: (x[0], x[2]))
             if edits > EDITS * len(item):
                 continue
