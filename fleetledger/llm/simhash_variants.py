@@ -11,12 +11,6 @@ way, which leaves at most 2 ** 17 different fingerprints under a key.  Links are
 
 Documents of equal fingerprints are one entry throughout.  Fingerprints and links are stored in the shared folder and never collected.
 
-``keep_one`` has deletion variants too, but of min-hashes: GROUPS fingerprints of VALUES min-hashes of the five-word shingles
-each, indexed with one value left out.  Of texts of similarity 0.8, one fingerprint agrees in all values but one with
-probability 0.82, so one of four does with 0.999, whatever was changed, wherever, and however long the text is.  Two
-texts under a key are a candidate pair; of more, each gets its ``NEAREST`` earlier ones by all min-hashes.
-Every candidate pair is verified by the exact Jaccard similarity of its five-word shingles before components are made.
-
 Defined cases: null and empty texts have fingerprint zero and are linked like others; rows with a null id take part, and a
 component's id is its smallest id that is not null (null if there is none); repeated rows and ids give a row each; an
 empty table gives no rows; other columns are not read (``keep_one`` returns them).
@@ -42,12 +36,6 @@ from fleetledger.session import settle, shared_folder
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints of one key that are compared at once.
 RUN = 2048
-#: For ``keep_one``: words of a shingle, least similarity of linked texts; fingerprints of a text, min-hashes of each.
-WIDE, SIMILAR, GROUPS, VALUES = 5, 0.8, 4, 4
-#: Candidates of a text under one key that has more than two; min-hashes in which a text agrees with one that stands for it in crowded keys.
-NEAREST, ALMOST = 3, 14
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_FACTORS, _SHIFTS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**63, (2, GROUPS * VALUES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None) -> int:
@@ -64,64 +52,6 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(begins)).tobytes(), "big")
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles of WIDE words; a shorter text is one shingle."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), "<u8")
-    n = max(1, len(codes) - WIDE + 1)
-    out = codes[:n]
-    for k in range(1, min(WIDE, len(codes))):
-        out = ((out ^ (out >> np.uint64(29))) * _MIX) + codes[k : k + n]
-    out = (out ^ (out >> np.uint64(32))) * _MIX
-    return np.unique(out ^ (out >> np.uint64(29)))
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
-
-def sketch_column(text: Column) -> Column:
-    """Array of a hash of a text's words and, unless it has none, the min-hashes of its shingles."""
-
-    def sketch(text: str | None) -> list[int]:
-        own = shingles(text)
-        if not len(own):
-            return [0]
-        least = [int(((own ^ shift) * factor).min()) for factor, shift in zip(_FACTORS, _SHIFTS, strict=True)]
-        return [xxhash.xxh64_intdigest(b" ".join(text.encode().lower().split()), SEED), *least]
-
-    @F.arrow_udf("array<long>")
-    def sketches(values: pa.Array) -> pa.Array:
-        return pa.array([np.array(sketch(v.as_py()), np.uint64).view(np.int64) for v in values], pa.list_(pa.int64()))
-
-    return sketches(text)
-
-
-def shingle_column(text: Column) -> Column:
-    """Shingles of a text column, as bytes."""
-
-    @F.arrow_udf("binary")
-    def sets(values: pa.Array) -> pa.Array:
-        return pa.array([shingles(v.as_py()).tobytes() for v in values], pa.binary())
-
-    return sets(text)
-
-
-def similar_column(a: Column, b: Column) -> Column:
-    """Whether two columns of ``shingle_column`` have a similarity of at least SIMILAR."""
-
-    @F.arrow_udf("boolean")
-    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
-        sets = ((np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(left, right, strict=True))
-        return pa.array([similarity(x, y) >= SIMILAR for x, y in sets], pa.bool_())
-
-    return similar(a, b)
-
-
 def fingerprint_column(text: Column) -> Column:
     """Fingerprint of a text column, as a signed long."""
 
@@ -229,64 +159,6 @@ def links(prints: DataFrame) -> DataFrame:
     return first.where("key is null").unionAll(second).select("a", "b").distinct()
 
 
-def _agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Numbers of min-hashes in which each of ``a`` agrees with each of ``b``."""
-    out = np.zeros((len(a), len(b)), np.int32)
-    for k in range(a.shape[1]):
-        out += a[:, k, None] == b[None, :, k]
-    return out
-
-
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) of rows sorted by key: for each row the NEAREST earlier ones of its key, the earliest of equals.
-
-    Up to RUN rows of a key are all looked at.  Of more, those that agree in ALMOST min-hashes with an earlier one are not held for later rows.
-    """
-    key, held, held_prints = None, np.zeros((0, GROUPS * VALUES), np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        sketches = batch.column(2).flatten().to_numpy().reshape(-1, GROUPS * VALUES)
-        starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
-        parts = [(i, min(i + RUN, end)) for start, end in zip(starts, starts[1:], strict=False) for i in range(start, end, RUN)]
-        out_a, out_b = [], []
-        for start, end in parts:
-            if keys[start] != key:
-                key, held, held_prints = keys[start], held[:0], held_prints[:0]
-            before, own = len(held), sketches[start:end]
-            held, held_prints = np.concatenate([held, own]), np.concatenate([held_prints, prints[start:end]])
-            agree = _agreements(own, held)
-            place = np.arange(len(held))
-            rank = np.where(place[None, :] < before + np.arange(len(own))[:, None], agree * np.int64(1 << 40) - place, np.int64(-1) << 60)
-            least = min(NEAREST, len(held))
-            for at in np.argpartition(-rank, least - 1, axis=1)[:, :least].T:
-                earlier = at < before + np.arange(len(own))
-                out_a.append(prints[start:end][earlier])
-                out_b.append(held_prints[at[earlier]])
-            if len(held) > RUN:
-                stays = np.ones(len(held), bool)
-                stays[before:] = ~(agree[:, :before] >= ALMOST).any(axis=1)
-                for i in range(before, len(held)):
-                    if stays[i]:
-                        stays[i + 1 :] &= agree[i + 1 - before :, i] < ALMOST if i + 1 < len(held) else True
-                held, held_prints = held[stays], held_prints[stays]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], ["a", "b"])
-
-
-def candidates(entries: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of ``entries`` (fingerprint, sketch) that are likely to be similar."""
-    value = lambda i: F.col("sketch")[i]
-    groups = [range(g * VALUES, (g + 1) * VALUES) for g in range(GROUPS)]
-    variants = [F.xxhash64(F.lit(out), *[value(i) for i in group if i != out]) for group in groups for out in group]
-    keyed = settle(entries.select(F.explode(F.array(*variants)).alias("key"), "fingerprint"))
-    of_key = keyed.groupBy("key").agg(F.min("fingerprint").alias("b"), F.max("fingerprint").alias("a"), F.count(F.lit(1)).alias("rows"))
-    of_key = settle(of_key.where("rows > 1"))
-    crowded = keyed.join(of_key.where("rows > 2").select("key"), "key").join(entries.select("fingerprint", "sketch"), "fingerprint")
-    crowded = crowded.select("key", "fingerprint", "sketch").repartition("key").sortWithinPartitions("key", "fingerprint")
-    return settle(of_key.where("rows = 2").select("a", "b").unionAll(crowded.mapInArrow(_nearest, "a long, b long")).distinct())
-
-
 def _stored(own: DataFrame) -> DataFrame:
     """``own`` written to the shared folder and read again."""
     folder = shared_folder(own.sparkSession, "fingerprints")
@@ -294,10 +166,10 @@ def _stored(own: DataFrame) -> DataFrame:
     return own.sparkSession.read.parquet(folder)
 
 
-def with_components(own: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """``own`` (doc_id, fingerprint) with component_id and root; by links of fingerprints unless ``edges`` are given."""
+def with_components(own: DataFrame) -> DataFrame:
+    """``own`` (doc_id, fingerprint) with component_id and root, the fingerprint that stands for its component."""
     entries = settle(own.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
-    roots = connected(links(entries.select("fingerprint")) if edges is None else edges).withColumnRenamed("node", "fingerprint")
+    roots = connected(links(entries.select("fingerprint"))).withColumnRenamed("node", "fingerprint")
     rooted = entries.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return own.join(rooted.join(named, "root").select("fingerprint", "component_id", "root"), "fingerprint", "left")
@@ -311,25 +183,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest id (nulls last; of equal ids one), with all columns of ``docs``.
-
-    Here texts are linked if the Jaccard similarity of their shingles of WIDE words is at least SIMILAR, or if neither has a word.
-    """
+    """Of each component of near-duplicates the row with the smallest id (nulls last; of equal ids one), with all columns of ``docs``."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     a, b, n = (free_name(docs, x) for x in ("_mark_a", "_mark_b", "_copy"))
     mark = [F.xxhash64(*columns).alias(a), F.xxhash64(F.lit(1), *[c.isNull() for c in columns], *columns).alias(b)]
-    own = docs.select(F.col(f"`{id_column}`").alias("doc_id"), sketch_column(F.col(f"`{text}`")).alias("sketch"), F.struct(*mark).alias("row"))
-    own = _stored(own.select("doc_id", "row", F.col("sketch")[0].alias("fingerprint"), F.slice("sketch", 2, GROUPS * VALUES).alias("sketch")))
-    of_one = own.where(F.size("sketch") > 0).groupBy("fingerprint").agg(F.min(F.struct("row", "sketch")).alias("one"))
-    entries = settle(of_one.select("fingerprint", "one.row", "one.sketch"))
-    pairs = candidates(entries)
-    # The texts of candidates are read again, one row for each entry.
-    sought = entries.join(pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).distinct(), "fingerprint").select("row.*", "fingerprint")
-    texts = docs.select(F.col(f"`{text}`").alias("_text"), *mark).join(sought, [a, b]).select("fingerprint", "_text").dropDuplicates(["fingerprint"])
-    sets = settle(texts.select("fingerprint", shingle_column(F.col("_text")).alias("set")))
-    left, right = (sets.select(F.col("fingerprint").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    edges = settle(pairs.join(left, "a").join(right, "b").where(similar_column(F.col("set_a"), F.col("set_b"))).select("a", "b"))
-    joined = with_components(own.select("doc_id", "row", "fingerprint"), edges)
+    own = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.struct(*mark).alias("row"), fingerprint_column(F.col(f"`{text}`")).alias("fingerprint"))
+    joined = with_components(_stored(own))
     first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     winners = first.select("first.row.*").distinct()
     kept = docs.select("*", *mark).join(winners, [a, b], "left_semi")
