@@ -31,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each component of near-duplicates: fingerprints of three-word shingles that differ in three bits at most."""
     return simhash_variants.keep_one(docs)
 
 
@@ -54,7 +54,7 @@ STAGES = [
     ("token_ids", token_ids),
 ]
 
-#: SQL has no expression for the fitted rules, the fingerprints and the tokenizer; the tests hold each stage against brute force.
+#: SQL has no expression for the fitted rules, the fingerprints and the tokenizer; the tests hold the operator of each stage against brute force.
 ORACLE_SQL = None
 
 
