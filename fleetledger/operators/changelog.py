@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from fleetledger.functions.literals import (
     sql_literals,
     unquote_name,
 )
+from fleetledger.session import stored
 from fleetledger.sources.event_text import WHOLE_EVENT
 
 # Fixed values of the text format.
@@ -191,7 +193,14 @@ def resolve_columns(images: DataFrame, catalog: DataFrame, small: bool = False)
         )
         .withColumn("_gaps", F.exists("_names", lambda n: n.isNull()))
     )
+    return name_images(images, F.broadcast(names) if small else names)
 
+
+def name_images(images: DataFrame, names: DataFrame, pick: Callable[[DataFrame], DataFrame] = lambda joined: joined) -> DataFrame:
+    """Join ``names`` (``_db``: database and table) to both images and name their values.
+
+    ``pick`` leaves ``_names``, ``_ordinals`` and ``_gaps`` of the version that holds for each change.
+    """
     # Pass-through text has no table: its rows would all meet in one task.
     spread = F.struct(F.coalesce("db", F.concat(F.lit("\0"), F.col("pos").cast("string"))), F.coalesce("table", F.lit("")))
 
@@ -218,7 +227,7 @@ def resolve_columns(images: DataFrame, catalog: DataFrame, small: bool = False)
         .when((F.col("op") != "DELETE") & (F.size("after") == 0), F.lit("missing image"))
     )
     return (
-        images.join(F.broadcast(names) if small else names, spread == F.col("_db"), "left")
+        pick(images.join(names, spread == F.col("_db"), "left"))
         .withColumns({"_all_before": complete("before"), "_all_after": complete("after")})
         .withColumns({"before": named("before"), "after": named("after")})
         .withColumn("rejected", rejected)
@@ -357,9 +366,12 @@ def _converted(text: Column, kind: T.DataType) -> Column:
 def _typed(resolved: DataFrame, db: str, table: str, schema: T.StructType) -> DataFrame:
     """Changes of one table with typed images, ``have`` and the columns whose value does not fit (``wrong``)."""
     rows = resolved.where((F.col("db") == db) & (F.col("table") == table) & F.col("rejected").isNull())
-    for image in ("before", "after"):
-        texts = F.map_from_entries(F.transform(image, lambda x: F.struct(x["column"], literal_value(x["literal"]))))
-        rows = rows.withColumn(f"_{image}", texts)
+
+    def texts(image: str) -> Column:
+        return F.map_from_entries(F.transform(image, lambda x: F.struct(x["column"], literal_value(x["literal"])))).alias(f"_{image}")
+
+    # Texts are made once: what a generator gives is not written out again for every column that uses it.
+    rows = rows.select("*", F.explode(F.array(F.struct(texts("before"), texts("after")))).alias("_texts")).select("*", "_texts.*")
 
     def text(image: str, name: str) -> Column:
         return F.try_element_at(f"_{image}", F.lit(name))
@@ -409,15 +421,35 @@ def _position(changes: DataFrame, order: tuple[str, ...], step: int) -> Column:
     return F.struct(F.lit(1).alias("rank"), *parts, F.lit(step).alias("step"))
 
 
+def _same_key(keys: list[str]) -> Column:
+    same = reduce(lambda a, b: a & b, [F.col("before")[k].eqNullSafe(F.col("after")[k]) for k in keys])
+    return same | F.col("before").isNull()
+
+
+def _moves_unnamed(keys: list[str]) -> Column:
+    """Updates that change the key and do not name all columns."""
+    return (F.col("op") == "UPDATE") & ~_same_key(keys) & ~F.forall("have", lambda h: h)
+
+
+def key_rejects(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Key changes that cannot be applied, as they do not name all columns, with the old and the new key."""
+    bad = changes.where(_moves_unnamed(keys))
+    ends = [F.struct(*[F.col(i)[k].alias(k) for k in keys]).alias(n) for i, n in (("before", "old_key"), ("after", "new_key"))]
+    return bad.select(*log_order(changes), *ends)
+
+
 def keyed_images(changes: DataFrame, keys: list[str], order: tuple[str, ...] | None = None) -> DataFrame:
     """Per change: the key it leaves behind as a tombstone and the key it writes.
 
     Result: the key columns, ``at`` (log position) and ``row`` (NULL for a tombstone); where changes have ``have``,
     ``live`` and ``cells`` instead of ``row``: each column's value with the position it is from.  A key-changing
-    update gives both, the tombstone first; it must name all columns, as the row it moves is held under another key.
+    update gives both, the tombstone first; one that does not name all columns is left out (:func:`key_rejects` has
+    it), as the row it moves is held under another key.
     """
     order = order or log_order(changes)
     partial, names = "have" in changes.columns, changes.schema["after"].dataType.names
+    if partial:
+        changes = changes.where(~_moves_unnamed(keys))
 
     def version(image: str, live: bool, step: int) -> Column:
         at = _position(changes, order, step)
@@ -431,16 +463,10 @@ def keyed_images(changes: DataFrame, keys: list[str], order: tuple[str, ...] | N
         ]
         return F.struct(*held, F.lit(live).alias("live"), F.struct(*cells).alias("cells"))
 
-    same_key = reduce(lambda a, b: a & b, [F.col("before")[k].eqNullSafe(F.col("after")[k]) for k in keys])
-    same_key = same_key | F.col("before").isNull()
     moved = F.array(version("before", False, 0), version("after", True, 1))
-    if partial:
-        where = F.concat_ws(":", *[F.col(o).cast("string") for o in order])
-        message = F.concat(F.lit("a change of the key does not name all columns at "), where)
-        moved = F.when(F.forall("have", lambda h: h), moved).otherwise(F.raise_error(message).cast(changes.select(moved.alias("m")).schema["m"].dataType))
     versions = (
         F.when(F.col("op") == "DELETE", F.array(version("before", False, 0)))
-        .when((F.col("op") == "INSERT") | same_key, F.array(version("after", True, 1)))
+        .when((F.col("op") == "INSERT") | _same_key(keys), F.array(version("after", True, 1)))
         .otherwise(moved)
     )
     return changes.select(F.explode(versions).alias("v")).select("v.*")
@@ -474,19 +500,48 @@ def apply_changes(
     """The table after all changes: the last image of each key wins, deleted keys drop out.
 
     The changes alone are folded; rows of ``base`` that none of them touches are kept by an anti-join, and
-    only where images name part of the columns is the row that ``base`` holds looked up.
+    only where images name part of the columns is the row that ``base`` holds looked up.  Then the folded changes are
+    stored first, so the log is read once; rows with a column that neither a change nor ``base`` tells are left out,
+    :func:`incomplete_rows` has them.
     """
     folded = fold_images(keyed_images(changes, keys, order), keys)
-    if base is None:
-        return live_rows(folded)
-    touched = folded.select(*[F.col(k).alias(f"_{k}") for k in keys], *(["live", "cells"] if "cells" in folded.columns else []))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    kept = base.join(touched.select(*[f"_{k}" for k in keys]), same, "left_anti")
     if "cells" not in folded.columns:
+        if base is None:
+            return live_rows(folded)
+        touched = folded.select(*[F.col(k).alias(f"_{k}") for k in keys])
         rows = live_rows(folded)
-        return kept.select(*rows.columns).unionByName(rows)
+        return base.join(touched, _same_names(keys), "left_anti").select(*rows.columns).unionByName(rows)
+    folded = stored(folded, "folded")
+    merged, names = _merged(base, folded, keys), folded.schema["cells"].dataType.names
+    now = merged.where("_known").select(*names)
+    if base is None:
+        return now
+    touched = folded.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return base.join(touched, _same_names(keys), "left_anti").select(*names).unionByName(now)
+
+
+def incomplete_rows(base: DataFrame | None, changes: DataFrame, keys: list[str], order: tuple[str, ...] | None = None) -> DataFrame:
+    """Keys of rows that :func:`apply_changes` leaves out: changes name part of a row that nothing holds, with the columns nobody tells."""
+    folded = stored(fold_images(keyed_images(changes, keys, order), keys), "folded")
+    return _merged(base, folded, keys).where("not _known").select(*keys, F.col("_unknown").alias("columns"))
+
+
+def _same_names(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+
+
+def _merged(base: DataFrame | None, folded: DataFrame, keys: list[str]) -> DataFrame:
+    """Live rows of folded cells over the rows of ``base``, ``_unknown`` columns and whether there are none (``_known``)."""
     names = folded.schema["cells"].dataType.names
-    held = base.select(*names).withColumn("_held", F.lit(True))
+    live = folded.where("live").select(*[F.col(k).alias(f"_{k}") for k in keys], "cells")
+    if base is None:
+        joined = live.select("*", *[F.lit(None).alias(c) for c in names], F.lit(None).cast("boolean").alias("_held"))
+    else:
+        joined = live.join(base.select(*names).withColumn("_held", F.lit(True)), _same_names(keys), "left")
+    held = F.coalesce("_held", F.lit(False))
+    # A tombstone ends what was held before; what a later change does not name is not told by anybody.
+    told = lambda c: F.when(F.col("cells")[c].isNull(), held).otherwise(F.col("cells")[c]["at"]["step"] == 1)
+    unknown = F.array_compact(F.array(*[F.when(~told(c), F.lit(c)) for c in names]))
     value = lambda c: F.when(F.col("cells")[c].isNotNull(), F.col("cells")[c]["v"]).otherwise(F.col(c)).alias(c)
-    merged = touched.where("live").join(held, same, "left").select(*[value(c) for c in names])
-    return kept.select(*names).unionByName(merged)
+    keyed = {k: F.col(f"_{k}").alias(k) for k in keys}
+    return joined.select(*[keyed.get(c, value(c)) for c in names], unknown.alias("_unknown"), (F.size(unknown) == 0).alias("_known"))

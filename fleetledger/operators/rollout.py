@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fleetledger.functions.literals import quote_name
 from fleetledger.functions.clock import instant, is_stale
 from fleetledger.operators.sequence import number_within
+from fleetledger.session import settle
 
 # Command kinds, and the texts of the outcome trail.
 DIRECT = "sql"
@@ -127,6 +128,34 @@ def claim(
     )
 
 
+def claim_many(shards: DataFrame, versions: DataFrame, tasks: DataFrame, now) -> DataFrame:
+    """New ``shards``: the free slots of many tasks are filled at once, no shard twice.
+
+    ``tasks`` (``taskName, limit, workers``, one row for each) may take as many shards as :func:`free_slots` tells of its own
+    numbers; tasks are served in order of their names, with the shards that wait longest first.  Slots are numbered on by prefix
+    sums of what the tasks may take, shards by how long they wait, and an equality join of the two numbers makes the claims.
+    Only as many shards are sorted as there are slots, which the workers of all tasks bound; a NULL limit counts as 0, NULL
+    workers too.
+    """
+    running = shards.where(F.col("taskName").isNotNull()).groupBy("taskName").agg(F.count(F.lit(1)).alias("_running"))
+    wanted = F.coalesce(F.col("limit").cast("string").try_cast("int"), F.lit(0))
+    free = F.greatest(F.least(F.greatest(wanted, F.lit(0)), F.coalesce("workers", F.lit(0))) - F.coalesce("_running", F.lit(0)), F.lit(0))
+    may = settle(tasks.join(running, "taskName", "left").select("taskName", free.alias("_free")).where("_free > 0"))
+    slots = may.agg(F.coalesce(F.sum("_free"), F.lit(0)).cast("int")).first()[0]
+    # A row for each task that has slots; at most ``slots``.
+    until = F.sum("_free").over(Window.orderBy("taskName"))
+    numbered = may.withColumn("_until", until).select(F.col("taskName").alias("_task"), F.explode(F.sequence((F.col("_until") - F.col("_free") + 1).cast("int"), F.col("_until").cast("int"))).alias("_n"))
+    order = Window.orderBy(F.col("lastUpdate").asc_nulls_first(), F.col("shardId"))
+    waiting = shards_to_upgrade(shards.select("shardId", "version", "taskName", "lastUpdate"), versions, slots)
+    chosen = waiting.withColumn("_n", F.row_number().over(order)).join(numbered, "_n").select("shardId", "_task")
+    return _rewrite(
+        shards.join(chosen, "shardId", "left"),
+        shards.columns,
+        {"taskName": F.col("_task"), "lastTaskHb": instant(now), "lastUpdate": instant(now)},
+        F.col("_task").isNotNull(),
+    )
+
+
 def apply_heartbeats(shards: DataFrame, beats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New ``shards`` with refreshed task heartbeats, and the beats that matched no owner.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetledger.operators.names import free_name
 from fleetledger.session import settle
 
 
@@ -27,27 +28,29 @@ def number_within(
     large groups evenly, and stored once so that both uses see the same slices.
     NULL keys form groups of their own, and a NULL slice comes first.
     """
+    cut, inner, rows, shift, part = (free_name(df, x) for x in ("_slice", "_inside", "_rows", "_shift", "_part"))
+    held = [free_name(df, f"_key{i}") for i in range(len(keys))]
     if slice_by is None:
         count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranged = df.repartitionByRange(count, *[F.col(k) for k in keys], *order)
-        sliced = settle(ranged.withColumn("_slice", F.spark_partition_id()))
+        sliced = settle(ranged.withColumn(cut, F.spark_partition_id()))
     else:
-        sliced = df.withColumn("_slice", slice_by)
-    by_slice = Window.partitionBy(*keys).orderBy(F.col("_slice").asc_nulls_first())
+        sliced = df.withColumn(cut, slice_by)
+    by_slice = Window.partitionBy(*keys).orderBy(F.col(cut).asc_nulls_first())
     shifts = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        sliced.groupBy(*keys, cut)
+        .agg(F.count(F.lit(1)).alias(rows))
         .withColumn(
-            "_shift",
-            F.coalesce(F.sum("_rows").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            shift,
+            F.coalesce(F.sum(rows).over(by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         )
-        .select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_part"), "_shift")
+        .select(*[F.col(k).alias(held[i]) for i, k in enumerate(keys)], F.col(cut).alias(part), shift)
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)] + [F.col("_slice").eqNullSafe(F.col("_part"))]
-    inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
+    same = [F.col(k).eqNullSafe(F.col(held[i])) for i, k in enumerate(keys)] + [F.col(cut).eqNullSafe(F.col(part))]
+    inside = F.row_number().over(Window.partitionBy(*keys, cut).orderBy(*order))
     return (
-        sliced.withColumn("_inside", inside)
+        sliced.withColumn(inner, inside)
         .join(shifts, same)
-        .withColumn(name, F.col("_inside").cast("long") + F.col("_shift"))
+        .withColumn(name, F.col(inner).cast("long") + F.col(shift))
         .select(*df.columns, name)
     )

@@ -81,10 +81,15 @@ def order_log(spark, folder: str) -> DataFrame:
 
 def write_order_log(spark, folder: str) -> str:
     """Write the event text, one folder per segment, and return where."""
+    return write_log(spark, order_events(spark, folder))
+
+
+def write_log(spark, events: DataFrame) -> str:
+    """Write event text (``file``, ``value`` without its mark, with its last line break), a folder per file, and return where."""
     path = shared_folder(spark, "log")
     mark = EVENT_MARK.lstrip("\n")
     body = F.col("value").substr(F.lit(1), F.length("value") - 1)
-    order_events(spark, folder).select("file", F.concat(F.lit(mark), body).alias("value")).write.partitionBy("file").text(path)
+    events.select("file", F.concat(F.lit(mark), body).alias("value")).write.partitionBy("file").text(path)
     return path
 
 

@@ -195,16 +195,37 @@ def _account_changes(spark, folder) -> DataFrame:
     return C.resolve_columns(C.row_images(C.row_statements(read_events(spark, path))), catalog)
 
 
-def log_replay_text(spark, folder) -> DataFrame:
-    """Log text to current table."""
-    base = table(spark, folder, "customer", "c_custkey").select(
+def _accounts(spark, folder) -> DataFrame:
+    """Rows before the log; every tenth is missing."""
+    return table(spark, folder, "customer", "c_custkey").where("c_custkey % 10 <> 3").select(
         F.col("c_custkey").alias("id"), F.lit("old").cast("binary").alias("note"), F.lit("N").alias("state"), F.lit(0).cast("long").alias("cents"),
         F.lit(None).cast("date").alias("day"), F.lit(None).cast("timestamp").alias("seen"),
     )
-    now = C.apply_changes(base, C.typed_changes(_account_changes(spark, folder), "shop", "account", ACCOUNT), ["id"])
+
+
+def log_replay_text(spark, folder) -> DataFrame:
+    """Log text to current table."""
+    now = C.apply_changes(_accounts(spark, folder), C.typed_changes(_account_changes(spark, folder), "shop", "account", ACCOUNT), ["id"])
     return now.select("id", F.hex("note").alias("note"), "state", "cents", F.date_format("day", "yyyy-MM-dd").alias("day"), F.unix_timestamp("seen").alias("seen"))
 
 
+def log_incomplete(spark, folder) -> DataFrame:
+    """Rows that the log changes but nothing holds, with what is not known of them."""
+    changes = C.typed_changes(_account_changes(spark, folder), "shop", "account", ACCOUNT)
+    return C.incomplete_rows(_accounts(spark, folder), changes, ["id"]).select("id", F.array_join("columns", ",").alias("columns"))
+
+
+def log_key_rejects(spark, folder) -> DataFrame:
+    """Updates that name the old and the new key, and every fifth all columns."""
+    key = F.col("o_orderkey")
+    row = lambda at: F.struct(at.alias("id"), F.col("o_orderstatus").alias("state"))
+    changes = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus").select(
+        F.lit(1).cast("long").alias("file_no"), key.alias("pos"), F.lit(0).alias("row_no"), F.lit("UPDATE").alias("op"),
+        row(F.col("o_custkey")).alias("before"), row(F.col("o_custkey") + key % 2).alias("after"), F.array(F.lit(True), key % 5 == 0).alias("have"),
+    )
+    return C.key_rejects(changes, ["id"]).select("pos", F.col("old_key.id").alias("old_id"), F.col("new_key.id").alias("new_id"))
+
+
 def log_value_rejects(spark, folder) -> DataFrame:
     bad = C.value_rejects(_account_changes(spark, folder), "shop", "account", ACCOUNT)
     return bad.select("pos", F.array_join("columns", ",").alias("columns"))
@@ -253,6 +274,13 @@ def _list_sql(state: str, mark: str, between: str) -> str:
 
 _SETS, _WHERES = _list_sql("new_state", "=", ","), _list_sql("old_state", "<=>", " AND ")
 
+_ACCOUNTS = """WITH c AS (SELECT *, o_orderkey AS k, round(o_totalprice * 100)::BIGINT AS v FROM orders WHERE NOT (o_orderkey % 97 = 0 AND o_orderkey % 4 IN (0, 2))),
+           f AS (SELECT o_custkey AS id, max_by('FFC3A9' || hex(o_orderstatus), k) FILTER (k % 4 = 0) AS note, max_by(o_orderstatus, k) FILTER (k % 4 IN (0, 1)) AS state,
+                   max_by(v, k) FILTER (k % 4 IN (0, 2)) AS cents, max_by(strftime(o_orderdate, '%Y-%m-%d'), k) FILTER (k % 4 IN (0, 2)) AS day,
+                   max_by(epoch_us(o_orderdate) // 1000000, k) FILTER (k % 4 IN (0, 3)) AS seen FROM c GROUP BY 1),
+           h AS (SELECT c_custkey AS id, hex('old') AS note, 'N' AS state, 0 AS cents FROM customer WHERE c_custkey % 10 <> 3)
+"""
+
 _NEWEST = "QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1"
 
 QUERIES = {
@@ -349,13 +377,20 @@ QUERIES = {
     ),
     "log_replay_text": (
         log_replay_text,
-        """WITH c AS (SELECT *, o_orderkey AS k, round(o_totalprice * 100)::BIGINT AS v FROM orders WHERE NOT (o_orderkey % 97 = 0 AND o_orderkey % 4 IN (0, 2))),
-           f AS (SELECT o_custkey AS id, max_by('FFC3A9' || hex(o_orderstatus), k) FILTER (k % 4 = 0) AS note, max_by(o_orderstatus, k) FILTER (k % 4 IN (0, 1)) AS state,
-                   max_by(v, k) FILTER (k % 4 IN (0, 2)) AS cents, max_by(strftime(o_orderdate, '%Y-%m-%d'), k) FILTER (k % 4 IN (0, 2)) AS day,
-                   max_by(epoch_us(o_orderdate) // 1000000, k) FILTER (k % 4 IN (0, 3)) AS seen FROM c GROUP BY 1)
-           SELECT coalesce(f.id, c_custkey) AS id, coalesce(note, CASE WHEN c_custkey IS NOT NULL THEN hex('old') END) AS note,
-                  coalesce(state, CASE WHEN c_custkey IS NOT NULL THEN 'N' END) AS state, coalesce(cents, CASE WHEN c_custkey IS NOT NULL THEN 0 END) AS cents, day, seen
-           FROM f FULL JOIN customer ON f.id = c_custkey""",
+        _ACCOUNTS
+        + """SELECT coalesce(f.id, h.id) AS id, coalesce(f.note, h.note) AS note, coalesce(f.state, h.state) AS state, coalesce(f.cents, h.cents) AS cents, day, seen
+           FROM f FULL JOIN h ON f.id = h.id WHERE h.id IS NOT NULL OR f.note IS NOT NULL""",
+    ),
+    "log_incomplete": (
+        log_incomplete,
+        _ACCOUNTS
+        + """SELECT f.id, concat_ws(',', 'note', CASE WHEN state IS NULL THEN 'state' END, CASE WHEN cents IS NULL THEN 'cents' END,
+                    CASE WHEN day IS NULL THEN 'day' END, CASE WHEN seen IS NULL THEN 'seen' END) AS columns
+             FROM f WHERE id NOT IN (SELECT id FROM h) AND note IS NULL""",
+    ),
+    "log_key_rejects": (
+        log_key_rejects,
+        "SELECT o_orderkey AS pos, o_custkey AS old_id, o_custkey + 1 AS new_id FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 5 <> 0",
     ),
     "log_value_rejects": (log_value_rejects, "SELECT o_orderkey + 4 AS pos, 'day' AS columns FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 4 IN (0, 2)"),
     "log_replay_moves": (

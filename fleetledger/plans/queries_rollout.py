@@ -99,6 +99,14 @@ def rollout_claim(spark, folder) -> DataFrame:
     return _state(R.claim(_shards(spark, folder), _short_list(spark, folder), "task-9", NOW, "40", 64))
 
 
+def rollout_claim_many(spark, folder) -> DataFrame:
+    """25 tasks at once; three of them hold shards, some may take none."""
+    n = F.col("n_nationkey")
+    limit = F.when(n % 7 == 3, F.lit(None)).when(n % 6 == 5, F.lit("soon")).otherwise((n * 37 % 900).cast("string"))
+    tasks = table(spark, folder, "nation", "n_nationkey").select(F.concat(F.lit("task-"), n).alias("taskName"), limit.alias("limit"), (n * 40 + 60).alias("workers"))
+    return _state(R.claim_many(_shards(spark, folder), _short_list(spark, folder), tasks, NOW))
+
+
 def _beats(spark, folder) -> DataFrame:
     return table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate").select(
         F.col("o_custkey").alias("shardId"),
@@ -282,6 +290,22 @@ QUERIES = {
                     epoch_us(CASE WHEN c.shardId IS NULL THEN s.lastUpdate ELSE TIMESTAMP '2001-08-02' END) // 1000000 AS updated
              FROM shards s LEFT JOIN chosen c ON c.shardId = s.shardId""",
     ),
+    "rollout_claim_many": (
+        rollout_claim_many,
+        _CTE
+        + """, ranked AS (
+               SELECT shardId, row_number() OVER (ORDER BY lastUpdate NULLS FIRST, shardId) AS rn FROM shards
+               WHERE version < (SELECT max(version) FROM versions) AND taskName IS NULL),
+             tasks AS (SELECT 'task-' || n_nationkey AS task, n_nationkey * 40 + 60 AS workers,
+                 CASE WHEN n_nationkey % 7 = 3 OR n_nationkey % 6 = 5 THEN 0 ELSE n_nationkey * 37 % 900 END AS lim FROM nation),
+             free AS (SELECT task, greatest(least(lim, workers) - (SELECT count(*) FROM shards WHERE taskName = task), 0) AS n FROM tasks),
+             spans AS (SELECT task, sum(n) OVER (ORDER BY task) AS until, n FROM free),
+             chosen AS (SELECT shardId, task FROM ranked JOIN spans ON rn > until - n AND rn <= until)
+             SELECT s.shardId, s.version, coalesce(c.task, s.taskName) AS taskName,
+                    epoch_us(CASE WHEN c.shardId IS NULL THEN s.lastTaskHb ELSE TIMESTAMP '2001-08-02' END) // 1000000 AS beat,
+                    epoch_us(CASE WHEN c.shardId IS NULL THEN s.lastUpdate ELSE TIMESTAMP '2001-08-02' END) // 1000000 AS updated
+             FROM shards s LEFT JOIN chosen c ON c.shardId = s.shardId""",
+    ),
     "rollout_beats": (
         rollout_beats,
         _CTE

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_SUBJECTS = ("ids", "rollout", "links", "log", "archive")
+_SUBJECTS = ("ids", "rollout", "links", "log", "history", "archive")
 
 
 def registered() -> dict:

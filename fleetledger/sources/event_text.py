@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetledger.session import settle
+
 # Fixed values of the text format.
 WHOLE_EVENT = r"^[0-9]+\n#[0-9]{6} +[0-9]+:[0-9]{2}:[0-9]{2} +server id +[0-9]+ "
 EVENT_MARK = "\n# at "
@@ -16,7 +18,7 @@ def segment_number(name: Column) -> Column:
     return F.regexp_extract(name, NUMBERED_NAME, 1).try_cast("long")
 
 
-def read_events(spark: SparkSession, path: str, recursive: bool = False, rejoin: bool = False) -> DataFrame:
+def read_events(spark: SparkSession, path: str, recursive: bool = False, rejoin: bool = True) -> DataFrame:
     """Events of all files under ``path``: ``file, file_no, pos, record``.
 
     Files are cut at the event mark by the reader itself, so one file is read by
@@ -25,8 +27,9 @@ def read_events(spark: SparkSession, path: str, recursive: bool = False, rejoin:
     that value is the file name.  Compacted archives have a reader of their own
     (:func:`fleetledger.operators.archive.read_archive`).
 
-    A line of an event's own text may look like a mark.  With ``rejoin`` the pieces such lines
-    make are put back: see :func:`_rejoined`.
+    A line of an event's own text may look like a mark; the pieces such lines make are put back, see
+    :func:`_rejoined`.  That looks through the files once when this is called; without ``rejoin`` it does not, and
+    :func:`~fleetledger.operators.changelog.broken_events` has the pieces.
     """
     reader = spark.read.option("lineSep", EVENT_MARK).option("recursiveFileLookup", str(recursive).lower())
     pieces = reader.text(path)
@@ -36,8 +39,10 @@ def read_events(spark: SparkSession, path: str, recursive: bool = False, rejoin:
 def _rejoined(pieces: DataFrame) -> DataFrame:
     """Pieces with every one that has no event header put back to the piece before it.
 
-    The first pass tells, by split of a file, whether there are such pieces; only splits that hold some, or
-    stand before one that begins with one, are put in order and joined.  All others pass as they are.
+    The first pass sums every split of a file up: does it begin with an event, how many does it hold, are there broken
+    pieces?  Splits that hold some, or stand before one that begins with one, are few, mostly none; only
+    those are read again in order.  A prefix scan numbers their events: inside a split by a window, with the count
+    of the splits before it carried over, so a file of any size is many tasks.
     """
     named = "file" in pieces.columns
     placed = pieces.select(
@@ -46,12 +51,16 @@ def _rejoined(pieces: DataFrame) -> DataFrame:
     )
     placed = placed.withColumn("_whole", F.regexp_replace(F.substring("value", 1, 200), "^# at ", "").rlike(WHOLE_EVENT))
     preamble = (F.col("_block") == 0) & ~F.col("_first")
-    splits = placed.groupBy("_path", "_block").agg(F.min_by("_whole", "_n").alias("_first"), F.count_if(~F.col("_whole")).alias("_broken"))
+    splits = placed.groupBy("_path", "_block").agg(F.min_by("_whole", "_n").alias("_first"), F.count_if(~F.col("_whole")).alias("_broken"), F.count_if("_whole").alias("_events"))
     splits = splits.withColumn("_broken", F.col("_broken") - preamble.cast("int")).withColumn("_first", F.col("_first") | (F.col("_block") == 0))
-    after = F.lead("_first").over(Window.partitionBy("_path").orderBy("_block"))  # a row for each split of a file
-    hit = splits.withColumn("_after", after).where((F.col("_broken") > 0) | ~F.coalesce("_after", F.lit(True))).select("_path", "_block")
-    in_order = Window.partitionBy("_path").orderBy("_block", "_n").rowsBetween(Window.unboundedPreceding, 0)
-    grouped = placed.join(hit, ["_path", "_block"], "left_semi").withColumn("_event", F.sum(F.col("_whole").cast("int")).over(in_order))
+    of_file = Window.partitionBy("_path").orderBy("_block")  # a row for each split of a file
+    before = F.coalesce(F.sum("_events").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seen = splits.withColumns({"_after": F.lead("_first").over(of_file), "_before": before})
+    hit = settle(seen.where((F.col("_broken") > 0) | ~F.coalesce("_after", F.lit(True))).select("_path", "_block", "_before"))
+    if not hit.limit(1).count():
+        return placed.select("file", "value")
+    in_split = Window.partitionBy("_path", "_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    grouped = placed.join(hit, ["_path", "_block"]).withColumn("_event", F.col("_before") + F.sum(F.col("_whole").cast("int")).over(in_split))
     parts = F.array_sort(F.collect_list(F.struct("_block", "_n", "value")))
     joined = grouped.groupBy("_path", "_event").agg(F.first("file").alias("file"), parts.alias("_parts"))
     whole = joined.select("file", F.array_join(F.col("_parts")["value"], EVENT_MARK).alias("value"))

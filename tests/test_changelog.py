@@ -101,9 +101,11 @@ def test_files_split_by_block_keep_whole_events(spark, tmp_path):
 
 def test_mark_inside_text_is_reported(spark, tmp_path):
     (tmp_path / "bin.000001").write_text("# at 4\n#170921 20:28:37 server id 1  end_log_pos 9 \tQuery\nselect '\n# at 5\n'\n")
-    events = read_events(spark, str(tmp_path))
+    events = read_events(spark, str(tmp_path), rejoin=False)
     assert [r.pos for r in C.broken_events(events).collect()] == [5]
     assert [r.pos for r in C.pass_through(events).collect()] == [4]
+    whole = read_events(spark, str(tmp_path))
+    assert C.broken_events(whole).count() == 0 and [(r.pos, r.sql) for r in C.pass_through(whole).collect()] == [(4, "select '\n'")]
 
 
 def test_catalog(log):
@@ -252,8 +254,9 @@ def test_columns_of_several_partial_updates_come_together(spark):
     log = [_event(4, "INSERT INTO", {}, {1: 1, 2: 2, 3: "'a'"}), _event(5, "UPDATE", {1: 1}, {2: 3}), _event(6, "UPDATE", {1: 1}, {3: "NULL"}), _event(7, "UPDATE", {1: 1}, {2: 4})]
     assert _replayed(spark, {"bin.000001": log})[0] == [(1, 4, None)]
     moved = _event(8, "UPDATE", {1: 1}, {1: 2, 2: 5})
-    with pytest.raises(Exception, match="does not name all columns"):
-        _replayed(spark, {"bin.000001": [*log, moved]})
+    table, _, changes = _replayed(spark, {"bin.000001": [*log, moved]})
+    assert table == [(1, 4, None)]  # the move is left out, and told
+    assert [(r.pos, r.new_key.id) for r in C.key_rejects(C.typed_changes(changes, "d", "t", ACCOUNT), ["id"]).collect()] == [(8, 2)]
 
 
 def test_files_without_number_win_over_the_base_and_do_not_mix(spark):
