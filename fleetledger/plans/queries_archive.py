@@ -15,6 +15,7 @@ from fleetledger.session import shared_folder
 from fleetledger.sources.event_text import read_events, segment_number
 from fleetledger.sources.segments import segments
 from fleetledger.streaming.heartbeats import heartbeat_gaps
+from fleetledger.streaming.silence import silence_alerts, timers
 from fleetledger.streaming.ingest import ingest_stream
 
 NOW = "2024-01-31 00:00:00"
@@ -104,6 +105,19 @@ def heartbeat_stream(spark, folder) -> DataFrame:
     return spark.read.parquet(out).select("user_id", "event_type", seconds("started").alias("started"), seconds("last_beat").alias("last_beat"), "beats")
 
 
+def silence_stream(spark, folder) -> DataFrame:
+    """Silences and returns that a stream tells until its watermark."""
+    source, out, mark = (shared_folder(spark, p) for p in ("beats", "alerts", "mark"))
+    table(spark, folder, "events", "user_id", "event_type", "ts").write.parquet(source)
+    beats = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    told = silence_alerts(beats, 21600, ("user_id", "event_type"))
+    writer = told.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True)
+    with timers(spark):
+        query = writer.start()
+    query.awaitTermination()
+    return spark.read.parquet(out).select("user_id", "event_type", "kind", seconds("last_beat").alias("last_beat"), seconds("at").alias("at_s"))
+
+
 _CTE = """
 WITH inventory AS (
   SELECT 'u' || user_id AS source,
@@ -147,6 +161,16 @@ QUERIES = {
            SELECT file, dayofyear(ts) AS file_no, event_id + 4 AS pos, epoch_us(ts) // 1000000 AS event_s, event_type || ' ' || props AS text
            FROM e WHERE file < (SELECT max(file) FROM e)""",
     ),
+    "links_silence_stream": (
+        silence_stream,
+        """
+        WITH w AS (SELECT (epoch_us(max(ts)) // 1000 - 600000) // 1000 AS passed FROM events),
+        e AS (SELECT DISTINCT user_id, event_type, epoch_us(ts) // 1000000 AS s FROM events),
+        b AS (SELECT *, lag(s) OVER k AS before, lead(s) OVER k IS NULL AS newest FROM e WHERE s <= (SELECT passed FROM w) WINDOW k AS (PARTITION BY user_id, event_type ORDER BY s))
+        SELECT user_id, event_type, 'silent' AS kind, before AS last_beat, before + 21600 AS at_s FROM b WHERE s - before > 21600
+        UNION ALL SELECT user_id, event_type, 'back', before, s FROM b WHERE s - before > 21600
+        UNION ALL SELECT user_id, event_type, 'silent', s, s + 21600 FROM b WHERE newest AND (SELECT passed FROM w) > s + 21600""",
+    ),
     "links_gaps_stream": (
         heartbeat_stream,
         """

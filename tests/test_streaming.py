@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetledger.operators.changelog import apply_changes
 from fleetledger.streaming.heartbeats import heartbeat_gaps, silent_now
 from fleetledger.streaming.replay import compact_state, current_table, start_replay
+from fleetledger.streaming.silence import silence_alerts, timers
 
 START = datetime(2024, 1, 1)
 
@@ -86,3 +87,44 @@ def test_sessions_over_midnight_match_a_loop(spark, timeout):
     rows = heartbeat_gaps(beats(spark, offsets), timeout).collect()
     got = sorted([int((r.started - START).total_seconds()), int((r.last_beat - START).total_seconds()), r.beats] for r in rows)
     assert got == expected and all(r.silent_from - r.last_beat == timedelta(seconds=timeout) for r in rows)
+
+
+def told_by_loop(offsets, passed, timeout=179):
+    out, before = [], None
+    for s in sorted({int(o) for o in offsets if int(o) <= passed}):
+        if before is not None and s - before > timeout:
+            out += [("silent", before, before + timeout), ("back", before, s)]
+        before = s
+    if before is not None and passed > before + timeout:
+        out.append(("silent", before, before + timeout))
+    return sorted(out)
+
+
+def test_silence_is_told_by_timers_and_survives_a_restart(spark, tmp_path):
+    hosts = {"a": [0, 178], "b": [0, 179, 358.5], "c": [0, 180, 1000, 1001], "d": [5], "e": [4000]}
+    later = {"a": [300, 3900], "c": [700, 990], "d": [2000]}  # some between beats that came earlier
+    last = {"a": [9000], "e": [8000], "f": [8500]}
+
+    def put(part, given):
+        rows = [("A-B", h, START + timedelta(seconds=s)) for h, offsets in given.items() for s in offsets]
+        spark.createDataFrame(rows, "connectionName string, host string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / part))
+
+    def run():
+        stream = spark.readStream.schema("connectionName string, host string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        writer = silence_alerts(stream, lateness="4000 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        with timers(spark):
+            query = writer.option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        seconds = lambda t: int((t - START).total_seconds())
+        return {h: sorted((r.kind, seconds(r.last_beat), seconds(r.at)) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.host == h) for h in "abcdef"}
+
+    put("p1", hosts)
+    put("p2", later)
+    first = run()
+    every = {h: hosts.get(h, []) + later.get(h, []) for h in "abcdef"}
+    assert first == {h: told_by_loop(o, 0) for h, o in every.items()}
+    put("p3", last)
+    every = {h: every[h] + last.get(h, []) for h in "abcdef"}
+    done = run()
+    assert done == {h: told_by_loop(o, 5000) for h, o in every.items()}
+    assert done["a"] == [("back", 300, 3900), ("silent", 300, 479), ("silent", 3900, 4079)] and ("silent", 0, 179) in done["c"] and ("silent", 179, 358) not in done["b"]
