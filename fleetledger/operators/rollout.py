@@ -27,6 +27,9 @@ DSN = r"^([^:@/]*)(?::(.*))?@([A-Za-z0-9]+)\(([^()]+)\)(?:/([^?/]*))?(?:\?.*)?$"
 # and none over all blocks, ever holds more than 65,536 versions.
 _BLOCK_BITS = 16
 
+# Copies of the steps of a version in a migration plan.
+_COPIES = 32
+
 
 def max_version(versions: DataFrame) -> DataFrame:
     """One row ``version``: the highest version, 0 when there is none."""
@@ -260,7 +263,8 @@ def migration_plan(shards: DataFrame, versions: DataFrame) -> DataFrame:
     """Every missing version of every shard in apply order: ``shardId, step, version, cmdType, command``.
 
     A shard needs the ranks after the ones it has passed, so the missing versions
-    are found by equality and only result rows are ever made.  Shards whose DSN cannot be
+    are found by equality and only result rows are ever made.  Most shards stand at one version, and that one
+    key makes most of the plan: the steps of each version are copied ``_COPIES`` times and shards dealt out over the copies.  Shards whose DSN cannot be
     read get no commands; :func:`split_dsn` lists them with the reason.
     """
     ranks, passed = version_ranks(versions, shards.select("version"))
@@ -273,7 +277,9 @@ def migration_plan(shards: DataFrame, versions: DataFrame) -> DataFrame:
     steps = todo.join(ranked, "rank").withColumn("step", (F.col("rank") - F.col("passed")).cast("int"))
     user = F.nullif(F.regexp_extract("shardDSN", DSN, 1), F.lit(""))
     behind = shards.where(F.coalesce(F.col("shardDSN").rlike(DSN), F.lit(False))).select("shardId", "schemaName", user.alias("_user"), F.col("version").cast("long").alias("_from"))
-    return behind.join(steps, "_from").select(
+    copies = steps.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(_COPIES - 1))))
+    dealt = behind.withColumn("_copy", F.pmod(F.xxhash64("shardId"), F.lit(_COPIES)).cast("int"))
+    return dealt.join(copies, ["_from", "_copy"]).select(
         "shardId", "step", F.col("_to").alias("version"), "cmdType",
         render_command(F.col("_user"), F.col("schemaName")).alias("command"),
     )

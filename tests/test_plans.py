@@ -50,6 +50,15 @@ def test_only_bounded_windows_are_global(spark):
     assert "TakeOrderedAndProject(limit=5" in claim
 
 
+def test_shards_at_one_version_are_many_keys(spark):
+    shards = spark.range(200).selectExpr("id as shardId", "'s' as schemaName", "'u:p@tcp(h:1)' as shardDSN", "0 as version")
+    versions = spark.range(1, 4).selectExpr("id as version", "'c' as command", "'sql' as cmdType", "'t' as tableName")
+    plan = R.migration_plan(shards, versions)
+    joined = [line for line in plan_of(plan).splitlines() if "Join" in line and "_from" in line]
+    assert joined and all("_copy" in line for line in joined)
+    assert plan.count() == 600 and plan.select("shardId", "step").distinct().count() == 600
+
+
 def test_a_small_change_set_leaves_the_base_where_it_is(spark):
     base = spark.range(1000).selectExpr("id", "'old' as v")
     changes = spark.range(3).selectExpr("1L as file_no", "id as pos", "0 as row_no", "'UPDATE' as op", "struct(id, 'old' as v) as before", "struct(id, 'new' as v) as after")
