@@ -51,7 +51,7 @@ def test_only_bounded_windows_are_global(spark):
 
 
 def test_shards_at_one_version_are_many_keys(spark):
-    shards = spark.range(200).selectExpr("id as shardId", "'s' as schemaName", "'u:p@tcp(h:1)' as shardDSN", "0 as version")
+    shards = spark.range(200).selectExpr("id as shardId", "'s' as schemaName", "'u:p@tcp(h:1)' as shardDSN", "cast(id % 1 as int) as version")
     versions = spark.range(1, 4).selectExpr("id as version", "'c' as command", "'sql' as cmdType", "'t' as tableName")
     plan = R.migration_plan(shards, versions)
     joined = [line for line in plan_of(plan).splitlines() if "Join" in line and "_from" in line]
