@@ -28,7 +28,7 @@ DSN = r"^([^:@/]*)(?::(.*))?@([A-Za-z0-9]+)\(([^()]+)\)(?:/([^?/]*))?(?:\?.*)?$"
 _BLOCK_BITS = 16
 
 # Copies of the steps of a version in a migration plan.
-_COPIES = 32
+_COPIES = 8
 
 
 def max_version(versions: DataFrame) -> DataFrame:
