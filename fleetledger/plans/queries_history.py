@@ -1,4 +1,4 @@
-"""Registered queries on what holds along a log: schema versions and transactions."""
+"""Registered queries on what holds along a log: schema versions, transactions and the versions of rows."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from fleetledger.operators import changelog as C
 from fleetledger.operators import transactions as X
 from fleetledger.operators.continuity import log_gaps
+from fleetledger.operators.row_history import as_of, row_history, write_history
 from fleetledger.operators.schema_history import resolve_columns_at, schema_history
 from fleetledger.plans.event_rendering import text, write_log
 from fleetledger.plans.tables import table
+from fleetledger.session import shared_folder
 from fleetledger.sources.event_text import read_events
 
 HEADER = "\n#170921 20:28:37 server id 1  end_log_pos 9 \t"
@@ -116,6 +118,44 @@ def log_continuity(spark, folder) -> DataFrame:
     return log_gaps(read_events(spark, write_log(spark, log))).select("file_no", "kind", "from_pos", "to_pos")
 
 
+def _customer_changes(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Every second customer's row, and orders as changes of them: status F deletes, every fourth names all columns, the others not the amount."""
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    row = F.struct(F.col("o_custkey").alias("customer"), status.alias("state"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), key.alias("orderkey"))
+    op = F.when(status == "F", F.lit("DELETE")).when(key % 4 == 0, F.lit("INSERT")).otherwise(F.lit("UPDATE"))
+    yes = F.lit(True)
+    changes = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").select(
+        (F.floor(key / 5000) + 1).alias("file_no"), key.alias("pos"), F.lit(0).alias("row_no"), op.alias("op"),
+        F.when(op != "INSERT", row).alias("before"), F.when(op != "DELETE", row).alias("after"), F.array(yes, yes, key % 4 == 0, yes).alias("have"),
+    )
+    base = table(spark, folder, "customer", "c_custkey").where("c_custkey % 2 = 0")
+    return base.select(F.col("c_custkey").alias("customer"), F.lit("N").alias("state"), F.lit(0).cast("long").alias("cents"), F.lit(-1).cast("long").alias("orderkey")), changes
+
+
+def log_history(spark, folder) -> DataFrame:
+    """Every version of every customer's row."""
+    found = row_history(*_customer_changes(spark, folder), ["customer"], slice_rows=700, slice_bytes=100)
+    return found.select("customer", "state", "cents", "orderkey", F.col("from_at.pos").alias("from_pos"), F.col("to_at.pos").alias("to_pos"))
+
+
+def log_as_of(spark, folder) -> DataFrame:
+    """Customers' rows as they were at a quarter of the log, at half of it and at its end."""
+    path = shared_folder(spark, "history")
+    write_history(*_customer_changes(spark, folder), ["customer"], path, slice_rows=700, slice_bytes=100)
+    end = table(spark, folder, "orders", "o_orderkey").agg(F.max("o_orderkey")).first()[0]
+    places = [end // 4, end // 2, end]
+    found = [as_of(spark, path, p, file_no=p // 5000 + 1).select("customer", "state", "cents", "orderkey", F.lit(p).alias("pos")) for p in places]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+_VERSION_SQL = """
+WITH i AS (SELECT o_custkey AS customer, o_orderkey AS k, o_orderstatus AS state,
+                  CASE WHEN o_orderstatus = 'F' THEN 'gone' WHEN o_orderkey % 4 = 0 THEN round(o_totalprice * 100)::BIGINT::VARCHAR END AS told FROM orders
+           UNION ALL SELECT c_custkey, -1, 'N', '0' FROM customer WHERE c_custkey % 2 = 0),
+h AS (SELECT *, last_value(told IGNORE NULLS) OVER (PARTITION BY customer ORDER BY k) AS held, lead(k) OVER (PARTITION BY customer ORDER BY k) AS to_pos FROM i),
+v AS (SELECT customer, state, TRY_CAST(held AS BIGINT) AS cents, k AS orderkey, to_pos FROM h WHERE state <> 'F' AND held <> 'gone')
+"""
+
 _STAGE_SQL = """
 WITH o AS (SELECT *, o_orderkey * 1000 + 500 AS pos, o_custkey % 25 AS n, round(o_totalprice * 100)::BIGINT AS cents FROM orders),
 s AS (SELECT *, CASE WHEN pos < (n + 1) * 40000 THEN 0 WHEN pos < (n + 1) * 50000 THEN 1 WHEN pos < (n + 1) * 52000 THEN 2
@@ -154,6 +194,13 @@ QUERIES = {
            UNION ALL SELECT db, 'orders', (k + 1) * 50000 + 3 * k + 2, 'id,note,customer,amount' FROM n
            UNION ALL SELECT db, 'orders', (k + 1) * 52000 + 3 * k, CASE WHEN k % 5 = 0 THEN 'id,amount' END FROM n WHERE k % 5 = 0 OR k % 7 = 3""",
     ),
+    "log_history": (log_history, _VERSION_SQL + "SELECT customer, state, cents, orderkey, nullif(orderkey, -1) AS from_pos, to_pos FROM v"),
+    "log_as_of": (
+        log_as_of,
+        _VERSION_SQL
+        + """SELECT customer, state, cents, orderkey, pos FROM v JOIN (SELECT unnest([max(o_orderkey) // 4, max(o_orderkey) // 2, max(o_orderkey)]) AS pos FROM orders)
+               ON orderkey <= pos AND (to_pos IS NULL OR to_pos > pos)""",
+    ),
     "log_transactions": (
         log_transactions,
         _TRANSACTION_SQL

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetledger.operators import links as L
+from fleetledger.operators.reach import reach
 from fleetledger.plans import reconcile as P
 from fleetledger.plans.tables import seconds, table
 from fleetledger.session import settle
@@ -179,6 +180,20 @@ def links_topology(spark, folder) -> DataFrame:
     return L.connections(_supplier_nodes(spark, folder), _edges(spark, folder, 1, 2)).select("host", "cluster", "clusterMaster", "connectionName")
 
 
+def links_reach(spark, folder) -> DataFrame:
+    """Ten suppliers are clusters in a chain; in some tens the chain bites its tail, some have more masters, some replicate from themselves."""
+    key = F.col("s_suppkey")
+    place, ten = key % 10, F.floor(key / 10)
+    masters = F.array_compact(
+        F.array(
+            F.when(place.between(1, 7), key - 1), F.when((place == 0) & (ten % 3 == 1), key + 3), F.when(place == 8, key - 6),
+            F.when((place == 8) & (ten > 0), key - 13), F.when((place == 9) & (ten % 4 == 1), key), F.when(place == 9, key - 2),
+        )
+    )
+    link = table(spark, folder, "supplier", "s_suppkey").select(_text("C", key).alias("clusterSlave"), F.explode(masters).alias("master"))
+    return reach(link.select("clusterSlave", _text("C", F.col("master")).alias("clusterMaster")))
+
+
 def links_weight(spark, folder) -> DataFrame:
     out = L.with_weight(_supplier_nodes(spark, folder), _supplier_weights(spark, folder))
     return out.select("cluster", "host", F.col("weight").cast("long").alias("weight"))
@@ -481,6 +496,21 @@ QUERIES = {
         "SELECT DISTINCT 'h' || user_id AS host, event_type AS connectionName FROM events WHERE value > 60",
     ),
     "links_topology": (links_topology, _TOPOLOGY + "SELECT host, cluster, clusterMaster, connectionName FROM pairs"),
+    "links_reach": (
+        links_reach,
+        """WITH RECURSIVE s AS (SELECT s_suppkey AS k, s_suppkey % 10 AS p, s_suppkey // 10 AS g FROM supplier),
+           l AS (SELECT k AS node, k - 1 AS master FROM s WHERE p BETWEEN 1 AND 7 UNION SELECT k, k + 3 FROM s WHERE p = 0 AND g % 3 = 1
+                 UNION SELECT k, k - 6 FROM s WHERE p = 8 UNION SELECT k, k - 13 FROM s WHERE p = 8 AND g > 0
+                 UNION SELECT k, k FROM s WHERE p = 9 AND g % 4 = 1 UNION SELECT k, k - 2 FROM s WHERE p = 9),
+           n AS (SELECT node FROM l UNION SELECT master FROM l),
+           r AS (SELECT node, master FROM l UNION SELECT r.node, l.master FROM r JOIN l ON r.master = l.node),
+           d AS (SELECT master AS node, 0 AS depth, 'C' || master AS head FROM l WHERE master NOT IN (SELECT node FROM l)
+                 UNION SELECT l.node, depth + 1, head FROM d JOIN l ON l.master = d.node WHERE depth < 30),
+           b AS (SELECT node, min(depth) AS depth FROM d GROUP BY 1),
+           h AS (SELECT node, depth, min(head) AS head FROM d JOIN b USING (node, depth) GROUP BY 1, 2)
+           SELECT 'C' || n.node AS cluster, depth, head, EXISTS (SELECT 1 FROM r WHERE r.node = n.node AND r.master = n.node) AS in_cycle
+           FROM n LEFT JOIN h ON h.node = n.node""",
+    ),
     "links_weight": (links_weight, _TOPOLOGY + "SELECT cluster, host, weight FROM node"),
     "links_register": (
         links_register,

@@ -12,6 +12,7 @@ from fleetledger.plans.tables import table
 from fleetledger.session import shared_folder
 from fleetledger.sources.ddl_text import read_ddl, schema_catalog
 from fleetledger.sources.event_text import events_from, read_events
+from fleetledger.streaming.events import start_events, written_events
 from fleetledger.streaming.replay import current_table, start_replay
 
 EXCLUDED = ["shop_7", "shop_11"]
@@ -111,18 +112,33 @@ def log_broken(spark, folder) -> DataFrame:
     return C.broken_events(events_from(docs)).select("pos")
 
 
-def log_rejoin(spark, folder) -> DataFrame:
-    """Document texts as events; in every third a line looks like the mark of an event."""
+def _marked_log(spark, folder) -> str:
+    """Where document texts stand as events; in every third a line looks like the mark of an event."""
     key, path = F.col("doc_id"), shared_folder(spark, "marked")
     false_mark = F.when(key % 3 == 0, text("\n# at ", key % 5, "\nand on")).when(key % 3 == 1, F.lit("\n# at the end")).otherwise(F.lit(""))
     body = text("# at ", key + 4, "\n#170921 20:28:37 server id 1  end_log_pos 9 \tQuery\n", F.col("text"), false_mark)
     name = text("bin.00000", key % 3 + 1)
     table(spark, folder, "documents", "doc_id", "text").select(name.alias("file"), body.alias("value")).write.partitionBy("file").text(path)
-    events = read_events(spark, path, rejoin=True)
+    return path
+
+
+def _said(events: DataFrame) -> DataFrame:
     said = F.expr("substring(record, instr(record, '\tQuery\n') + 7)")
     return events.select("file_no", "pos", F.sha2(F.rtrim(said, F.lit("\n")), 256).alias("text_sha256"))
 
 
+def log_rejoin(spark, folder) -> DataFrame:
+    """Texts with lines that look like marks, read whole."""
+    return _said(read_events(spark, _marked_log(spark, folder), rejoin=True))
+
+
+def log_rejoin_stream(spark, folder) -> DataFrame:
+    """The same as a stream of two files a batch."""
+    target, mark = shared_folder(spark, "events"), shared_folder(spark, "mark")
+    start_events(spark, _marked_log(spark, folder), target, mark, max_files=2).awaitTermination()
+    return _said(written_events(spark, target))
+
+
 def _order_changes(spark, folder) -> DataFrame:
     """Orders as changes of their customer's row: the order key is the log position, status F deletes."""
     row = F.struct(
@@ -283,6 +299,10 @@ _ACCOUNTS = """WITH c AS (SELECT *, o_orderkey AS k, round(o_totalprice * 100)::
 
 _NEWEST = "QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1"
 
+_REJOINED = """SELECT doc_id % 3 + 1 AS file_no, doc_id + 4 AS pos, sha256(rtrim(text || CASE doc_id % 3
+       WHEN 0 THEN chr(10) || '# at ' || (doc_id % 5) || chr(10) || 'and on' WHEN 1 THEN chr(10) || '# at the end' ELSE '' END, chr(10))) AS text_sha256
+FROM documents"""
+
 QUERIES = {
     "log_events": (
         log_events,
@@ -360,12 +380,8 @@ QUERIES = {
     ),
     "log_pass_through": (log_pass_through, _CTE + "SELECT file_no, mark + 2 AS pos, 'COMMIT/*!*/;' AS sql FROM o"),
     "log_broken": (log_broken, "SELECT doc_id + 4 AS pos FROM documents WHERE doc_id % 2 = 1"),
-    "log_rejoin": (
-        log_rejoin,
-        """SELECT doc_id % 3 + 1 AS file_no, doc_id + 4 AS pos, sha256(rtrim(text || CASE doc_id % 3
-                  WHEN 0 THEN chr(10) || '# at ' || (doc_id % 5) || chr(10) || 'and on' WHEN 1 THEN chr(10) || '# at the end' ELSE '' END, chr(10))) AS text_sha256
-           FROM documents""",
-    ),
+    "log_rejoin": (log_rejoin, _REJOINED),
+    "log_rejoin_stream": (log_rejoin_stream, _REJOINED),
     "log_replay": (
         log_replay,
         f"""WITH newest AS (SELECT * FROM orders {_NEWEST})
