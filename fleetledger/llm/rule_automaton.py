@@ -149,9 +149,20 @@ class Automaton:
         self.resets = (step == 0).all(axis=0)[self.byte_class]
         self.step = (step * self.n_classes).astype(np.int32).ravel()
         self.accepts_at = np.repeat(self.accepts, self.n_classes).astype(np.int64)
-        # For steps one by one, which only anchored automata take.
+        self._steps = self._accepted = None  # made when a walk first needs them
+        # For steps one by one from the start, which only anchored automata take.
         self._rows, self._class_list, self._accept_list = [] if searching else step.tolist(), self.byte_class.tolist(), self.accepts.tolist()
 
+    def walk(self, data: np.ndarray, state: int) -> tuple[int, int]:
+        """State and accepted bits after ``data``, entered in ``state`` (both as in ``step``)."""
+        if self._steps is None:
+            self._steps, self._accepted = self.step.tolist(), self.accepts_at.tolist()
+        steps, accepted, bits = self._steps, self._accepted, 0
+        for c in self.byte_class[data].tolist():
+            state = steps[state + c]
+            bits |= accepted[state]
+        return state, bits
+
     def longest(self, data: bytes, at: int) -> int:
         """End of the longest match that starts at ``at``; -1 for none."""
         state, end, rows, classes, accepts, dead = 0, -1, self._rows, self._class_list, self._accept_list, self.dead

@@ -2,7 +2,9 @@
 
 ``Scanner.flags`` runs the searching automaton over many stretches of text at once: a stretch
 ends after a byte that brings every state back to the start, so no match crosses its end, and
-the states of all stretches advance together, a byte a step.  Only stretches in which a rule
+the states of all stretches advance together, a byte a step.  Long stretches are cut into blocks that
+are run from the start state at once, and again from the state the block before them ends in, until that is the
+state they were run from.  Only stretches in which a rule
 has a match are looked at again: the rule's own anchored automaton gives leftmost, longest,
 non-overlapping spans, and matches that are too short are dropped.
 
@@ -37,6 +39,8 @@ RULES = (
 BASE = ("assign", "access", "hex")
 #: Bytes of a stretch, about, and bytes that are scanned together.
 STRETCH, TOGETHER = 1024, 1 << 23
+#: Bytes of a block of a stretch that no byte ends, and how often blocks are run together until their states agree.
+LONGEST, ROUNDS = 2048, 3
 
 
 class Scanner:
@@ -51,23 +55,49 @@ class Scanner:
 
     def flags(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and rule bits of the stretches of texts that lie one after the other and end at ``ends``."""
-        search = self.search
-        resets = np.flatnonzero(search.resets[data]) + 1
+        resets = np.flatnonzero(self.search.resets[data]) + 1
         cuts = np.searchsorted(resets, np.arange(STRETCH, len(data), STRETCH))
         stops = np.unique(np.concatenate([resets[cuts[cuts < len(resets)]], ends]))
         stops = stops[stops > 0]
-        starts = np.concatenate([[0], stops[:-1]])
-        order = np.argsort(starts - stops, kind="stable")  # longest first
-        begin, length = starts[order], (stops - starts)[order]
-        classes = search.byte_class[data]
-        state, found = np.zeros(len(order), np.int32), np.zeros(len(order), np.int64)
-        step, accepts = search.step, search.accepts_at
-        alive = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
-        for j, n in enumerate(alive):  # of the n stretches longer than j
-            now = step[state[:n] + classes[begin[:n] + j]]
+        starts = np.concatenate([[0], stops[:-1]])[: len(stops)]
+        if not len(stops):
+            return starts, stops, np.zeros(0, np.int64)
+        blocks = -(-(stops - starts) // LONGEST)
+        first = np.cumsum(blocks) - blocks
+        owner = np.repeat(np.arange(len(stops)), blocks)
+        nth = np.arange(len(owner)) - first[owner]
+        begin = starts[owner] + nth * LONGEST
+        end = np.minimum(begin + LONGEST, stops[owner])
+        into = np.zeros(len(owner), np.int32)
+        state, found = self._together(data, begin, end, into)
+        for _ in range(ROUNDS):
+            came = np.where(nth > 0, np.roll(state, 1), 0)
+            again = np.flatnonzero(came != into)
+            if not len(again):
+                break
+            into[again] = came[again]
+            state[again], found[again] = self._together(data, begin[again], end[again], into[again])
+        for k in np.flatnonzero(nth > 0):  # a match longer than some blocks: one after the other
+            if state[k - 1] != into[k]:
+                into[k] = state[k - 1]
+                state[k], found[k] = self.search.walk(data[begin[k] : end[k]], int(into[k]))
+        return starts, stops, np.bitwise_or.reduceat(found, first)
+
+    def _together(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, into: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Last state and rule bits of blocks that are entered in the states ``into``, all advanced a byte a step."""
+        search = self.search
+        order = np.argsort(begin - end, kind="stable")  # longest first
+        at, length = begin[order], (end - begin)[order]
+        state, found = into[order], np.zeros(len(order), np.int64)
+        step, accepts, byte_class = search.step, search.accepts_at, search.byte_class
+        alive = np.searchsorted(-length, -np.arange(length[0]), "left")
+        for j, n in enumerate(alive):  # of the n blocks longer than j
+            now = step[state[:n] + byte_class[data[at[:n] + j]]]
             state[:n] = now
             found[:n] |= accepts[now]
-        return begin, begin + length, found
+        last, bits = np.empty_like(state), np.empty_like(found)
+        last[order], bits[order] = state, found
+        return last, bits
 
     def spans(self, data: bytes, bits: int) -> list[tuple[int, int, int]]:
         """(start, end, rule) in bytes, of the rules in ``bits``."""
@@ -111,8 +141,8 @@ class Scanner:
         for i, spans in enumerate(out):
             if spans:
                 starts_here = np.cumsum((np.frombuffer(coded[i], np.uint8) & 0xC0) != 0x80)
-                place = np.concatenate([[0], starts_here]).tolist()
-                out[i] = [(self.rules[r].kind, place[a], place[b]) for a, b, r in sorted(spans, key=lambda x: (x[0], x[2]))]
+                place = np.concatenate([[0], starts_here])
+                out[i] = [(self.rules[r].kind, int(place[a]), int(place[b])) for a, b, r in sorted(spans, key=lambda x: (x[0], x[2]))]
         return out
 
 

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import string
+import time
 
 import numpy as np
 import pytest
@@ -39,6 +41,29 @@ def test_secret_spans(monkeypatch):
     assert secret_scan.scanner().scan(texts) == [spans_by_re(t) for t in texts]
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_secret_spans_over_blocks(monkeypatch, rounds):
+    for name, value in {"STRETCH": 16, "LONGEST": 7, "ROUNDS": rounds}.items():
+        monkeypatch.setattr(secret_scan, name, value)
+    joins = [t.replace("\n", "").replace(",", "") for t in secret_texts(900)]  # few bytes are left that end a stretch
+    texts = [*joins, "".join(joins[:100]), *secret_texts(100), "", "é"]
+    assert secret_scan.scanner().scan(texts) == [spans_by_re(t) for t in texts]
+
+
+def test_secrets_of_long_lines():
+    rng = random.Random(5)
+    words = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(180_000))
+    digits, code = "".join(rng.choices("0123456789abcdef", k=1_000_000)), "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=1_000_000))
+    texts = [words, digits, code, words[:500_000] + " " + digits[:30] + " " + words[500_000:], words[:700] + "secret=" + code, "eyJ" * 300_000, "token" + " " * 10**6]
+    start = time.process_time()
+    found = secret_scan.scanner().scan(texts)
+    assert time.process_time() - start < sum(map(len, texts)) / 1e6  # a second a million bytes, four times what it takes
+    # The plain search is too slow for the rule of assignments on some of these; the others are told by their making.
+    assert found[1] == [("hex", 0, 10**6)] and found[0] == spans_by_re(words)
+    assert [s for s in found[3] if s[0] == "hex"] == [("hex", 500_001, 500_031)]
+    assert ("assign", 700, 700 + 7 + 10**6) in found[4] and found[5] == found[6] == []
+
+
 def test_secret_column(spark):
     rows = documents(spark).withColumn("found", secret_scan.secret_spans(F.col("text"))).collect()
     assert len(rows) == len(TEXTS) + 2 and all([tuple(s) for s in r.found] == spans_by_re(r.text or "") for r in rows)
