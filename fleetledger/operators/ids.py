@@ -11,7 +11,7 @@ from fleetledger.operators.names import free_name
 # monotonically_increasing_id() keeps the partition above bit 33; 2^33 rows at
 # 4096 a millisecond fill 2^21 milliseconds.
 _ROW_BITS = 33
-_PARTITION_STRIDE_MS = 1 << 21
+PARTITION_STRIDE_MS = 1 << 21
 
 
 def with_snowflake_id(df: DataFrame, ts: Column, machine, order: list[Column], name: str = "id") -> DataFrame:
@@ -39,7 +39,7 @@ def with_bulk_snowflake_id(df: DataFrame, base_ms: int, name: str = "id") -> Dat
     rows = df.withColumn(own, mono)
     part = F.shiftright(F.col(own), _ROW_BITS)
     row = F.col(own).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    ms = F.lit(base_ms) + F.shiftright(row, 12) + F.shiftright(part, 10) * F.lit(_PARTITION_STRIDE_MS)
+    ms = F.lit(base_ms) + F.shiftright(row, 12) + F.shiftright(part, 10) * F.lit(PARTITION_STRIDE_MS)
     return rows.withColumn(
         name, assemble(ms, part.bitwiseAND(F.lit(MACHINES - 1)), row.bitwiseAND(F.lit(SEQUENCES - 1)))
     ).drop(*{own} - {name})

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetledger.functions.ids import snowflake, snowflake_floor, snowflake_parts
 from fleetledger.operators.ids import with_bulk_snowflake_id, with_snowflake_id
 from fleetledger.plans.tables import table
+from fleetledger.session import shared_folder
+from fleetledger.streaming.ids import start_bulk_ids
 
 
 def _orders(spark, folder) -> DataFrame:
@@ -53,6 +55,18 @@ def ids_bulk_count(spark, folder) -> DataFrame:
     return ids.agg(F.count("id").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
 
 
+def ids_bulk_stream(spark, folder) -> DataFrame:
+    """Lines of orders numbered by a stream of four files in two starts; how many rows have the identifier of each."""
+    source, target, mark = (shared_folder(spark, p) for p in ("lines", "numbered", "mark"))
+    lines = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber")
+    for half in (0, 1):
+        lines.where(F.col("l_orderkey") % 2 == half).repartition(2).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        start_bulk_ids(stream, target, mark, 1700000000000).awaitTermination()
+    same = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    return spark.read.parquet(target).select("l_orderkey", "l_linenumber", same.alias("n_same"))
+
+
 _COMPOSED = """
 WITH parts AS (
   SELECT event_id, (epoch_us(ts) + 500) // 1000 AS ms,
@@ -84,5 +98,6 @@ QUERIES = {
         _COMPOSED
         + "SELECT event_id, id FROM ids WHERE ms >= epoch_ms(TIMESTAMP '2024-01-10') AND ms < epoch_ms(TIMESTAMP '2024-01-12')",
     ),
+    "ids_bulk_stream": (ids_bulk_stream, "SELECT l_orderkey, l_linenumber, 1 AS n_same FROM lineitem"),
     "ids_bulk_count": (ids_bulk_count, "SELECT count(*) AS n_rows, count(*) AS n_ids FROM lineitem"),
 }

@@ -13,7 +13,7 @@ from fleetledger.session import shared_folder
 from fleetledger.sources.ddl_text import read_ddl, schema_catalog
 from fleetledger.sources.event_text import events_from, read_events
 from fleetledger.streaming.events import start_events, written_events
-from fleetledger.streaming.replay import current_table, start_replay
+from fleetledger.streaming.replay import compact, current_table, start_replay
 
 EXCLUDED = ["shop_7", "shop_11"]
 
@@ -182,6 +182,24 @@ def log_replay_stream(spark, folder) -> DataFrame:
     return current_table(spark, state, ["customer"])
 
 
+def log_replay_merge_stream(spark, folder) -> DataFrame:
+    """The same in three batches; the first two are merged before the stream goes on, the third after it."""
+    source, state, mark = (shared_folder(spark, p) for p in ("changes", "state", "mark"))
+    changes = _order_changes(spark, folder)
+
+    def run(third: int) -> None:
+        changes.where(F.col("pos") % 3 == third).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        start_replay(stream, ["customer"], state, mark, buckets=4).awaitTermination()
+
+    run(2)
+    run(0)
+    compact(spark, state, ["customer"])
+    run(1)
+    compact(spark, state, ["customer"], running=False)
+    return current_table(spark, state, ["customer"])
+
+
 ACCOUNT = T.StructType(
     [T.StructField(n, k) for n, k in (("id", T.LongType()), ("note", T.BinaryType()), ("state", T.StringType()), ("cents", T.LongType()), ("day", T.DateType()), ("seen", T.TimestampType()))]
 )
@@ -422,4 +440,10 @@ QUERIES = {
             SELECT o_custkey AS customer, o_orderstatus AS state, round(o_totalprice * 100)::BIGINT AS cents, o_orderkey AS orderkey
             FROM newest WHERE o_orderstatus <> 'F'""",
     ),
+    "log_replay_merge_stream": (
+        log_replay_merge_stream,
+        f"""WITH newest AS (SELECT * FROM orders {_NEWEST})
+            SELECT o_custkey AS customer, o_orderstatus AS state, round(o_totalprice * 100)::BIGINT AS cents, o_orderkey AS orderkey
+            FROM newest WHERE o_orderstatus <> 'F'""",
+    ),
 }

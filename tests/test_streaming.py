@@ -1,4 +1,5 @@
 import random
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 
 from fleetledger.operators.changelog import apply_changes
 from fleetledger.streaming.heartbeats import heartbeat_gaps, silent_now
-from fleetledger.streaming.replay import compact_state, current_table, start_replay
+from fleetledger.streaming.ids import start_bulk_ids
+from fleetledger.streaming.replay import compact, compact_state, current_table, merge_input, start_replay, unused_folders
 from fleetledger.streaming.silence import silence_alerts, timers
 
 START = datetime(2024, 1, 1)
@@ -128,3 +130,83 @@ def test_silence_is_told_by_timers_and_survives_a_restart(spark, tmp_path):
     done = run()
     assert done == {h: told_by_loop(o, 5000) for h, o in every.items()}
     assert done["a"] == [("back", 300, 3900), ("silent", 300, 479), ("silent", 3900, 4079)] and ("silent", 0, 179) in done["c"] and ("silent", 179, 358) not in done["b"]
+
+
+def test_replay_state_is_merged_while_the_stream_runs(spark, tmp_path):
+    source, state, mark = tmp_path / "in", str(tmp_path / "state"), str(tmp_path / "mark")
+    rng, rows = random.Random(3), []
+    total = lambda: spark.createDataFrame(rows, CHANGES)
+    stream = lambda: spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(str(source))
+
+    def put(keys, n=30):
+        new = []
+        for _ in range(n):
+            key, at = rng.choice(keys), len(rows) + len(new)
+            new.append((1, at, 0, "DELETE", (key, "x"), None) if rng.random() < 0.2 else (1, at, 0, "INSERT", None, (key, f"v{at}")))
+        rows.extend(new)
+        spark.createDataFrame(new, CHANGES).coalesce(1).write.mode("append").parquet(str(source))
+
+    def run():
+        start_replay(stream(), ["id"], state, mark, buckets=8).awaitTermination()
+        return table()
+
+    def table():
+        return sorted(map(tuple, current_table(spark, state, ["id"]).collect()))
+
+    def expected():
+        return sorted(map(tuple, apply_changes(None, total(), ["id"]).collect()))
+
+    put(range(40))
+    assert run() == expected()
+    assert compact(spark, state, ["id"]) == 0 and unused_folders(spark, state) == []  # the newest batch may still be written
+    put(range(40))
+    put(range(40))
+    assert run() == expected()
+    assert compact(spark, state, ["id"]) == 1 and table() == expected()
+    old = unused_folders(spark, state)
+    assert len(old) == 2 and all(f.startswith("delta=") for f in old)
+    assert compact(spark, state, ["id"], running=False) == 2 and table() == expected()
+    # One key: one bucket is read, merged and replaced, the others stay.
+    put([7])
+    assert run() == expected()
+    images, _, buckets = merge_input(spark, state, running=False)
+    read = {r.f.split("bucket=")[1].split("/")[0] for r in images.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert len(buckets) == 1 and read == {str(buckets[0])}
+    scans = images._jdf.queryExecution().executedPlan().toString().split("FileScan")[1:]
+    assert any("bucket" in scan.split("PartitionFilters: [")[1].split("]")[0] for scan in scans)
+    assert compact(spark, state, ["id"], running=False) == 3 and table() == expected()
+    assert compact(spark, state, ["id"], running=False) == 3  # nothing new
+    # Tombstones go where no older change can come; other folders are not needed any more.
+    put([7])
+    run()
+    compact(spark, state, ["id"], {"file_no": 99}, running=False)
+    assert table() == expected()
+    for folder in unused_folders(spark, state):
+        shutil.rmtree(f"{state}/{folder}")
+    assert table() == expected() and unused_folders(spark, state) == []
+    put(range(40))
+    assert run() == expected()
+
+
+def test_bulk_ids_of_a_stream(spark, tmp_path):
+    source, target, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+
+    def run(low, high):
+        spark.range(low, high).repartition(2).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(source)
+        start_bulk_ids(stream, target, mark, 1_700_000_000_000, "number").awaitTermination()
+        rows = spark.read.parquet(target)
+        assert rows.count() == rows.select("number").distinct().count() == high
+        ends = rows.groupBy("batch").agg(F.min("number").alias("low"), F.max("number").alias("high")).orderBy("batch").collect()
+        assert all(a.high < b.low for a, b in zip(ends, ends[1:]))
+        return {r.id: (r.number, r.batch) for r in rows.collect()}
+
+    first = run(0, 9_000)
+    second = run(9_000, 20_000)
+    assert all(second[i] == n for i, n in first.items())
+    # The last batch was not marked as done: it is run again, over the same range.
+    last = max(b for _, b in second.values())
+    (tmp_path / "mark" / "commits" / str(last)).unlink()
+    (tmp_path / "mark" / "commits" / f".{last}.crc").unlink(missing_ok=True)
+    third = run(20_000, 20_001)
+    assert all(third[i] == n for i, n in second.items())
