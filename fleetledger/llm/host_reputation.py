@@ -6,7 +6,11 @@ its registered domains, a domain's that of its hosts.  The prior's weight at eac
 fitted to the data: a beta-binomial's variance gives the correlation within the groups of
 that level (method of moments), kept between ``CORRELATION``'s bounds, and a correlation r
 is worth 1 / r - 1 observations.  A host is blocked if the lower bound of its bad
-rate, the posterior mean less ``Z`` standard deviations, exceeds ``BAD``.
+rate, the posterior mean less ``Z`` standard deviations, exceeds the bar: the rate with ``ODDS`` times the odds of all
+labelled pages, ``BAD`` at most.  An absolute bar alone would say nothing where few pages are bad.
+
+The lower bound of the correlation makes a prior worth 49 pages at most: hosts are run one by one, so a host with
+50 labelled pages counts as much as its domain, however alike the hosts of the domain have been.
 
 Counts are combined before every shuffle and levels hold one row per group, so a host of
 any share of the pages costs one row a task.  The counts of hosts are stored once; the
@@ -25,10 +29,10 @@ from pyspark.sql import functions as F
 
 from fleetledger.session import settle
 
-#: Bounds of the fitted correlation within groups, standard deviations of the bound, rate above which a host is blocked.
-CORRELATION, Z, BAD = (0.001, 0.5), 1.645, 0.5
-#: Suffixes of two labels; any other suffix is the last label.
-SUFFIXES = ("co.uk", "org.uk", "com.au", "co.jp", "co.nz", "com.br")
+#: Bounds of the fitted correlation within groups, standard deviations of the bound, odds of the bar over those of all pages, highest bar.
+CORRELATION, Z, ODDS, BAD = (0.02, 0.5), 1.645, 2.0, 0.5
+#: Kinds of registration that countries have under their own label: ``co.uk``, ``com.au`` and so on.
+KINDS = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "mil", "ne", "net", "or", "org")
 #: Most rules that a call takes; they become one expression.
 MOST_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,7 +62,9 @@ def matching_rule(rules: dict[str, str]) -> Column:
 def registered_domain(host: Column) -> Column:
     """The suffix and one label more; the host itself if it has no more."""
     labels = F.split(host, r"\.")
-    long_suffix = F.array_join(F.slice(labels, -2, 2), ".").isin(*SUFFIXES) & (F.size(labels) > 2)
+    # Suffixes of two labels: a kind of registration below a country's label of two letters.
+    country = F.char_length(F.element_at(labels, -1)) == 2
+    long_suffix = F.when(F.size(labels) > 2, country & F.element_at(labels, -2).isin(*KINDS)).otherwise(False)
     keep = F.least(F.when(long_suffix, 3).otherwise(2), F.size(labels))
     return F.array_join(F.slice(labels, -keep, keep), ".")
 
@@ -93,7 +99,9 @@ def host_reputation(pages: DataFrame) -> DataFrame:
     judged = _shrunk(hosts, middle, "domain")
     total, mean = F.col("a") + F.col("b"), F.col("a") / (F.col("a") + F.col("b"))
     bound = mean - Z * F.sqrt(mean * (1 - mean) / (total + 1))
-    return judged.select("host", "n", "a", "b", bound.alias("bound"), (bound > BAD).alias("blocked"))
+    odds = ODDS * (F.sum("bad") + 0.5) / (F.sum("n") - F.sum("bad") + 0.5)
+    bar = suffixes.agg(F.least(F.lit(BAD), odds / (1 + odds))).scalar()
+    return judged.select("host", "n", "a", "b", bound.alias("bound"), (bound > bar).alias("blocked"))
 
 
 def judge_urls(pages: DataFrame, rules: dict[str, str], bad: Column | None = None, id_column: str = "page_id", url: str = "url") -> DataFrame:

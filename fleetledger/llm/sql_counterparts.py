@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetledger.llm.host_reputation import BAD, CORRELATION, SUFFIXES, Z
+from fleetledger.llm.host_reputation import BAD, CORRELATION, KINDS, ODDS, Z
 from fleetledger.llm.line_neighbours import ANCHOR, EXACT_WORDS, NEAR_WORDS
 
 
@@ -18,7 +18,7 @@ def url_verdicts(rules: dict[str, str]) -> str:
 {name} AS (SELECT {keys}, n, bad, w * m + bad AS a, w * (1 - m) + n - bad AS b FROM {name}_m, {name}_w)"""
 
     listed = ", ".join(f"('{rule}', '{rule.split('/', 1)[0]}', '/{rule.split('/', 1)[1]}', '{verdict}')" for rule, verdict in rules.items())
-    long = ", ".join(f"'{x}'" for x in SUFFIXES)
+    long = ", ".join(f"'{x}'" for x in KINDS)
     return f"""
 WITH rules(rule, h, p, v) AS (VALUES {listed}),
 cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
@@ -30,7 +30,7 @@ fitting AS (SELECT host, path, max_by(rule, length(rule)) AS rule, max_by(v, len
     ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
 judged AS (SELECT page_id, split.host, split.path, rule, v FROM split LEFT JOIN fitting USING (host, path)),
 labels_of AS (SELECT host, count(v) AS n, count(*) FILTER (v = 'block') AS bad, string_split(host, '.') AS l FROM judged GROUP BY host),
-kept AS (SELECT host, n, bad, l, least(CASE WHEN array_to_string(l[-2:], '.') IN ({long}) AND len(l) > 2 THEN 3 ELSE 2 END, len(l)) AS k FROM labels_of),
+kept AS (SELECT host, n, bad, l, least(CASE WHEN len(l) > 2 AND len(l[-1]) = 2 AND l[-2] IN ({long}) THEN 3 ELSE 2 END, len(l)) AS k FROM labels_of),
 hosts0 AS (SELECT host, n, bad, array_to_string(l[-k:], '.') AS domain FROM kept),
 hosts1 AS (SELECT *, regexp_replace(domain, '^[^.]*\\.', '') AS suffix FROM hosts0),
 domains1 AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts1 GROUP BY ALL),
@@ -38,7 +38,8 @@ suffixes1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains1 GROUP BY
 {level("tops", "suffixes1", "suffix", "SELECT *, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM suffixes1) AS m FROM suffixes1").strip()},
 {level("middles", "domains1", "suffix, domain", "SELECT d.*, a / (a + b) AS m FROM domains1 d JOIN tops USING (suffix)").strip()},
 {level("lows", "hosts1", "host", "SELECT h.*, a / (a + b) AS m FROM hosts1 h JOIN middles USING (suffix, domain)").strip()},
-verdicts AS (SELECT host, a / (a + b) - {Z} * sqrt(a * b / pow(a + b, 2) / (a + b + 1)) > {BAD} AS blocked FROM lows)
+odds AS (SELECT {ODDS} * (sum(bad) + 0.5) / (sum(n) - sum(bad) + 0.5) AS o FROM suffixes1),
+verdicts AS (SELECT host, a / (a + b) - {Z} * sqrt(a * b / pow(a + b, 2) / (a + b + 1)) > least({BAD}, o / (1 + o)) AS blocked FROM lows, odds)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM judged JOIN verdicts USING (host)"""
 
 
