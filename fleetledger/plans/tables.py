@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.session import tune
-
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Columns of one table; zone-less timestamps are read as UTC."""
-    df = tune(spark).read.parquet(f"{folder}/{name}.parquet")
+    """Columns of one table; zone-less timestamps are read as of the session's zone, UTC in sessions of this library."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
     chosen = columns or df.columns
     kinds = dict(df.dtypes)
     return df.select(*[F.col(c).cast("timestamp").alias(c) if kinds[c] == "timestamp_ntz" else F.col(c) for c in chosen])
