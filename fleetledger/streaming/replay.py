@@ -82,7 +82,8 @@ def start_replay(
 
 
 def _write(images: DataFrame, keys: list[str], buckets: int, folder: str) -> None:
-    images.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    dealt = images.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)  # one file a bucket, not one a task and bucket
 
 
 def _after(merged: dict[str, int]) -> Column:
