@@ -14,11 +14,14 @@ from fleetledger.operators import links as L
 from fleetledger.operators.reach import reach
 from fleetledger.plans import reconcile as P
 from fleetledger.plans.tables import seconds, table
-from fleetledger.session import settle
+from fleetledger.session import settle, shared_folder
+from fleetledger.streaming import reconcile as S
 from fleetledger.streaming.heartbeats import heartbeat_gaps, silent_now
 
 NOW = "2024-01-31 00:00:00"
 TIMEOUT = 172800
+#: Days after NOW at which the stream of reports has a snapshot.
+DAYS = (0, 1, 3, 6)
 
 
 def _text(*parts):
@@ -226,12 +229,12 @@ def links_master(spark, folder) -> DataFrame:
     return L.choose_master(cluster, probes)
 
 
-def _fleet(spark, folder) -> dict:
-    """All inputs of the reconciliation, on two links per cluster."""
+def _places(spark, folder) -> DataFrame:
+    """Hosts on two links per cluster."""
     user, k = F.col("user_id"), F.col("k")
     nth = F.floor(user / 25)
     kinds = {"view": "b1", "click": "b2", "error": "u1", "purchase": "u2"}
-    users = settle(
+    return settle(
         table(spark, folder, "events", "user_id", "event_type", "ts")
         .groupBy("user_id")
         .agg(*[F.max(F.when(F.col("event_type") == kind, F.col("ts"))).alias(name) for kind, name in kinds.items()])
@@ -243,7 +246,11 @@ def _fleet(spark, folder) -> dict:
             F.when(k == 1, F.col("u1")).otherwise(F.col("u2")).alias("lastUpdate"),
         )
     )
-    nth = F.col("nth")
+
+
+def _fleet(spark, folder) -> dict:
+    """All inputs of the reconciliation."""
+    users, user, k, nth = _places(spark, folder), F.col("user_id"), F.col("k"), F.col("nth")
     known = users.where(((user + k) % 6 != 5) & F.col("lastHeartbeat").isNotNull() & F.col("lastUpdate").isNotNull())
     repl = known.select(
         "host", (user % 2).cast("int").alias("weight"), F.when(user % 13 != 0, (nth + 1) % 5).cast("int").alias("localIndex"),
@@ -293,6 +300,33 @@ def links_alerts(spark, folder) -> DataFrame:
     return P.alerts(P.reconcile(**_fleet(spark, folder)))
 
 
+def _reports(spark, folder, day: int) -> DataFrame:
+    """What four fifths of the nodes report ``day`` days after NOW."""
+    users, user, k, nth = _places(spark, folder), F.col("user_id"), F.col("k"), F.col("nth")
+    return users.join(_nodes(spark, folder), "host").where((user + day) % 5 != 4).select(
+        (F.lit(NOW).cast("timestamp") + F.make_dt_interval(F.lit(day))).alias("at"), "cluster", "host", "localIndex", "sane", "connectionName",
+        F.when((user * 5 + k + day) % 3 == 0, F.lit("10.0.0.1")).alias("Master_Host"), F.lit("Waiting").alias("Slave_IO_State"),
+        _pick(user * 3 + nth * 2 + k + day, "Yes", "Yes", "Connecting", "No").alias("Slave_IO_Running"),
+        _pick(user + nth + day, "Yes", "Yes", "No", "Connecting").alias("Slave_SQL_Running"),
+        (((user + k + day) % 3 == 0) | ((user + 2 * k + day) % 4 == 0)).alias("reachable"),
+    )
+
+
+def links_reconcile_stream(spark, folder) -> DataFrame:
+    """Four snapshots from a stream of reports, each judged on what the one before left."""
+    own, fleet = shared_folder(spark, "link-reports"), _fleet(spark, folder)
+    for day in DAYS:
+        _reports(spark, folder, day).write.parquet(f"{own}/source/{day}")
+    stream = spark.readStream.schema(S.REPORT).option("maxFilesPerTrigger", 2).parquet(f"{own}/source/*")
+    S.start_reconcile(stream, fleet["repl"], fleet["link"], fleet["weight"], f"{own}/state", f"{own}/mark", TIMEOUT).awaitTermination()
+    S.judge_open(spark, f"{own}/state", fleet["link"], fleet["weight"], TIMEOUT)
+    return S.snapshots(spark, f"{own}/state").select(
+        seconds("at").alias("at"), "host", "connectionName", F.col("weight").cast("long").alias("weight"),
+        F.col("localIndex").cast("long").alias("localIndex"), "isSlave", seconds("lastUpdate").alias("updated"),
+        seconds("lastHeartbeat").alias("beat"), "previous", "rule", "action", F.size("alerts").cast("long").alias("n_alerts"),
+    )
+
+
 def links_gaps(spark, folder) -> DataFrame:
     beats = table(spark, folder, "events", "user_id", "ts")
 
@@ -340,7 +374,7 @@ WITH pivoted AS (
 nodes AS (SELECT * FROM pivoted WHERE cluster IS NOT NULL AND host IS NOT NULL)
 """
 
-_FLEET = (
+_SIDE = (
     _NODES
     + """,
 users AS (
@@ -355,7 +389,7 @@ spots AS (
   FROM users CROSS JOIN (VALUES (1), (2)) AS steps(k)),
 now_at AS (SELECT epoch_us(TIMESTAMP '2024-01-31') // 1000000 AS now_s),
 side AS (
-  SELECT s.host, s.conn, 'C' || (s.user_id % 25) AS cluster, n.host IS NOT NULL AS reports,
+  SELECT s.user_id, s.k, s.nth, s.host, s.conn, 'C' || (s.user_id % 25) AS cluster, n.host IS NOT NULL AS reports,
          n.host IS NOT NULL AND n.sane = 1 AS sane, n.localIndex AS nodeIndex,
          CASE WHEN s.user_id % 4 = 1 THEN 1 ELSE 0 END AS nodeWeight,
          (s.user_id * 5 + s.k) % 3 = 0 AS replicating,
@@ -367,12 +401,20 @@ side AS (
          CASE (s.user_id * 7 + s.nth + s.k) % 4 WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' WHEN 2 THEN 'Proposed' ELSE 'Failed' END AS state,
          s.beat, s.updated, now_s
   FROM spots s LEFT JOIN nodes n ON n.host = s.host CROSS JOIN now_at),
+"""
+)
+
+_SNAP = """
 snap AS (
   SELECT host, conn, cluster, reports, sane, nodeIndex, nodeWeight, replicating, io, sq, reachable, now_s,
          CASE WHEN known THEN weight END AS weight0, CASE WHEN known THEN localIndex END AS index0,
          CASE WHEN known THEN state END AS state0, CASE WHEN known THEN beat END AS beat0, CASE WHEN known THEN updated END AS updated0,
          reports AND sane AND NOT replicating AS idle
   FROM side WHERE reports OR known),
+"""
+
+#: From one snapshot to the new states and the alerts.
+_RULES = """
 leader AS (
   SELECT conn, host AS leader, now_s - beat0 AS age FROM snap WHERE state0 = 'Yes'
   QUALIFY row_number() OVER (PARTITION BY conn ORDER BY index0 NULLS FIRST, host) = 1),
@@ -448,7 +490,39 @@ alert AS (
   UNION ALL SELECT conn, host, 'Two slaves',
     'Two nodes were slaves for the cluster ' || cluster || ', stopping slave on node ' || host FROM final WHERE surplus)
 """
-)
+
+_FLEET = _SIDE + _SNAP + _RULES
+
+_STATES = """
+SELECT now_s, host, conn, weight, localIndex, state, beat, previous, rule, action,
+       CASE WHEN state IS NOT NULL AND (state IS DISTINCT FROM state0 OR weight IS DISTINCT FROM weight0
+            OR localIndex IS DISTINCT FROM index0 OR beat IS DISTINCT FROM beat0) THEN now_s ELSE updated0 END AS updated,
+       (SELECT count(*) FROM alert a WHERE a.host = f.host AND a.connectionName = f.conn) AS n_alerts
+FROM final f
+"""
+
+
+def _fold_sql() -> str:
+    """The rules applied to one snapshot after the other."""
+    steps, before = ["known AS (SELECT host, conn, weight, localIndex, state, beat, updated FROM side WHERE known)"], "known"
+    for day in DAYS:
+        snap = f"""
+          snap AS (
+            SELECT * REPLACE (reports AND sane AS sane), reports AND sane AND NOT replicating AS idle FROM (
+              SELECT s.host, s.conn, s.cluster, s.reports AND (s.user_id + {day}) % 5 <> 4 AS reports, s.sane, nodeIndex, nodeWeight,
+                     (s.user_id * 5 + s.k + {day}) % 3 = 0 AS replicating,
+                     CASE (s.user_id * 3 + s.nth * 2 + s.k + {day}) % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'Yes' WHEN 2 THEN 'Connecting' ELSE 'No' END AS io,
+                     CASE (s.user_id + s.nth + {day}) % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'Yes' WHEN 2 THEN 'No' ELSE 'Connecting' END AS sq,
+                     (s.user_id + s.k + {day}) % 3 = 0 OR (s.user_id + 2 * s.k + {day}) % 4 = 0 AS reachable, s.now_s + {day * 86400} AS now_s,
+                     b.weight AS weight0, b.localIndex AS index0, b.state AS state0, b.beat AS beat0, b.updated AS updated0
+              FROM side s LEFT JOIN {before} b ON b.host = s.host AND b.conn = s.conn)
+            WHERE reports OR state0 IS NOT NULL),"""
+        steps.append(f"told{day} AS MATERIALIZED (WITH {snap} {_RULES} {_STATES})")
+        steps.append(f"left{day} AS (SELECT * FROM told{day} WHERE state IS NOT NULL)")
+        before = f"left{day}"
+    every = " UNION ALL ".join(f"SELECT * FROM told{day}" for day in DAYS)
+    return f"""{_SIDE} {", ".join(steps)}
+        SELECT now_s AS at, host, conn AS connectionName, weight, localIndex, state AS isSlave, updated, beat, previous, rule, action, n_alerts FROM ({every})"""
 
 
 def _gap_sql(gap: int) -> str:
@@ -575,6 +649,7 @@ QUERIES = {
                     (SELECT count(*) FROM alert a WHERE a.host = f.host AND a.connectionName = f.conn) AS n_alerts
              FROM final f""",
     ),
+    "links_reconcile_stream": (links_reconcile_stream, _fold_sql()),
     "links_alerts": (links_alerts, _FLEET + "SELECT connectionName, host, subject, body FROM alert"),
     "links_gaps": (links_gaps, _gap_sql(21600) + " UNION ALL " + _gap_sql(179)),
     "links_silent": (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetledger.operators.links import duplicate_leaders
 from fleetledger.plans.reconcile import alerts, next_snapshot, reconcile
+from fleetledger.streaming import reconcile as S
 
 NOW = datetime(2024, 1, 31)
 REPL = "host string, weight int, localIndex int, isSlave string, lastUpdate timestamp, lastHeartbeat timestamp, connectionName string"
@@ -146,3 +147,74 @@ def test_repeated_reports_give_one_row(spark):
     twice = {k: v.unionAll(v) if k in ("repl", "nodes", "link_status", "weight", "masters") else v for k, v in fleet.items()}
     one, two = (reconcile(**f) for f in (fleet, twice))
     assert one.count() == two.count() > 0 and one.exceptAll(two).count() == 0
+
+
+def _report(minute, host, conn="X-Y", master=None, io=None, sql=None, reachable=False, index=0):
+    at = None if minute is None else NOW + timedelta(minutes=minute)
+    return (at, "X", host, index, True, conn, master, "Waiting", io, sql, reachable)
+
+
+def _inputs(spark):
+    return (
+        spark.createDataFrame([], REPL), spark.createDataFrame([("X", "Y")], "clusterSlave string, clusterMaster string"),
+        spark.createDataFrame([("X", "a", 5)], "cluster string, nodename string, weight int"),
+    )
+
+
+def _feed(spark, folder, name, rows):
+    spark.createDataFrame(rows, S.REPORT).coalesce(1).write.parquet(f"{folder}/in/{name}")
+
+
+def _run(spark, folder, inputs, **more):
+    stream = spark.readStream.schema(S.REPORT).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    S.start_reconcile(stream, *inputs, f"{folder}/state", f"{folder}/mark", **more).awaitTermination()
+
+
+def _told(spark, folder):
+    minute = (F.unix_timestamp("at") - F.unix_timestamp(F.lit(NOW))) / 60
+    return sorted((int(r.m), r.host, r.isSlave, r.rule) for r in S.snapshots(spark, f"{folder}/state").select("*", minute.alias("m")).collect())
+
+
+def test_a_stream_elects_a_leader_over_snapshots_and_restarts(spark, tmp_path):
+    folder, inputs = str(tmp_path), _inputs(spark)
+    _feed(spark, folder, 1, [_report(0, "a"), _report(0, "c", conn=None, index=2)])
+    _feed(spark, folder, 2, [_report(0, "b", index=1), _report(1, "a", reachable=True), _report(None, "x")])  # the minute before ends here
+    _run(spark, folder, inputs)
+    assert {r[:3] for r in _told(spark, folder)} == {(0, "a", "Proposed"), (0, "b", "No"), (0, "c", "No")}
+    # A restart: minute 1 gets its second node, minute 2 ends it; a report of minute 0 is late.
+    _feed(spark, folder, 3, [_report(1, "b", index=1), _report(0, "late")])
+    _feed(spark, folder, 4, [_report(2, "a", master="m", io="Yes", sql="Yes"), _report(2, "b", index=1), _report(2, "a", master="m", io="Yes", sql="Yes")])
+    _run(spark, folder, inputs)
+    assert [r for r in _told(spark, folder) if r[0] == 1] == [(1, "a", "Yes", "E1"), (1, "b", "No", "E3"), (1, "c", "No", None)]
+    assert max(r[0] for r in _told(spark, folder)) == 1
+    S.judge_open(spark, f"{folder}/state", *inputs[1:])
+    assert [r for r in _told(spark, folder) if r[0] == 2] == [(2, "a", "Yes", "P3"), (2, "b", "No", "T5"), (2, "c", "No", None)]
+    assert sorted(r.host for r in S.late_reports(spark, f"{folder}/state").collect()) == ["late", "x"]
+    assert [(r.host, r.subject) for r in S.alert_feed(spark, f"{folder}/state").collect()] == [("a", "New slave")]
+    assert {(r.host, r.isSlave, r.weight) for r in S.current_links(spark, f"{folder}/state").collect()} == {("a", "Yes", 5), ("b", "No", 0), ("c", "No", 0)}
+
+
+def test_a_batch_that_is_run_again_judges_the_same(spark, tmp_path):
+    folder, inputs = str(tmp_path), _inputs(spark)
+    _feed(spark, folder, 1, [_report(0, "a"), _report(1, "a", reachable=True)])
+    _feed(spark, folder, 2, [_report(2, "a", master="m", io="Yes", sql="No"), _report(3, "a")])
+    _run(spark, folder, inputs)
+    told, alerted = _told(spark, folder), S.alert_feed(spark, f"{folder}/state").count()
+    assert [r[:3] for r in told] == [(0, "a", "Proposed"), (1, "a", "Yes"), (2, "a", "Failed")]
+    # The end of the second batch is lost, so the stream runs it again on its own output.
+    (tmp_path / "mark" / "commits" / "1").unlink()
+    (tmp_path / "mark" / "commits" / ".1.crc").unlink(missing_ok=True)
+    _run(spark, folder, inputs)
+    assert _told(spark, folder) == told and S.alert_feed(spark, f"{folder}/state").count() == alerted == 2
+
+
+def test_lateness_keeps_a_time_open_and_an_empty_stream_judges_nothing(spark, tmp_path):
+    folder, inputs = str(tmp_path), _inputs(spark)
+    _feed(spark, folder, 0, [])
+    _run(spark, folder, inputs, lateness=60)
+    S.judge_open(spark, f"{folder}/state", *inputs[1:])
+    assert S.snapshots(spark, f"{folder}/state").count() == S.late_reports(spark, f"{folder}/state").count() == 0
+    _feed(spark, folder, 1, [_report(0, "a"), _report(1, "a")])
+    _feed(spark, folder, 2, [_report(0, "b", index=1), _report(2, "a")])
+    _run(spark, folder, inputs, lateness=60)
+    assert {r[:2] for r in _told(spark, folder)} == {(0, "a"), (0, "b")}
