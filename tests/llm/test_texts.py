@@ -5,6 +5,7 @@ import random
 import re
 import string
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,7 +109,7 @@ def test_base_counts():
         assert quality_ratio.base_counts(text, text.encode()) == counts_by_loop(text), text
 
 
-def test_likelihood_ratio(spark):
+def test_likelihood_ratio(spark, monkeypatch):
     rng = random.Random(4)
     good = [" ".join(rng.choices("the cat sat on a mat near our house and slept".split(), k=30)) for _ in range(60)]
     poor = [" ".join(rng.choices("$$$ ### BUY!! || %%% CLICK &&&".split(), k=30)) for _ in range(20)]
@@ -116,16 +117,37 @@ def test_likelihood_ratio(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(i, 0, 0) for i in range(60, 75)] + [(0, 1, 0), (999, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     model = quality_ratio.fit(frame, labels)
-    counts = np.zeros((2, quality_ratio.BUCKETS))
+    chosen = [r.doc_id for r in labels.where("doc_id is not null and quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).collect()][::2]
+    raw, trusted = Counter(), Counter()
     for i, text in docs:
         data = (text or "").encode()
-        for at in range(len(data) - quality_ratio.GRAM + 1):
-            value = int.from_bytes(data[at : at + quality_ratio.GRAM], "big") * 2654435761 % 2**32
-            counts[0][value >> 16] += 1
-            counts[1][value >> 16] += i is not None and i < 40
-    smooth = counts + quality_ratio.SMOOTHING
-    expected = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
-    assert np.allclose(model.ratio, expected)
+        found = [data[at : at + quality_ratio.GRAM] for at in range(len(data) - quality_ratio.GRAM + 1)]
+        raw.update(found)
+        if i in chosen:
+            trusted.update(found)
+    share = sum(trusted.values()) / sum(raw.values())
+    ratio = {g: np.log((trusted[g] + quality_ratio.SMOOTHING) / (raw[g] * share + quality_ratio.SMOOTHING)) for g in raw}
+    for _, text in docs[:-1]:
+        data = text.encode()
+        expected = np.mean([ratio[data[at : at + quality_ratio.GRAM]] for at in range(len(data) - quality_ratio.GRAM + 1)])
+        assert np.isclose(model.score(data), expected)
+    # Few n-grams with counts of their own: the others are pooled by hash, and every occurrence counts.
+    monkeypatch.setattr(quality_ratio, "COMMON_SHARE", 150)
+    told = frame.selectExpr("text as _text", f"if(doc_id in ({','.join(map(str, chosen))}), 1, 0) as _trusted")
+    whole, parts = (sorted(map(tuple, quality_ratio.gram_counts(told, *x).collect())) for x in ((), (200, 50)))
+    assert whole == parts and [sum(r[k] for r in whole) for k in (1, 2)] == [sum(raw.values()), sum(trusted.values())]
+    small = quality_ratio.fit(frame, labels)
+    own = {g for g in raw if raw[g] * 150 >= sum(raw.values())}
+    key = {g: int(quality_ratio.grams(g)[0]) for g in raw}
+    assert set(small.common.tolist()) == {key[g] for g in own} and 0 < len(own) <= 150
+    rest = {int(quality_ratio.pools(np.array([key[g]]))[0]): [0, 0] for g in raw if g not in own}
+    for g in raw.keys() - own:
+        both = rest[int(quality_ratio.pools(np.array([key[g]]))[0])]
+        both[0] += raw[g]
+        both[1] += trusted[g]
+    for pool, (r, t) in rest.items():
+        assert np.isclose(small.pooled[pool], np.log((t + quality_ratio.SMOOTHING) / (r * share + quality_ratio.SMOOTHING)))
+    monkeypatch.undo()
     judged = {(r.doc_id, r.n_words): r for r in quality_ratio.quality_rules(frame, labels).collect()}
     assert len(judged) == len(docs)
     held_out = [judged[i, 30].kept for i in range(40, 60)], [judged[i, 30].kept for i in range(75, 80)]
