@@ -27,8 +27,9 @@ DSN = r"^([^:@/]*)(?::(.*))?@([A-Za-z0-9]+)\(([^()]+)\)(?:/([^?/]*))?(?:\?.*)?$"
 # and none over all blocks, ever holds more than 65,536 versions.
 _BLOCK_BITS = 16
 
-# Copies of the steps of a version in a migration plan.
+# Copies of the steps of a version in a migration plan, and the bits of a block of ranks whose steps travel together.
 _COPIES = 8
+_STEP_BITS = 6
 
 
 def max_version(versions: DataFrame) -> DataFrame:
@@ -262,25 +263,28 @@ def render_command(user: Column, schema: Column) -> Column:
 def migration_plan(shards: DataFrame, versions: DataFrame) -> DataFrame:
     """Every missing version of every shard in apply order: ``shardId, step, version, cmdType, command``.
 
-    A shard needs the ranks after the ones it has passed, so the missing versions
-    are found by equality and only result rows are ever made.  Most shards stand at one version, and that one
-    key makes most of the plan: the steps of each version are copied ``_COPIES`` times and shards dealt out over the copies.  Shards whose DSN cannot be
+    Versions travel as blocks of up to 64 neighbouring ranks.  A shard meets the blocks after the ranks it has passed, and
+    result rows are only made after that, in the tasks that hand them on: no side of a join grows with the plan.
+    Neither side is broadcast, as nothing tells in advance how many blocks all shards need.  Most shards stand at one version, and that one
+    key makes most of the plan: ranks passed and blocks are copied ``_COPIES`` times and shards dealt out over the copies.  Shards whose DSN cannot be
     read get no commands; :func:`split_dsn` lists them with the reason.
     """
     ranks, passed = version_ranks(versions, shards.select("version"))
     known = versions.select(F.col("version").cast("long").alias("version"), "command", "cmdType", "tableName")
     ranked = known.join(ranks, "version").withColumnRenamed("version", "_to")
     last = F.coalesce(ranks.agg(F.max("rank").alias("rank")).scalar(), F.lit(0))
-    todo = passed.where(F.col("passed") < last).select(
-        F.col("version").alias("_from"), "passed", F.explode(F.sequence(F.col("passed") + 1, last)).alias("rank")
-    )
-    steps = todo.join(ranked, "rank").withColumn("step", (F.col("rank") - F.col("passed")).cast("int"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(_COPIES - 1))).alias("_copy")
+    todo = passed.where(F.col("passed") < last).select(F.col("version").alias("_from"), "passed", copies)
+    step = F.struct("rank", "_to", "command", "cmdType", "tableName")
+    blocks = ranked.groupBy(F.shiftright("rank", _STEP_BITS).alias("_block")).agg(F.collect_list(step).alias("_steps")).select("*", copies)
     user = F.nullif(F.regexp_extract("shardDSN", DSN, 1), F.lit(""))
     behind = shards.where(F.coalesce(F.col("shardDSN").rlike(DSN), F.lit(False))).select("shardId", "schemaName", user.alias("_user"), F.col("version").cast("long").alias("_from"))
-    copies = steps.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(_COPIES - 1))))
     dealt = behind.withColumn("_copy", F.pmod(F.xxhash64("shardId"), F.lit(_COPIES)).cast("int"))
-    return dealt.join(copies, ["_from", "_copy"]).select(
-        "shardId", "step", F.col("_to").alias("version"), "cmdType",
+    needed = F.explode(F.sequence(F.shiftright(F.col("passed") + 1, _STEP_BITS), F.shiftright(last, _STEP_BITS)))
+    needs = dealt.join(todo.hint("merge"), ["_from", "_copy"]).select("shardId", "schemaName", "_user", "passed", "_copy", needed.alias("_block"))
+    steps = needs.join(blocks.hint("merge"), ["_block", "_copy"]).select("shardId", "schemaName", "_user", "passed", F.inline("_steps")).where("rank > passed")
+    return steps.select(
+        "shardId", (F.col("rank") - F.col("passed")).cast("int").alias("step"), F.col("_to").alias("version"), "cmdType",
         render_command(F.col("_user"), F.col("schemaName")).alias("command"),
     )
 

@@ -165,3 +165,16 @@ def test_oplog_keeps_entries_with_nulls(spark):
         assert sorted((r.message, r.seq) for r in out.collect()) == [("a", 1), ("b", 2), ("c", 1)]
         again = R.append_oplog(out, entries, [F.col("lastUpdate"), F.col("message")], slices)
         assert sorted(r.seq for r in again.where("version is null").collect()) == [1, 2, 3, 4]
+
+
+def test_steps_of_a_plan_are_made_after_its_joins(spark):
+    """What a join broadcasts or shuffles does not grow with the plan, over several blocks of versions."""
+    versions = spark.range(1, 400).where("id % 3 <> 0").selectExpr("id as version", "'c' as command", "'sql' as cmdType", "'t' as tableName")
+    shards = spark.range(150).selectExpr("id as shardId", "'s' as schemaName", "'u:p@tcp(h:1)' as shardDSN", "cast(id * 3 as int) as version")
+    plan = R.migration_plan(shards, versions)
+    got = {(r.shardId, r.step, r.version) for r in plan.collect()}
+    listed = [v for v in range(1, 400) if v % 3]
+    expected = {(i, n + 1, v) for i in range(150) for n, v in enumerate(x for x in listed if x > 3 * i)}
+    assert got == expected and plan.count() == len(expected)
+    joins = [line for line in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [_" in line and "_copy" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
