@@ -11,7 +11,7 @@ from fleetledger.operators.changelog import keyed_images, log_order
 from fleetledger.operators.log_scan import SLICE
 from fleetledger.session import settle, stored
 
-#: Changes in a slice of a stored history, about.  A row that changes is stored once more for every slice it lives through.
+#: Changes in a slice of a stored history, about; no fewer than there are rows that change.  A row that changes is stored once more for every slice it lives through.
 SLICE_ROWS = 10_000_000
 #: The slice of rows that no change touches.
 ALWAYS = -1
@@ -38,7 +38,8 @@ def _base_images(base: DataFrame, keys: list[str], names: list[str], kind) -> Da
     return base.select(*keys, at.alias("at"), F.lit(True).alias("live"), cells.alias("cells"), F.lit(0).cast("long").alias("_slice"))
 
 
-def _versions(base: DataFrame | None, changes: DataFrame, keys: list[str], slice_rows: int, slice_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _versions(base: DataFrame | None, changes: DataFrame, keys: list[str], slice_rows: int, slice_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Versions with the slices they begin and end in, the slices, and the images of all changes."""
     order = log_order(changes)
     place, names = list(order[: order.index("pos")]), changes.schema["after"].dataType.names
     if "have" not in changes.columns:
@@ -81,7 +82,7 @@ def _versions(base: DataFrame | None, changes: DataFrame, keys: list[str], slice
         rest = base.join(touched, _same([F.col(k) for k in keys], [F.col(f"_{k}") for k in keys]), "left_anti")
         always = F.lit(ALWAYS).cast("long")
         found = found.unionByName(rest.select(*names, *ends_of, always.alias("_slice"), always.alias("_to_slice")))
-    return found, slices
+    return found, slices, images
 
 
 def row_history(base: DataFrame | None, changes: DataFrame, keys: list[str], slice_rows: int = SLICE_ROWS, slice_bytes: int = SLICE) -> DataFrame:
@@ -97,12 +98,16 @@ def row_history(base: DataFrame | None, changes: DataFrame, keys: list[str], sli
 def write_history(base: DataFrame | None, changes: DataFrame, keys: list[str], path: str, slice_rows: int = SLICE_ROWS, slice_bytes: int = SLICE) -> None:
     """Store the history below ``path`` for :func:`as_of`: a folder for each slice of the log with the versions that hold in it.
 
-    Rows that never change are stored once; with slices of no fewer changes than there are rows that change, the others
-    take up to twice the room of their versions.
+    Rows that never change are stored once.  Slices are put together until they have as many changes as there are rows that
+    change, so what lives on into slices is never more than there are changes: the others take up to twice the room of their versions.
     """
-    found, slices = _versions(base, changes, keys, slice_rows, slice_bytes)
+    found, slices, images = _versions(base, changes, keys, slice_rows, slice_bytes)
+    together = -(-images.select(*keys).distinct().count() // slice_rows) or 1
+    whole = lambda slice: F.when(slice < 0, slice).otherwise(F.floor(slice / together))
+    slices = slices.withColumn("_slice", whole(F.col("_slice")))
     last = slices.agg(F.coalesce(F.max("_slice"), F.lit(0))).scalar()
-    spread = F.when(F.col("_slice") == ALWAYS, F.array("_slice")).otherwise(F.sequence("_slice", F.coalesce("_to_slice", last)))
+    begin, end = (whole(F.col(c)) for c in ("_slice", "_to_slice"))
+    spread = F.when(F.col("_slice") == ALWAYS, F.array("_slice")).otherwise(F.sequence(begin, F.coalesce(end, last)))
     rows = found.withColumn("slice", F.explode(spread)).drop("_slice", "_to_slice")
     rows.write.partitionBy("slice").parquet(f"{path}/versions")
     slices.withColumn("_bytes", F.lit(slice_bytes)).coalesce(1).write.parquet(f"{path}/slices")

@@ -158,3 +158,14 @@ def test_events_are_put_back_on_a_stream_and_after_a_restart(spark, tmp_path):
     for number in (1, 2, 3):
         for i in range(20):
             assert ("and on\n# at all" in got[number, 100 * i + 4]) == (i % 3 == number % 3)
+
+
+def test_small_slices_do_not_store_rows_over_and_over(spark, tmp_path):
+    """300 rows that change twice, in slices of two changes: the store has at most twice the versions."""
+    changes = [(1, "bin.1", 10 * i, 0, "INSERT", None, (f"k{i % 300}", i, "x"), [True] * 3) for i in range(600)]
+    frame = spark.createDataFrame(changes, SCHEMA)
+    write_history(None, frame, ["id"], str(tmp_path / "h"), 2, 20)
+    assert spark.read.parquet(str(tmp_path / "h" / "versions")).count() <= 1200
+    for last in (0, 150, 299, 450, 599):
+        got = {(r.id, r.a) for r in as_of(spark, str(tmp_path / "h"), 10 * last, 1, "bin.1").collect()}
+        assert got == {(f"k{k}", max(i for i in range(last + 1) if i % 300 == k)) for k in range(min(300, last + 1))}
