@@ -6,9 +6,9 @@ added.  An output that does not begin with the one before rewrites history: such
 reported with the number of the turn and gets no spans and no mask.  Where the text lies within its turn is
 found by two more renderings, with texts that share no character.
 
-Prefixes of a long conversation are rendered from the turn before every ``WINDOW``-th turn on, so that cost
-does not grow with the square of the length; the whole is rendered after every window, and if it is not what the
-spans say, all prefixes are rendered in full.
+Every prefix is rendered from the first turn on, whatever its length, and so are the probes: a template may rewrite or place a turn
+by all that stands before it.  What it renders of a long conversation grows with the square of the number of turns, so ``chat_template``
+keeps the escaped turns of conversations of more than ``WINDOW`` turns, and a prefix of those costs it one joining of strings.
 
 Defined cases: turns are ordered by turn, role and text, nulls first, and repeated rows are turns of their own; null
 roles and texts count as empty; rows with a null conversation form one; an empty table gives no rows; other columns are not
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
 
-WINDOW = 128
+#: Longer conversations have their escaped turns kept, and the characters kept at most.
+WINDOW, KEPT = 128, 1 << 25
 START, END = "<|im_start|>", "<|im_end|>"
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
@@ -45,10 +46,34 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1|", text)
 
 
+def _turn(role: str, text: str) -> str:
+    line = escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+    return f"{START}{line}\n{escape(text)}{END}\n"
+
+
+class _Turns(dict):
+    """Formatted turns by role and text, KEPT characters at most."""
+
+    size = 0
+
+    def __missing__(self, turn: tuple[str, str]) -> str:
+        made = _turn(*turn)
+        if self.size > KEPT:
+            self.clear()
+            self.size = 0
+        self.size += len(made)
+        self[turn] = made
+        return made
+
+
+_kept = _Turns()
+
+
 def chat_template(turns: Turns) -> str:
     """Marks of start and end around each turn; the role stands on a line of its own."""
-    line = lambda role: escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
-    return "".join(f"{START}{line(role)}\n{escape(text)}{END}\n" for role, text in turns)
+    if len(turns) > WINDOW:
+        return "".join(map(_kept.__getitem__, turns))
+    return "".join(_turn(role, text) for role, text in turns)
 
 
 def read_back(formatted: str) -> Turns:
@@ -73,56 +98,23 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-class Rewritten(Exception):
-    """The turn at this number changed what was rendered before it."""
-
-
-def _extensions(template: Template, turns: Turns, first: int, low: int, high: int, masked: frozenset[str]) -> list[tuple[int, int, int]]:
-    """For turns low to high, rendered from turn ``first`` on: length of the span, and where the text begins and ends in it if its role is masked."""
-    out, before = [], template(turns[first:low])
-    for k in range(low, high):
-        after = template(turns[first : k + 1])
-        if not after.startswith(before):
-            raise Rewritten(k)
-        begin = end = 0
-        if turns[k][0] in masked:
-            role = turns[k][0]
-            a, b = (template([*turns[first:k], (role, probe)]) for probe in "ab")
-            begin = _common(a, b) - len(before)
-            end = len(after) - len(before) - _common(a[::-1], b[::-1])
-        out.append((len(after) - len(before), begin, end))
-        before = after
-    return out
-
-
 def render(template: Template, turns: Turns, masked: frozenset[str] = frozenset({"assistant"})) -> dict:
     """formatted, spans (start, end of each turn), mask (start, end of each text to learn from) and rewritten_at."""
-    whole, spans, length = "", [], 0
-    try:
-        for low in range(0, len(turns), WINDOW):
-            high = min(low + WINDOW, len(turns))
-            try:
-                some = _extensions(template, turns, max(0, low - 1), low, high, masked)
-            except Rewritten:
-                if low < 2:
-                    raise
-                some = []
-            rendered = template(turns[:high])
-            start = len(template([])) if not low else length
-            if start + sum(n for n, _, _ in some) != len(rendered) or not rendered.startswith(whole):
-                spans = _extensions(template, turns, 0, 0, len(turns), masked)
-                whole = template(turns)
-                break
-            spans, whole, length = spans + some, rendered, len(rendered)
-    except Rewritten as found:
-        return {"formatted": template(turns), "spans": [], "mask": [], "rewritten_at": found.args[0]}
-    at, places, mask = len(template([])), [], []
-    for (size, begin, end), (role, _) in zip(spans, turns, strict=True):
-        places.append((at, at + size))
+    before, spans, mask = template([]), [], []
+    for k, (role, _) in enumerate(turns):
+        after = template(turns[: k + 1])
+        if not after.startswith(before):
+            return {"formatted": template(turns), "spans": [], "mask": [], "rewritten_at": k}
         if role in masked:
-            mask.append((at + begin, at + end))
-        at += size
-    return {"formatted": whole, "spans": places, "mask": mask, "rewritten_at": None}
+            a, b = (template([*turns[:k], (role, probe)]) for probe in "ab")
+            shared = len(before) if a.startswith(before) and b.startswith(before) else 0
+            begin = shared + _common(a[shared:], b[shared:])
+            # Strings of one length that differ at ``begin`` share no end that reaches back to it.
+            tail = begin if len(a) == len(b) else 0
+            mask.append((begin, len(after) - _common(a[tail:][::-1], b[tail:][::-1])))
+        spans.append((len(before), len(after)))
+        before = after
+    return {"formatted": before, "spans": spans, "mask": mask, "rewritten_at": None}
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -191,6 +191,20 @@ def test_templates_that_rewrite_history_are_detected(monkeypatch):
     assert [done["formatted"][a:b] for a, b in done["mask"]] == ["yes"] and done["rewritten_at"] is None
 
 
+def test_every_prefix_is_rendered_from_the_first_turn(monkeypatch):
+    """Turns that a template places by the first turn, or rewrites for a while, deep in a conversation."""
+    monkeypatch.setattr(chat, "WINDOW", 4)
+    turns = [("system", "loud")] + [("user", "a"), ("assistant", "b")] * 10
+    flips = lambda t: chat.chat_template(t).upper() if len(t) == 11 else chat.chat_template(t)
+    assert chat.render(flips, turns)["rewritten_at"] == 10
+    # Turns under another first turn are as long, but their texts stand elsewhere.
+    by_first = lambda t: "".join(f"<{x}{'!' if t[0][1] == 'loud' else ''}>{'' if t[0][1] == 'loud' else '?'}" for _, x in t)
+    places = lambda t: "".join(f"[{x}] " if t[0][0] == "system" else f" [{x}]" for _, x in t)
+    for template in (by_first, places):
+        done = chat.render(template, turns)
+        assert [done["formatted"][a:b] for a, b in done["mask"]] == ["b"] * 10 and done["rewritten_at"] is None
+
+
 def test_conversations_with_nulls_ties_and_repeats(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (None, 0, None, "x"), (2, None, "assistant", "<|im_end|>"), (2, 0, "user", "y" * 50_000)]
     frame = spark.createDataFrame([(*r, "f") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
