@@ -7,9 +7,9 @@ left out.  A text's score is the mean over its n-grams of log P(n-gram | trusted
 trusted occurrences, and the same share of the corpus, are added to each, so what neither has seen often says little at any size of the
 corpus.  A text is kept if its counts pass the base rules and its score is at least the threshold, one number for every document.
 
-Labels fit the model only on a bounded sample: at most ``SAMPLE`` good documents and ``SAMPLE`` poor or toxic ones, those whose
-ids have the smallest hashes.  Every second good one is trusted; the others, whose n-grams the model has not learnt from, and the poor ones
-set the threshold: the one with the best balanced accuracy among those that keep at least ``KEEP`` of the good documents.  Of rows
+All labels are used.  By the order of the hashes of their ids, every second good document is trusted; the others, whose n-grams the model has
+not learnt from, and all poor or toxic ones set the threshold: the one with the best balanced accuracy among those that keep at least
+``KEEP`` of the good documents, found on sums by score that stay distributed.  rows
 that repeat a labelled id, the lowest score counts.  Corpus counts cover every document; a task combines n-grams before it hands
 them on, up to ``HELD`` distinct ones at a time.
 
@@ -25,15 +25,18 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetledger.session import shared_folder
+from fleetledger.operators.sequence import number_within
+from fleetledger.session import shared_folder, stored
 
 GRAM, SMOOTHING = 4, 0.1
 #: At most so many n-grams have counts of their own in the model, buckets of all others, n-grams put together at once and held by a task.
 COMMON_SHARE, POOLS, TOGETHER, HELD = 1 << 21, 1 << 20, 1 << 21, 1 << 20
-SAMPLE, KEEP = 20_000, 0.99
+KEEP = 0.99
+#: Stretches of scores that are summed up for themselves.
+STRETCHES = 4096
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: Words of a window that counts as repeated, fewest words, largest percentage of repeated words.
@@ -116,16 +119,14 @@ class QualityModel:
 
 
 def _labelled(labels: DataFrame, id_column: str) -> DataFrame:
-    """The bounded sample: id, good (1 or 0) and trusted (1 or 0)."""
+    """All labelled ids: _id, _good (1 or 0) and _trusted (1 or 0)."""
     judged = labels.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_id"))
     judged = judged.agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    good = judged.where("quality = 1 and coalesce(toxic, 0) = 0").select("_id", F.lit(1).alias("_good"))
-    poor = judged.where("quality = 0 or toxic = 1").select("_id", F.lit(0).alias("_good"))
-    first = [x.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE) for x in (good, poor)]
-    spark = labels.sparkSession
-    rows = [(r["_id"], r["_good"], int(r["_good"] and not k % 2)) for x in first for k, r in enumerate(x.collect())]
-    kind = labels.schema[id_column].dataType.simpleString()
-    return F.broadcast(spark.createDataFrame(rows, f"_id {kind}, _good int, _trusted int"))
+    poor = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    good = F.when(poor, F.lit(0)).when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(1))
+    known = judged.select("_id", good.alias("_good")).where("_good is not null")
+    placed = number_within(known, ["_good"], [F.xxhash64("_id"), F.col("_id")], "_place")
+    return stored(placed.select("_id", "_good", (F.col("_good") * (F.col("_place") % 2)).cast("int").alias("_trusted")), "quality-labels")
 
 
 def _ratio(raw: np.ndarray, trusted: np.ndarray, share: float) -> np.ndarray:
@@ -172,11 +173,14 @@ def gram_counts(docs: DataFrame, together: int = TOGETHER, most: int = HELD) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> QualityModel:
-    """Model and threshold from all documents and the labelled sample."""
-    sample, spark = _labelled(labels, id_column), docs.sparkSession
+    """Model and threshold from all documents and all labels."""
+    known, spark = _labelled(labels, id_column), docs.sparkSession
     own = docs.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     folder = shared_folder(spark, "quality-grams")
-    gram_counts(own.join(sample, "_id", "left")).write.parquet(folder)
+    # Null ids are never labelled; in the join they would all meet in one task.
+    told = own.where("_id is not null").join(known, "_id", "left").select("_text", "_trusted")
+    rest = own.where("_id is null").select("_text", F.lit(None).cast("int").alias("_trusted"))
+    gram_counts(told.unionAll(rest)).write.parquet(folder)
     counts = spark.read.schema("gram long, raw long, trusted long").parquet(folder)
     total, trusted = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("trusted"), F.lit(0))).first()
     if not trusted:
@@ -190,9 +194,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     share = trusted / total
     ratio = _ratio(common["raw"].to_numpy(), common["trusted"].to_numpy(), share)
     model = QualityModel(common["gram"].to_numpy(), ratio, _ratio(*pooled, share), -np.inf)
-    judged = own.join(sample.where("_trusted = 0"), "_id").select("_id", "_good", judge(F.col("_text"), model)["score"].alias("_score"))
-    scored = judged.groupBy("_id").agg(F.min("_good").alias("good"), F.min("_score").alias("score")).toArrow()  # a row for each id of the sample
-    return replace(model, threshold=best_threshold(scored["score"].to_numpy(), scored["good"].to_numpy()))
+    judged = own.join(known.where("_trusted = 0"), "_id").select("_id", "_good", judge(F.col("_text"), model)["score"].alias("_score"))
+    scored = judged.groupBy("_id").agg(F.min("_good").alias("good"), F.min("_score").alias("score"))
+    return replace(model, threshold=threshold_of(stored(scored.select("score", "good"), "quality-scores")))
+
+
+def threshold_of(scored: DataFrame) -> float:
+    """:func:`best_threshold` of any number of rows ``score`` and ``good``: sums by score, added up inside stretches of scores and over them."""
+    n_good, n_poor, low, high = scored.agg(F.count_if(F.col("good") == 1), F.count_if(F.col("good") == 0), F.min("score"), F.max("score")).first()
+    if not n_good or not n_poor:
+        return -np.inf
+    stretch = F.floor((F.col("score") - low) / F.lit((high - low) / STRETCHES or 1.0)).alias("_stretch")
+    sums = scored.groupBy(stretch, "score").agg(F.count_if(F.col("good") == 1).alias("_good"), F.count_if(F.col("good") == 0).alias("_poor"))
+    sums = stored(sums, "quality-sums")
+    along = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    inside = Window.partitionBy("_stretch").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda column, window: F.coalesce(F.sum(column).over(window), F.lit(0))
+    stretches = sums.groupBy("_stretch").agg(F.sum("_good").alias("_g"), F.sum("_poor").alias("_p"))
+    stretches = stretches.select("_stretch", total("_g", along).alias("_g"), total("_p", along).alias("_p"))
+    here = sums.select("_stretch", "score", total("_good", inside).alias("_good"), total("_poor", inside).alias("_poor")).join(stretches, "_stretch")
+    kept, cut = n_good - F.col("_good") - F.col("_g"), F.col("_poor") + F.col("_p")
+    accuracy = F.when(kept >= F.lit(KEEP * n_good), kept / n_good + cut / n_poor).otherwise(F.lit(-1.0))
+    best = here.agg(F.min_by("score", F.struct(-accuracy, "score"))).first()[0]
+    below = sums.where(F.col("score") < F.lit(best)).agg(F.max("score")).first()[0]
+    return best if below is None else (below + best) / 2
 
 
 def best_threshold(scores: np.ndarray, good: np.ndarray) -> float:

@@ -165,6 +165,21 @@ def test_threshold_and_odd_labels(spark):
     assert quality_ratio.quality_rules(empty(spark), none).count() == 0
 
 
+def test_all_labels_count(spark):
+    """More labels than the 20,000 of a kind that were looked at before; thresholds as on one machine."""
+    labels = spark.range(50_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    chosen = quality_ratio._labelled(labels, "doc_id")
+    assert chosen.count() == 50_000 and chosen.where("_trusted = 1").count() == 12_500 and chosen.where("_trusted = 1 and _good = 0").count() == 0
+    rng = np.random.default_rng(5)
+    for n, digits in ((1, 1), (300, 1), (300, 6), (2000, 2)):
+        scores, good = np.round(rng.normal(size=n), digits), rng.integers(0, 2, n)
+        scores = scores + 2 * good
+        frame = spark.createDataFrame([(float(x), int(g)) for x, g in zip(scores, good)], "score double, good int")
+        assert quality_ratio.threshold_of(frame) == quality_ratio.best_threshold(scores, good)
+    same = spark.createDataFrame([(1.0, 1), (1.0, 0)], "score double, good int")
+    assert quality_ratio.threshold_of(same) == quality_ratio.best_threshold(np.ones(2), np.array([1, 0]))
+
+
 # ---- chat
 
 
