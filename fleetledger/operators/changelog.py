@@ -41,6 +41,9 @@ TRAILING = 2147483647
 
 ORDER = ("file_no", "pos", "row_no")
 
+# Copies of the names of a table: its changes are dealt out over them, as most may be of one table.
+_COPIES = 32
+
 
 def _header_line() -> Column:
     return F.regexp_extract("record", r"^[0-9]+\n([^\n]*)", 1)
@@ -201,6 +204,8 @@ def name_images(images: DataFrame, names: DataFrame, pick: Callable[[DataFrame],
 
     ``pick`` leaves ``_names``, ``_ordinals`` and ``_gaps`` of the version that holds for each change.
     """
+    names = names.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(_COPIES - 1))))
+    copy = F.pmod(F.xxhash64("pos", "row_no"), F.lit(_COPIES)).cast("int")
     # Pass-through text has no table: its rows would all meet in one task.
     spread = F.struct(F.coalesce("db", F.concat(F.lit("\0"), F.col("pos").cast("string"))), F.coalesce("table", F.lit("")))
 
@@ -227,7 +232,7 @@ def name_images(images: DataFrame, names: DataFrame, pick: Callable[[DataFrame],
         .when((F.col("op") != "DELETE") & (F.size("after") == 0), F.lit("missing image"))
     )
     return (
-        pick(images.join(names, spread == F.col("_db"), "left"))
+        pick(images.join(names, (spread == F.col("_db")) & (copy == F.col("_copy")), "left"))
         .withColumns({"_all_before": complete("before"), "_all_after": complete("after")})
         .withColumns({"before": named("before"), "after": named("after")})
         .withColumn("rejected", rejected)

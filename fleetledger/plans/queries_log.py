@@ -226,7 +226,7 @@ def _account_changes(spark, folder) -> DataFrame:
     whole.write.partitionBy("file").text(path)
     columns = [("shop", "account", i + 1, n) for i, n in enumerate(ACCOUNT.names)]
     catalog = spark.createDataFrame(columns, "db string, `table` string, ordinal int, `column` string")
-    return C.resolve_columns(C.row_images(C.row_statements(read_events(spark, path))), catalog)
+    return C.resolve_columns(C.row_images(C.row_statements(read_events(spark, path))), catalog, small=True)
 
 
 def _accounts(spark, folder) -> DataFrame:

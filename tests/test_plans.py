@@ -109,3 +109,15 @@ def test_operators_behind_queries_that_run_jobs(spark, tmp_path):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "EvalPython" not in plan, name
     assert plan_of(frames["script"]).count("FileScan parquet") == 2  # the events are read once, and the catalog
     assert "BroadcastHashJoin" in plan_of(frames["script of a small catalog"])
+
+
+def test_changes_of_one_table_are_many_keys(spark):
+    """With a catalog that is not broadcast, and with one that is."""
+    one = spark.range(64).selectExpr("'f' as file", "1L as file_no", "id as pos", "0 as row_no", "'INSERT' as op", "'d' as db", "'t' as table",
+                                     "'INSERT INTO `d`.`t`\n### SET\n###   @1=1' as block", "true as valid")
+    catalog = spark.createDataFrame([("d", "t", 1, "id")], "db string, `table` string, ordinal int, `column` string")
+    found = C.resolve_columns(C.row_images(one), catalog)
+    assert found.where("rejected is null and after[0].column = 'id'").count() == 64
+    spread = [line for line in plan_of(C.resolve_columns(C.row_images(one), catalog)).splitlines() if "SortMergeJoin" in line]
+    assert spread and all("_copy" in line for line in spread)
+    assert "BroadcastHashJoin" in plan_of(C.resolve_columns(C.row_images(one), catalog, small=True))
