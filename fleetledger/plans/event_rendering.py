@@ -17,6 +17,8 @@ from fleetledger.sources.event_text import EVENT_MARK, events_from
 COLUMNS = ("id", "customer", "state", "cents", "note", "placed")
 TYPES = ("LONGINT", "LONGINT", "STRING(1)", "LONGINT", "VARSTRING(60)", "DATETIME")
 ORDERS_PER_SEGMENT = 5_000_000
+#: Events of a written file; a compressed file is read by one task.
+EVENTS_PER_FILE = 50_000
 
 
 def text(*parts) -> Column:
@@ -85,11 +87,12 @@ def write_order_log(spark, folder: str) -> str:
 
 
 def write_log(spark, events: DataFrame) -> str:
-    """Write event text (``file``, ``value`` without its mark, with its last line break), a folder per file, and return where."""
+    """Write event text (``file``, ``value`` without its mark, with its last line break), a folder of compressed parts per file, and return where."""
     path = shared_folder(spark, "log")
     mark = EVENT_MARK.lstrip("\n")
     body = F.col("value").substr(F.lit(1), F.length("value") - 1)
-    events.select("file", F.concat(F.lit(mark), body).alias("value")).write.partitionBy("file").text(path)
+    lines = events.select("file", F.concat(F.lit(mark), body).alias("value")).write.partitionBy("file")
+    lines.option("maxRecordsPerFile", EVENTS_PER_FILE).text(path, compression="gzip")
     return path
 
 

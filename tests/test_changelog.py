@@ -300,3 +300,20 @@ def test_false_marks_are_rejoined_wherever_files_are_cut(spark, tmp_path, split)
         got = {r.pos: r.record.rstrip("\n").split("\tQuery\n", 1)[1] for r in rows if r.file == name and r.pos}
         assert got == {i * 10 + 4: t for i, t in enumerate(said)}
     assert len(rows) == 9
+
+
+def test_a_written_log_is_compressed_parts(spark, monkeypatch):
+    """Event text takes a part of its size on disk, and many parts of a file are read as one."""
+    from pathlib import Path
+
+    from fleetledger.plans import event_rendering
+    from fleetledger.sources.event_text import read_events
+
+    monkeypatch.setattr(event_rendering, "EVENTS_PER_FILE", 100)
+    head = "concat(id * 10 + 4, '\n#170921 20:28:37 server id 1  end_log_pos 9 \tQuery\n', 'x', id, repeat(' y', 200), '\n')"
+    events = spark.range(1000).coalesce(1).selectExpr("concat('bin.00000', id % 2) as file", f"{head} as value")
+    path = event_rendering.write_log(spark, events)
+    parts = [p for p in Path(path.removeprefix("file:")).glob("file=*/*") if not p.name.startswith((".", "_"))]
+    assert len(parts) == 10 and sum(p.stat().st_size for p in parts) < 50_000
+    found = {(r.file, r.pos) for r in read_events(spark, path).collect()}
+    assert found == {(f"bin.00000{i % 2}", i * 10 + 4) for i in range(1000)}
