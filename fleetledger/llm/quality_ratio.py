@@ -9,9 +9,11 @@ corpus.  A text is kept if its counts pass the base rules and its score is at le
 
 All labels are used.  By the order of the hashes of their ids, every second good document is trusted; the others, whose n-grams the model has
 not learnt from, and all poor or toxic ones set the threshold: the one with the best balanced accuracy among those that keep at least
-``KEEP`` of the good documents, found on sums by score that stay distributed.  rows
+``KEEP`` of the good documents, found on sums by score that stay distributed.  Of rows
 that repeat a labelled id, the lowest score counts.  Corpus counts cover every document; a task combines n-grams before it hands
-them on, up to ``HELD`` distinct ones at a time.
+them on, up to ``HELD`` distinct ones at a time.  Texts do not move to their labels: a map of ``MARKS`` bits by the hash of an id tells which
+documents may be labelled, at any number of labels; only trusted texts (and the few others of equal bits) are shuffled, to be told apart exactly, and those
+that set the threshold are scored where they lie, so that only their scores meet the labels.
 
 Defined cases: a null text counts as empty; a text without n-grams scores 0; without good or poor labels the score
 rejects nothing; several labels of one id count as the worst; a label without document is ignored; documents with a
@@ -20,7 +22,7 @@ null id are judged but are never labelled; repeated rows count as often as they
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -35,6 +37,8 @@ GRAM, SMOOTHING = 4, 0.1
 #: At most so many n-grams have counts of their own in the model, buckets of all others, n-grams put together at once and held by a task.
 COMMON_SHARE, POOLS, TOGETHER, HELD = 1 << 21, 1 << 20, 1 << 21, 1 << 20
 KEEP = 0.99
+#: Bits of the map of labelled ids, which travels with the tasks: 4 MB at most.  Where labels fill it, more texts are shuffled.
+MARKS = 1 << 25
 #: Stretches of scores that are summed up for themselves.
 STRETCHES = 4096
 SYMBOLS = "#*$%&|<>"
@@ -129,6 +133,25 @@ def _labelled(labels: DataFrame, id_column: str) -> DataFrame:
     return stored(placed.select("_id", "_good", (F.col("_good") * (F.col("_place") % 2)).cast("int").alias("_trusted")), "quality-labels")
 
 
+def _marked(ids: DataFrame, kind: str) -> Callable[[Column], Column]:
+    """Whether an id of type ``kind`` may be one of ``_id`` in ``ids``: true for all of them, and for those that share a bit with one."""
+    if ids.schema["_id"].dataType.simpleString() != kind:
+        return lambda own: own.isNotNull()  # equal ids of other types have other hashes
+    bit = lambda own: F.pmod(F.xxhash64(own), F.lit(MARKS))
+    words = ids.select(bit(F.col("_id")).alias("_bit")).groupBy(F.shiftright("_bit", 5).alias("_word"))
+    told = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit & 31 as int))")).alias("_bits")).toArrow()  # MARKS / 32 rows at most
+    bits = np.zeros((MARKS + 31) // 32, np.uint32)
+    bits[told["_word"].to_numpy()] = told["_bits"].to_numpy().astype(np.uint32)
+    own_bits = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def marked(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((own_bits.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    return lambda own: own.isNotNull() & marked(bit(own))
+
+
 def _ratio(raw: np.ndarray, trusted: np.ndarray, share: float) -> np.ndarray:
     """Log ratio of smoothed probabilities; ``share`` is that of trusted n-grams among all."""
     return np.log((trusted + SMOOTHING) / (raw * share + SMOOTHING))
@@ -172,15 +195,19 @@ def gram_counts(docs: DataFrame, together: int = TOGETHER, most: int = HELD) ->
     return found.groupBy("gram").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
 
 
+def _told(own: DataFrame, trusted: DataFrame, kind: str) -> DataFrame:
+    """_text and _trusted of every document; texts of those that cannot be trusted, null ids among them, stay where they are."""
+    near = _marked(trusted, kind)(F.col("_id"))
+    found = own.where(near).join(trusted, "_id", "left").select("_text", "_trusted")
+    return found.unionAll(own.where(~near).select("_text", F.lit(None).cast("int").alias("_trusted")))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> QualityModel:
     """Model and threshold from all documents and all labels."""
     known, spark = _labelled(labels, id_column), docs.sparkSession
     own = docs.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    folder = shared_folder(spark, "quality-grams")
-    # Null ids are never labelled; in the join they would all meet in one task.
-    told = own.where("_id is not null").join(known, "_id", "left").select("_text", "_trusted")
-    rest = own.where("_id is null").select("_text", F.lit(None).cast("int").alias("_trusted"))
-    gram_counts(told.unionAll(rest)).write.parquet(folder)
+    kind, folder = own.schema["_id"].dataType.simpleString(), shared_folder(spark, "quality-grams")
+    gram_counts(_told(own, known.where("_trusted = 1"), kind)).write.parquet(folder)
     counts = spark.read.schema("gram long, raw long, trusted long").parquet(folder)
     total, trusted = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("trusted"), F.lit(0))).first()
     if not trusted:
@@ -194,7 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     share = trusted / total
     ratio = _ratio(common["raw"].to_numpy(), common["trusted"].to_numpy(), share)
     model = QualityModel(common["gram"].to_numpy(), ratio, _ratio(*pooled, share), -np.inf)
-    judged = own.join(known.where("_trusted = 0"), "_id").select("_id", "_good", judge(F.col("_text"), model)["score"].alias("_score"))
+    judging = known.where("_trusted = 0")
+    near = own.where(_marked(judging, kind)(F.col("_id"))).select("_id", score(F.col("_text"), model).alias("_score"))
+    judged = near.join(judging, "_id")
     scored = judged.groupBy("_id").agg(F.min("_good").alias("good"), F.min("_score").alias("score"))
     return replace(model, threshold=threshold_of(stored(scored.select("score", "good"), "quality-scores")))
 
@@ -234,6 +263,17 @@ def best_threshold(scores: np.ndarray, good: np.ndarray) -> float:
     return float(values[best] if not best else (values[best - 1] + values[best]) / 2)
 
 
+def score(text: Column, model: QualityModel) -> Column:
+    """Score of a text column."""
+    own = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def scored(values: pa.Array) -> pa.Array:
+        return pa.array([own.value.score((value.as_py() or "").encode()) for value in values], pa.float64())
+
+    return scored(text)
+
+
 def judge(text: Column, model: QualityModel) -> Column:
     """Struct of the base counts, score, base_failed and kept of a text column."""
     own = SparkSession.active().sparkContext.broadcast(model)

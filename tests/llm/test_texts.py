@@ -180,6 +180,22 @@ def test_all_labels_count(spark):
     assert quality_ratio.threshold_of(same) == quality_ratio.best_threshold(np.ones(2), np.array([1, 0]))
 
 
+@pytest.mark.parametrize("marks", [1, 64, 1 << 25])
+def test_texts_do_not_move_to_their_labels(spark, monkeypatch, marks):
+    """Texts without a trusted label are not shuffled, however the join is made; shared bits, null and repeated ids change no count."""
+    monkeypatch.setattr(quality_ratio, "MARKS", marks)
+    rows = [(i, f"text {i} of the corpus") for i in range(200)] + [(None, "null id"), (None, None), (7, "again")]
+    own = spark.createDataFrame(rows, "_id long, _text string").repartition(3)
+    trusted = spark.createDataFrame([(i, 1, 1) for i in range(0, 200, 10)] + [(7, 1, 1), (999, 1, 1)], "_id long, _good int, _trusted int")
+    expected = Counter((t, 1 if i is not None and (i % 10 == 0 or i == 7) else None) for i, t in rows)
+    for kind in ("bigint", "string"):  # of another type: no map, all ids are joined
+        assert Counter(map(tuple, quality_ratio._told(own, trusted, kind).collect())) == expected
+    near = own.where(quality_ratio._marked(trusted, "bigint")(F.col("_id"))).count()
+    assert near == (201 if marks == 1 else 22 if marks > 64 else near)
+    plan = quality_ratio._told(own, trusted, "bigint")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan[plan.index("Join LeftOuter") :].split("LogicalRDD")[0], "the map is looked at before texts meet their labels"
+
+
 # ---- chat
 
 
