@@ -32,6 +32,7 @@ AFTER_MARK = "\n### SET\n"
 ANY_LINE = r"\n###   @([0-9]+)=([^\n]*)"
 VALUE_LINE = rf"\n###   @([0-9]+)=({LITERAL}){TRAILER}(?=\n|\z)"
 VALUE_MARK = "\n###   @"
+VALUE_NUMBER = VALUE_MARK + "([0-9]+)="
 
 TEXT = "TEXT"
 
@@ -74,7 +75,8 @@ def parse_headers(events: DataFrame) -> DataFrame:
 
 
 def _is_whole() -> Column:
-    return (F.col("pos") == 0) | F.col("record").rlike(WHOLE_EVENT)
+    # The header is within two lines; the others need not be looked at.
+    return (F.col("pos") == 0) | F.substring_index("record", "\n", 2).rlike(WHOLE_EVENT)
 
 
 def broken_events(events: DataFrame) -> DataFrame:
@@ -139,7 +141,8 @@ def row_images(statements: DataFrame) -> DataFrame:
     """Replace ``block`` by ``before`` and ``after``, arrays of (ordinal, literal), ``well_formed`` and ``text``.
 
     Values are cut out together with the check of their form; only an image with a
-    value that fails it is cut again without the check.
+    value that fails it is cut again without the check.  If all pass, every mark has its value, so the
+    numbers are read off the marks.
     """
     if "valid" not in statements.columns:
         statements = statements.withColumn("valid", F.is_valid_utf8("block"))
@@ -152,8 +155,8 @@ def row_images(statements: DataFrame) -> DataFrame:
         }
     ).withColumns(
         {
-            "_good_before": _values("_before", VALUE_LINE, F.col("_before")),
-            "_good_after": _values("_after", VALUE_LINE, F.col("_after")),
+            "_good_before": F.regexp_extract_all("_before", F.lit(VALUE_LINE), 2),
+            "_good_after": F.regexp_extract_all("_after", F.lit(VALUE_LINE), 2),
         }
     )
 
@@ -162,8 +165,8 @@ def row_images(statements: DataFrame) -> DataFrame:
         return F.size(f"_good_{name}") == marks
 
     def image(name: str) -> Column:
-        lenient = _values(f"_{name}", ANY_LINE, clean_literals(F.col(f"_{name}")))
-        return F.when(is_good(name), F.col(f"_good_{name}")).otherwise(lenient)
+        lenient = _values(f"_{name}", ANY_LINE, F.regexp_extract_all(clean_literals(F.col(f"_{name}")), F.lit(ANY_LINE), 2))
+        return F.when(is_good(name), _values(f"_{name}", VALUE_NUMBER, F.col(f"_good_{name}"))).otherwise(lenient)
 
     return (
         parts.withColumns({"before": image("before"), "after": image("after"), "well_formed": is_good("before") & is_good("after")})
@@ -172,11 +175,8 @@ def row_images(statements: DataFrame) -> DataFrame:
     )
 
 
-def _values(part: str, line: str, text: Column) -> Column:
-    return F.arrays_zip(
-        F.regexp_extract_all(part, F.lit(line), 1).cast("array<int>").alias("ordinal"),
-        F.regexp_extract_all(text, F.lit(line), 2).alias("literal"),
-    )
+def _values(part: str, number: str, literals: Column) -> Column:
+    return F.arrays_zip(F.regexp_extract_all(part, F.lit(number), 1).cast("array<int>").alias("ordinal"), literals.alias("literal"))
 
 
 def resolve_columns(images: DataFrame, catalog: DataFrame, small: bool = False) -> DataFrame:

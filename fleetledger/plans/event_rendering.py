@@ -33,13 +33,19 @@ def _image(mark: str, state: Column) -> Column:
     return text(f"### {mark}\n", F.col("first_lines"), _line(3, text("'", state, "'")), F.col("last_lines"))
 
 
-def order_events(spark, folder: str) -> DataFrame:
-    """``file`` and ``value``: the text of each event without its event mark."""
+def order_events(spark, folder: str, spread: bool = False) -> DataFrame:
+    """``file`` and ``value``: the text of each event without its event mark.
+
+    With ``spread`` the orders are dealt out before their text is made: it is many times as large as they are, and a
+    compressed table of a few row groups would be rendered by as few tasks.
+    """
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    if spread:
+        orders = orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     key, status = F.col("o_orderkey"), F.col("o_orderstatus")
     note = text("'it\\x27s = ", F.col("o_orderpriority"), " /* ", key % 7, " */'")
     base = (
-        table(spark, folder, "orders")
-        .select(
+        orders.select(
             "*",
             F.timestamp_seconds(F.unix_timestamp("o_orderdate") + 7305 * 86400).alias("placed"),
             (key % ORDERS_PER_SEGMENT * 10 + 4).alias("at"),
@@ -83,7 +89,7 @@ def order_log(spark, folder: str) -> DataFrame:
 
 def write_order_log(spark, folder: str) -> str:
     """Write the event text, one folder per segment, and return where."""
-    return write_log(spark, order_events(spark, folder))
+    return write_log(spark, order_events(spark, folder, spread=True))
 
 
 def write_log(spark, events: DataFrame) -> str:

@@ -1,9 +1,12 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetledger.functions.literals import clean_literals, is_literal, literal_value, sql_literals
 from fleetledger.operators import changelog as C
+from fleetledger.plans.event_rendering import order_log, write_order_log
 from fleetledger.sources.ddl_text import read_ddl, schema_catalog
 from fleetledger.sources.event_text import events_from, read_events
 
@@ -317,3 +320,24 @@ def test_a_written_log_is_compressed_parts(spark, monkeypatch):
     assert len(parts) == 10 and sum(p.stat().st_size for p in parts) < 50_000
     found = {(r.file, r.pos) for r in read_events(spark, path).collect()}
     assert found == {(f"bin.00000{i % 2}", i * 10 + 4) for i in range(1000)}
+
+
+def test_event_text_is_made_by_many_tasks(spark, tmp_path):
+    """Orders of one row group, which one task reads, are rendered by several; the log has the same events."""
+    columns = "id as o_orderkey, id % 9 as o_custkey, 'F' as o_orderstatus, cast(id as double) as o_totalprice, date'1995-01-01' as o_orderdate, '1-URGENT' as o_orderpriority"
+    spark.range(500).selectExpr(*columns.split(", ")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    path = Path(write_order_log(spark, str(tmp_path)).removeprefix("file:"))
+    assert len({p.name.split("-")[1] for p in path.rglob("part-*")}) == 4
+    found, made = read_events(spark, str(path)), order_log(spark, str(tmp_path))
+    assert found.count() == 1500
+    columns = ["file", "file_no", "pos", F.rtrim("record", F.lit("\n")).alias("record")]
+    assert found.select(*columns).exceptAll(made.select(*columns)).count() == 0
+
+
+def test_value_numbers_are_those_of_the_marks(spark):
+    """Numbers in any order; one bad value has its image read leniently, the other image keeps the checked values."""
+    block = "UPDATE `d`.`t`\n### WHERE\n###   @3='a \\n###   @9=1' /* x */\n###   @1=-2 (4) /* x */\n### SET\n###   @2=oops\n###   @1=NULL"
+    rows = spark.createDataFrame([("UPDATE", block)], "op string, block string")
+    row = C.row_images(rows).first()
+    assert [tuple(x) for x in row.before] == [(3, "'a \\n###   @9=1'"), (1, "-2")]
+    assert [tuple(x) for x in row.after] == [(2, "oops"), (1, "NULL")] and not row.well_formed
